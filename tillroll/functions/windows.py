@@ -1,8 +1,11 @@
 """Window patterns over already-aggregated rows.
 
-``share_of_total`` avoids the empty ``OVER ()`` window (which Spark runs in
-a single partition) by dividing by a scalar subquery: the total is a
-one-row aggregate computed once and inlined as a value.
+Grand totals are taken over rows that are already aggregated to a grain
+bounded by a business domain (categories, segments, stores, weekday x hour
+cells), so the single-partition exchange of ``OVER ()`` moves only those
+few rows, and the total is computed in the same pass as the groups. (A
+scalar subquery would re-run the whole upstream plan: checked, Spark does
+not reuse the group-by exchange between a subquery and the main plan.)
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from tillroll.functions.numeric import ratio
 
 
 def grand_total(df: DataFrame, col: str) -> Column:
-    """Scalar subquery: SUM(col) over the whole frame."""
-    return df.agg(F.sum(col)).scalar()
+    """SUM(col) over all rows of an aggregated frame, as a window column."""
+    return F.sum(col).over(Window.partitionBy())
 
 
 def share_of_total(df: DataFrame, col: str, scale: int = 1, name: str = "share_pct",

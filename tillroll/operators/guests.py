@@ -46,12 +46,13 @@ def guest_pareto(guests: DataFrame, share: float = 0.20) -> DataFrame:
     ROUND(n * share) computed exactly in decimal."""
     base = guests.select("guest_id", "lifetime_value")
     ranked = global_row_number(base, [F.desc("lifetime_value"), F.asc("guest_id")], "rk")
-    n = base.agg(F.count(F.lit(1))).scalar()
+    # totals read the checkpointed ranking, not the guest table again
+    n = ranked.agg(F.count(F.lit(1))).scalar()
     cut = F.round(n * F.lit(Decimal(str(share))))
     pct = int(round(share * 100))
     seg = F.when(F.col("rk") <= cut, F.lit(f"Top {pct}% of guests")).otherwise(F.lit(f"Bottom {100 - pct}% of guests"))
     a = ranked.groupBy(seg.alias("segment")).agg(F.count(F.lit(1)).alias("guests"), F.sum("lifetime_value").alias("_ltv"))
-    total = base.agg(F.sum("lifetime_value")).scalar()
+    total = ranked.agg(F.sum("lifetime_value")).scalar()
     return a.select("segment", "guests", money("_ltv").alias("revenue"),
                     ratio("_ltv", total, 1, 100).alias("revenue_share_pct"))
 
@@ -62,7 +63,7 @@ def guest_segment_ratio(guests: DataFrame) -> DataFrame:
     a = guests.groupBy("segment").agg(F.count(F.lit(1)).alias("guests"), F.sum("lifetime_value").alias("_ltv"))
     a = a.withColumn("_ph", F.col("_ltv").cast("double") / F.col("guests").cast("double"))
     n = grand_total(a, "guests")
-    low = a.agg(F.min("_ph")).scalar()
+    low = F.min("_ph").over(Window.partitionBy())  # one row per segment
     return a.select("segment", "guests", ratio("_ltv", "guests", 2).alias("value_per_guest"),
                     ratio("guests", n, 1, 100).alias("guest_share_pct"),
                     ratio("_ph", low, 2).alias("value_index_vs_lowest")).orderBy(F.desc("value_per_guest"))

@@ -132,21 +132,23 @@ def hr_top_risk(risk: DataFrame, k: int = 10) -> DataFrame:
 
 
 def hr_key_findings(att_mart: DataFrame, scorecard: DataFrame, risk: DataFrame) -> DataFrame:
-    """One row of headline findings; each item is a scalar subquery over an
-    aggregate (modes break ties by label)."""
+    """One row of headline findings. Each finding is one scalar subquery over
+    an aggregate (label and count travel together in a struct); modes break
+    ties by label. Fed from materialised marts (``plans.hr``) the subqueries
+    read the mart files, not the raw facts."""
     ex = att_mart.filter(F.col("is_terminated") == 1)
-    reasons = ex.filter(F.col("exit_reason").isNotNull()).groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n")) \
-        .orderBy(F.desc("n"), "exit_reason").limit(1)
-    bands = ex.groupBy("tenure_band").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tenure_band").limit(1)
-    worst = scorecard.orderBy(F.desc_nulls_last("attrition_rate"), "manager_id").limit(1)
+    top_reason = (ex.filter(F.col("exit_reason").isNotNull()).groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n"))
+                  .orderBy(F.desc("n"), "exit_reason").limit(1).select(F.struct("exit_reason", "n")).scalar())
+    top_band = (ex.groupBy("tenure_band").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tenure_band")
+                .limit(1).select(F.struct("tenure_band", "n")).scalar())
+    worst = (scorecard.orderBy(F.desc_nulls_last("attrition_rate"), "manager_id").limit(1)
+             .select(F.struct("manager_name", fix(F.col("attrition_rate") * F.lit(100.0), 2).alias("pct"))).scalar())
     lab = F.col("flight_risk_label")
     base = risk.agg(F.count_if(lab == "High").alias("high_risk_count"), F.count_if(lab == "Medium").alias("medium_risk_count"),
                     F.count_if(lab == "Low").alias("low_risk_count"))
     return base.select(
-        reasons.select("exit_reason").scalar().alias("top_exit_reason"),
-        reasons.select("n").scalar().alias("top_exit_reason_count"),
-        bands.select("tenure_band").scalar().alias("peak_tenure_band"),
-        bands.select("n").scalar().alias("peak_tenure_band_exits"),
-        worst.select("manager_name").scalar().alias("worst_manager_name"),
-        worst.select(fix(F.col("attrition_rate") * F.lit(100.0), 2)).scalar().alias("worst_manager_attrition_pct"),
+        top_reason.getField("exit_reason").alias("top_exit_reason"), top_reason.getField("n").alias("top_exit_reason_count"),
+        top_band.getField("tenure_band").alias("peak_tenure_band"), top_band.getField("n").alias("peak_tenure_band_exits"),
+        worst.getField("manager_name").alias("worst_manager_name"),
+        worst.getField("pct").alias("worst_manager_attrition_pct"),
         "high_risk_count", "medium_risk_count", "low_risk_count")
