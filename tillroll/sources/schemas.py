@@ -83,3 +83,22 @@ RAW_TABLES = {
     "attendance_monthly": RAW_ATTENDANCE_MONTHLY, "performance_reviews": RAW_PERFORMANCE_REVIEWS,
     "store_inventory": STORE_INVENTORY, "store_expenses": STORE_EXPENSES,
 }
+
+
+# Driver test tables (read with these schemas, never inferred).
+_NTZ, _DBL = T.TimestampNTZType(), T.DoubleType()
+TEST_TABLES = {
+    "region": _st(("r_regionkey", _I), ("r_name", _S)),
+    "nation": _st(("n_nationkey", _I), ("n_name", _S), ("n_regionkey", _I)),
+    "customer": _st(("c_custkey", _L), ("c_name", _S), ("c_nationkey", _I), ("c_acctbal", _DBL), ("c_mktsegment", _S)),
+    "supplier": _st(("s_suppkey", _L), ("s_name", _S), ("s_nationkey", _I), ("s_acctbal", _DBL)),
+    "part": _st(("p_partkey", _L), ("p_name", _S), ("p_brand", _S), ("p_type", _S), ("p_size", _I),
+                ("p_retailprice", _DBL)),
+    "orders": _st(("o_orderkey", _L), ("o_custkey", _L), ("o_orderstatus", _S), ("o_totalprice", _DBL),
+                  ("o_orderdate", _NTZ), ("o_orderpriority", _S)),
+    "lineitem": _st(("l_orderkey", _L), ("l_partkey", _L), ("l_suppkey", _L), ("l_linenumber", _I),
+                    ("l_quantity", _DBL), ("l_extendedprice", _DBL), ("l_discount", _DBL), ("l_tax", _DBL),
+                    ("l_returnflag", _S), ("l_linestatus", _S), ("l_shipdate", _NTZ)),
+    "events": _st(("event_id", _L), ("ts", _NTZ), ("user_id", _L), ("event_type", _S), ("value", _DBL),
+                  ("props", _S)),
+}

@@ -10,21 +10,60 @@ the Parquet scans.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.sources.schemas import TEST_TABLES
+
 AS_OF = "2001-08-01"  # fixed as-of date for the test data (no CURRENT_DATE)
 
+_INSTANCES: dict = {}
+
+
+def _memo(fn):
+    """Build each adapter frame once per instance (a lazy plan, like a view)."""
+    @functools.wraps(fn)
+    def wrapper(self):
+        key = fn.__name__
+        if key not in self._frames:
+            self._frames[key] = fn(self)
+        return self._frames[key]
+    return wrapper
+
 
 class TestTables:
+    """Adapter frames over one test-data folder. ``TestTables(spark, dir)``
+    returns the session's shared instance, so each table is opened once per
+    session (declared schema: no footer inference) and each adapter frame is
+    one lazy plan reused by every query, as catalog views would be."""
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        key = (id(spark), sf_dir.rstrip("/"))
+        inst = _INSTANCES.get(key)
+        if inst is None or inst.spark is not spark:
+            inst = super().__new__(cls)
+            inst.spark = spark
+            inst.dir = sf_dir.rstrip("/")
+            inst._frames = {}
+            inst._tables = {}
+            _INSTANCES[key] = inst
+        return inst
+
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.dir = sf_dir.rstrip("/")
+        pass
 
     def t(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            r = self.spark.read
+            if name in TEST_TABLES:
+                r = r.schema(TEST_TABLES[name])
+            self._tables[name] = r.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     # -- restaurant -------------------------------------------------------
+    @_memo
     def sales(self) -> DataFrame:
         li = self.t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
         o = self.t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -45,6 +84,7 @@ class TestTables:
             "CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'Walk-in' ELSE 'Reservation' END AS res_type",
         )
 
+    @_memo
     def reservations(self) -> DataFrame:
         return self.t("orders").selectExpr(
             "o_orderkey AS reservation_id", "CAST(o_orderdate AS DATE) AS date",
@@ -53,6 +93,7 @@ class TestTables:
             "CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'Walk-in' ELSE 'Reservation' END AS res_type",
         )
 
+    @_memo
     def menu_dim(self) -> DataFrame:
         return self.t("part").selectExpr(
             "p_partkey AS item", "p_type AS category", "CAST(p_retailprice AS DECIMAL(18,2)) AS price",
@@ -61,11 +102,13 @@ class TestTables:
             "p_type IN ('PROMO','SMALL') AS is_alcohol",
         )
 
+    @_memo
     def staff_dim(self) -> DataFrame:
         return (self.t("supplier").filter("s_suppkey < 10 AND s_suppkey <> 7")
                 .selectExpr("s_suppkey AS employee_id", "s_name AS name",
                             "CASE WHEN s_suppkey % 2 = 0 THEN 'Server' ELSE 'Bartender' END AS role"))
 
+    @_memo
     def purchases(self) -> DataFrame:
         li = self.t("lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_tax", "l_extendedprice")
         p = self.t("part").select("p_partkey", "p_type", "p_retailprice")
@@ -78,6 +121,7 @@ class TestTables:
             "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.3 AS DECIMAL(9,4)) AS DECIMAL(18,4)) AS total_cost",
         )
 
+    @_memo
     def labor(self) -> DataFrame:
         return self.t("orders").selectExpr(
             "o_orderkey AS shift_id", "CAST(o_orderdate AS DATE) AS date", "o_custkey % 50 AS employee_id",
@@ -85,6 +129,7 @@ class TestTables:
             "(4 + o_orderkey % 6) * (12 + o_custkey % 15) AS labor_cost",
         )
 
+    @_memo
     def _orders_by_customer(self) -> DataFrame:
         return self.t("orders").groupBy("o_custkey").agg(
             F.min(F.col("o_orderdate").cast("date")).alias("lo"),
@@ -93,6 +138,7 @@ class TestTables:
             F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("spend"),
         )
 
+    @_memo
     def guests(self) -> DataFrame:
         c = self.t("customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
         n = self.t("nation").select("n_nationkey", "n_name")
@@ -107,6 +153,7 @@ class TestTables:
         )
 
     # -- HR landing (strings as delivered) -------------------------------
+    @_memo
     def employees_raw(self) -> DataFrame:
         c = self.t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
         g = self._orders_by_customer().select("o_custkey", "lo", "hi")
@@ -124,6 +171,7 @@ class TestTables:
             "CASE WHEN c_acctbal < 4000 THEN 'Terminated' ELSE 'Active' END AS status",
         )
 
+    @_memo
     def exits_raw(self) -> DataFrame:
         c = self.t("customer").select("c_custkey", "c_acctbal").filter("c_acctbal < 4000")
         g = self._orders_by_customer().select("o_custkey", "hi")
@@ -136,6 +184,7 @@ class TestTables:
             "CASE WHEN c_custkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS eligible_for_rehire",
         )
 
+    @_memo
     def attendance_raw(self) -> DataFrame:
         o = self.t("orders").select("o_custkey", "o_orderkey", "o_orderdate")
         g = o.groupBy(F.col("o_custkey").alias("employee_id"),
@@ -146,6 +195,7 @@ class TestTables:
             "CAST(s % 30 AS INT) AS overtime_hours", "CAST(s % 5 AS INT) AS late_arrivals",
         )
 
+    @_memo
     def reviews_raw(self) -> DataFrame:
         o = self.t("orders").select("o_custkey", "o_orderkey", "o_orderdate")
         period = F.concat(F.year("o_orderdate").cast("string"),
@@ -160,6 +210,7 @@ class TestTables:
         )
 
     # -- retail -----------------------------------------------------------
+    @_memo
     def store_sales(self) -> DataFrame:
         li = self.t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
         o = self.t("orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -173,6 +224,7 @@ class TestTables:
             " AS DECIMAL(18,4)) AS cost",
         )
 
+    @_memo
     def store_expenses(self) -> DataFrame:
         o = self.t("orders").select("o_custkey", "o_orderkey", "o_orderdate")
         g = o.groupBy(
@@ -184,6 +236,7 @@ class TestTables:
             "CAST(300 + n AS BIGINT) AS utilities", "CAST(s % 450 AS BIGINT) AS misc_expenses",
         )
 
+    @_memo
     def store_inventory(self) -> DataFrame:
         return self.t("part").selectExpr(
             "CONCAT('S00', CAST(1 + p_partkey % 3 AS STRING)) AS store_id", "p_type AS category",
