@@ -174,10 +174,15 @@ def hr_manager_scorecard_v1(emp: DataFrame, exits: DataFrame, att: DataFrame, re
 
 
 def _score_delta(reviews: DataFrame, delta: str) -> DataFrame:
-    asc = Window.partitionBy("employee_id").orderBy(F.asc_nulls_first("review_date"), F.asc_nulls_first("review_period"))
+    """Latest review score and its change. Only the last three reviews per
+    employee matter (the delta uses the last two and their predecessors), so
+    they are cut first: ROW_NUMBER <= 3 plans a partial WindowGroupLimit
+    before the shuffle, and LAG then runs over at most three rows per key."""
     desc = Window.partitionBy("employee_id").orderBy(F.desc_nulls_last("review_date"), F.desc_nulls_last("review_period"))
-    rt = reviews.select("employee_id", F.col("score").alias("latest_score"),
-                        F.lag("score").over(asc).alias("prev_score"), F.row_number().over(desc).alias("rn"))
+    asc = Window.partitionBy("employee_id").orderBy(F.asc_nulls_first("review_date"), F.asc_nulls_first("review_period"))
+    top3 = (reviews.select("employee_id", "score", "review_date", "review_period", F.row_number().over(desc).alias("rn"))
+            .filter(F.col("rn") <= 3))
+    rt = top3.select("employee_id", F.col("score").alias("latest_score"), F.lag("score").over(asc).alias("prev_score"), "rn")
     if delta == "max":
         # The reference: over the last two reviews, MAX(score) - MAX(COALESCE(previous, 0)).
         a = rt.filter(F.col("rn") <= 2).groupBy("employee_id").agg(

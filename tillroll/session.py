@@ -23,6 +23,30 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_executor: int = 8) -> dict:
+    """Settings for a large cluster run, sized from the input volume.
+
+    Shuffle partitions start high and AQE coalesces them to ~256 MB each, so
+    one setting serves both the line-level shuffles (tens of TB) and the
+    small month/day aggregates; file splits of 256 MB give ~400k scan tasks
+    at 100 TB; a partition 5x the median and over 1 GB is split by the skew
+    join rule."""
+    slots = executors * cores_per_executor
+    initial = max(slots * 3, int(input_tb * 1024 * 1024 / 256 / 4))  # ~1/4 of input shuffled, 256 MB each
+    return {
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
+    }
+
+
 def get_spark(master: str | None = None, app: str = "tillroll",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session. ``master`` is only set when given, so a
