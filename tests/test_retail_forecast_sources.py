@@ -93,3 +93,14 @@ def test_csv_landing_and_mart_roundtrip(spark):
     back = io.read_mart(spark, out)
     assert back.count() == 2 and all(c == c.lower() for c in back.columns)
     assert io.lower_columns(spark.createDataFrame([(1,)], "A int")).columns == ["a"]
+
+
+def test_typed_table_ddl_and_append(spark):
+    tmp = tempfile.mkdtemp(prefix="tillroll-test-")
+    io.create_namespaces(spark, ["raw"])
+    t = io.create_table(spark, "raw.staff_dim", schemas.STAFF_DIM, os.path.join(tmp, "staff"))
+    assert t.schema == schemas.STAFF_DIM
+    rows = spark.createDataFrame([("E1", "Ann", "Server", D("12.50"), dt.date(2020, 1, 1))], schemas.STAFF_DIM)
+    io.bulk_load(rows, os.path.join(tmp, "staff"))
+    spark.catalog.refreshTable("raw.staff_dim")
+    assert spark.table("raw.staff_dim").collect()[0].name == "Ann"

@@ -19,6 +19,16 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt:
     return r.csv(path)
 
 
+def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str,
+                 partition_by: list[str] | None = None) -> DataFrame:
+    """CREATE TABLE IF NOT EXISTS ... USING parquet from a declared schema
+    (the reference's typed RAW tables), stored at ``path``."""
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    part = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{part} LOCATION '{path}'")
+    return spark.table(name)
+
+
 def bulk_load(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     """Land a typed frame as Parquet (append by default)."""
     w = df.write.mode(mode)
