@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,8 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from tillroll.session import get_spark
-    s = get_spark("local[4]", app="tillroll-tests", shuffle_partitions=4)
+    s = get_spark("local[4]", app="tillroll-tests", shuffle_partitions=4,
+                  extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tillroll-wh-")})
     yield s
     s.stop()
 
