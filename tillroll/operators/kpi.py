@@ -10,7 +10,30 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import day_type, week_number, weekday_name
 from tillroll.functions.numeric import money, ratio
-from tillroll.operators._sales import order_grain
+from tillroll.operators._sales import alcohol_rev, food_rev
+
+
+def _per_service(sales: DataFrame) -> DataFrame:
+    """(date, service): distinct checks, distinct seatings, guests over
+    distinct reservations, revenue split -- from ONE scan.
+
+    GROUPING SETS (date, service, reservation_id) and (date, service,
+    order_id) emit each line twice; the partial aggregate collapses them to
+    reservation and order grain map-side. A distinct count is then a count
+    of that grain's rows, and the party of each reservation is counted once."""
+    base = sales.select("date", "service", "reservation_id", "order_id", "party_size", "line_total", "is_alcohol")
+    g = base.groupingSets([["date", "service", "reservation_id"], ["date", "service", "order_id"]],
+                          "date", "service", "reservation_id", "order_id").agg(
+        F.sum("line_total").alias("_rev"), F.sum(alcohol_rev()).alias("_alc"), F.sum(food_rev()).alias("_food"),
+        F.max("party_size").alias("_ps"), F.grouping_id().alias("_gid"))
+    by_res = F.col("_gid") == 1    # order_id rolled up
+    by_order = F.col("_gid") == 2  # reservation_id rolled up
+    return g.groupBy("date", "service").agg(
+        F.count(F.when(by_order & F.col("order_id").isNotNull(), 1)).alias("checks"),
+        F.count(F.when(by_res & F.col("reservation_id").isNotNull(), 1)).alias("covers"),
+        F.sum(F.when(by_res, F.col("_ps"))).alias("total_guests"),
+        F.sum(F.when(by_res, F.col("_rev"))).alias("_rev"), F.sum(F.when(by_res, F.col("_alc"))).alias("_alc"),
+        F.sum(F.when(by_res, F.col("_food"))).alias("_food"))
 
 
 def kpi_daily(sales: DataFrame, labor: DataFrame, purchases: DataFrame) -> DataFrame:
@@ -18,18 +41,12 @@ def kpi_daily(sales: DataFrame, labor: DataFrame, purchases: DataFrame) -> DataF
     (an order seen in two services counts twice, as in the reference), guests
     = party sizes of distinct reservations, revenue split, labour, COGS,
     operating profit and margin."""
-    og = order_grain(sales, ["date", "service"], [F.max("party_size").alias("_ps")])
-    per_service = og.groupBy("date", "service").agg(
-        F.countDistinct("order_id").alias("checks"), F.countDistinct("reservation_id").alias("covers"),
+    daily = _per_service(sales).groupBy("date").agg(
+        F.sum("checks").alias("checks"), F.sum("covers").alias("covers"), F.sum("total_guests").alias("total_guests"),
         F.sum("_rev").alias("_rev"), F.sum("_alc").alias("_alc"), F.sum("_food").alias("_food"))
-    daily = per_service.groupBy("date").agg(
-        F.sum("checks").alias("checks"), F.sum("covers").alias("covers"), F.sum("_rev").alias("_rev"),
-        F.sum("_alc").alias("_alc"), F.sum("_food").alias("_food"))
-    guests = (og.groupBy("date", "service", "reservation_id").agg(F.max("_ps").alias("_ps"))
-              .groupBy("date").agg(F.sum("_ps").alias("total_guests")))
     lab = labor.groupBy("date").agg(F.sum("labor_cost").alias("_l"), F.sum("hours_worked").alias("_h"))
     cogs = purchases.groupBy("date").agg(F.sum("total_cost").alias("_c"))
-    j = daily.join(guests, "date", "left").join(lab, "date", "left").join(cogs, "date", "left")
+    j = daily.join(lab, "date", "left").join(cogs, "date", "left")
     lc, cc = F.coalesce(F.col("_l"), F.lit(0)), F.coalesce(F.col("_c"), F.lit(0))
     profit = F.col("_rev") - lc - cc
     return j.select(
