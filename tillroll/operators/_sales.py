@@ -27,12 +27,33 @@ def line_measures() -> list[Column]:
 def order_grain(sales: DataFrame, keys: list, extra: list[Column] | None = None) -> DataFrame:
     """Collapse lines to (keys, order_id, reservation_id) with additive
     measures. The partial aggregate runs map-side, so the shuffle carries
-    orders rather than lines, and distinct counts downstream expand orders
-    instead of lines."""
+    orders rather than lines."""
     return sales.groupBy(*keys, "order_id", "reservation_id").agg(*line_measures(), *(extra or []))
 
 
-def rollup_measures() -> list[Column]:
-    """Re-aggregate order-grain rows."""
-    return [F.sum("_rev").alias("_rev"), F.sum("_alc").alias("_alc"),
-            F.sum("_food").alias("_food"), F.sum("_n").alias("_n")]
+
+def checks_and_seatings(sales: DataFrame, keys: list[str], extra: dict[str, Column] | None = None,
+                        guests: bool = False) -> DataFrame:
+    """Per ``keys``: distinct checks (orders), distinct seatings
+    (reservations), the additive line measures (_rev, _alc, _food, _n), the
+    ``extra`` sums (name -> aggregate) and, with ``guests``, party sizes
+    summed over distinct reservations (total_guests) -- from one scan.
+
+    GROUPING SETS (keys, reservation_id) and (keys, order_id) emit each line
+    twice; the partial aggregate collapses them to reservation and order
+    grain before the shuffle, so a distinct count becomes a count of rows of
+    that grain (no Expand per distinct column over lines, no second scan).
+    A hot key value is spread over its reservations and orders."""
+    measures = {"_rev": F.sum("line_total"), "_alc": F.sum(alcohol_rev()), "_food": F.sum(food_rev()),
+                "_n": F.count("line_total"), **(extra or {})}
+    if guests:
+        measures["total_guests"] = F.max("party_size")
+    cols = [*keys, "reservation_id", "order_id"]
+    g = sales.groupingSets([[*keys, "reservation_id"], [*keys, "order_id"]], *cols).agg(
+        *[agg.alias(name) for name, agg in measures.items()], F.grouping_id().alias("_gid"))
+    by_res = F.col("_gid") == 1    # order_id rolled up
+    by_order = F.col("_gid") == 2  # reservation_id rolled up
+    out = [F.count(F.when(by_order & F.col("order_id").isNotNull(), 1)).alias("checks"),
+           F.count(F.when(by_res & F.col("reservation_id").isNotNull(), 1)).alias("covers")]
+    out += [F.sum(F.when(by_res, F.col(name))).alias(name) for name in measures]
+    return g.groupBy(*keys).agg(*out)

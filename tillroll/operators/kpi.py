@@ -10,30 +10,13 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import day_type, week_number, weekday_name
 from tillroll.functions.numeric import money, ratio
-from tillroll.operators._sales import alcohol_rev, food_rev
+from tillroll.operators._sales import checks_and_seatings
 
 
 def _per_service(sales: DataFrame) -> DataFrame:
     """(date, service): distinct checks, distinct seatings, guests over
-    distinct reservations, revenue split -- from ONE scan.
-
-    GROUPING SETS (date, service, reservation_id) and (date, service,
-    order_id) emit each line twice; the partial aggregate collapses them to
-    reservation and order grain map-side. A distinct count is then a count
-    of that grain's rows, and the party of each reservation is counted once."""
-    base = sales.select("date", "service", "reservation_id", "order_id", "party_size", "line_total", "is_alcohol")
-    g = base.groupingSets([["date", "service", "reservation_id"], ["date", "service", "order_id"]],
-                          "date", "service", "reservation_id", "order_id").agg(
-        F.sum("line_total").alias("_rev"), F.sum(alcohol_rev()).alias("_alc"), F.sum(food_rev()).alias("_food"),
-        F.max("party_size").alias("_ps"), F.grouping_id().alias("_gid"))
-    by_res = F.col("_gid") == 1    # order_id rolled up
-    by_order = F.col("_gid") == 2  # reservation_id rolled up
-    return g.groupBy("date", "service").agg(
-        F.count(F.when(by_order & F.col("order_id").isNotNull(), 1)).alias("checks"),
-        F.count(F.when(by_res & F.col("reservation_id").isNotNull(), 1)).alias("covers"),
-        F.sum(F.when(by_res, F.col("_ps"))).alias("total_guests"),
-        F.sum(F.when(by_res, F.col("_rev"))).alias("_rev"), F.sum(F.when(by_res, F.col("_alc"))).alias("_alc"),
-        F.sum(F.when(by_res, F.col("_food"))).alias("_food"))
+    distinct reservations and the revenue split, from one scan."""
+    return checks_and_seatings(sales, ["date", "service"], guests=True)
 
 
 def kpi_daily(sales: DataFrame, labor: DataFrame, purchases: DataFrame) -> DataFrame:
