@@ -101,3 +101,29 @@ def test_reports(spark):
     assert len(bands) == 6 and bands[0].tenure_band == "0-3 months"
     piv = hr_reports.hr_reason_by_role(mart).collect()
     assert {r.role: (r["Burnout"], r["INVOLUNTARY - No Show"]) for r in piv} == {"Driver": (1, 0), "Mover": (0, 1)}
+
+
+def test_scorecard_flag_edges_and_no_exit_team(spark):
+    rows = [(100, "M One", "Manager", "Ops", "2020-01-01", None, None, 30.0, None, "Active"),
+            (101, "M Two", "Manager", "Ops", "2020-01-01", None, None, 30.0, None, "Active"),
+            (102, "M Three", "Manager", "Ops", "2020-01-01", None, None, 30.0, None, "Active")]
+    # team 100: 3 of 5 leave (0.60); team 101: 2 of 5 (0.40); team 102: nobody leaves
+    for i in range(5):
+        rows.append((200 + i, f"A{i}", "Driver", "Crew", "2021-01-01", "2022-01-01" if i < 3 else None,
+                     "Voluntary" if i < 3 else None, 18.0, "100.0", "Terminated" if i < 3 else "Active"))
+        rows.append((300 + i, f"B{i}", "Driver", "Crew", "2021-01-01", "2022-01-01" if i < 2 else None,
+                     "Voluntary" if i < 2 else None, 18.0, "101.0", "Terminated" if i < 2 else "Active"))
+        rows.append((400 + i, f"C{i}", "Mover", "Crew", "2021-01-01", None, None, 18.0, "102", "Active"))
+    emp = hr_staging.stg_employees(spark.createDataFrame(rows, EMP_DDL), "2024-01-01")
+    ex = exits(spark).filter("employee_id < 0")
+    sc = {r.manager_id: r for r in hr_marts.hr_manager_scorecard(emp, ex, attendance(spark)).collect()}
+    assert (sc[100].attrition_rate, sc[100].team_health_flag) == (0.6, "High Risk")
+    assert (sc[101].attrition_rate, sc[101].team_health_flag) == (0.4, "Watch")
+    assert (sc[102].total_exits, sc[102].burnout_rate, sc[102].team_health_flag) == (0, None, "Healthy")
+    assert sc[100].avg_tenure_at_exit_months == 12.2
+
+
+def test_flight_risk_left_keeps_staff_without_reviews(spark):
+    inner = hr_marts.hr_flight_risk(emps(spark), reviews(spark), attendance(spark), "2024-01-01")
+    left = hr_marts.hr_flight_risk(emps(spark), reviews(spark), attendance(spark), "2024-01-01", how="left")
+    assert inner.count() == 1 and left.count() == 3

@@ -118,7 +118,7 @@ def _cascade(x: Column, table, cmp: str, otherwise):
     return expr.otherwise(F.lit(otherwise))
 
 
-def hr_manager_scorecard(emp: DataFrame, exits: DataFrame, att: DataFrame) -> DataFrame:
+def hr_manager_scorecard(emp: DataFrame, exits: DataFrame, att: DataFrame, flags=HEALTH_FLAGS) -> DataFrame:
     ot = att.groupBy("employee_id").agg(ratio(F.sum("overtime_hours"), F.count("overtime_hours"), 1).alias("avg_monthly_ot"))
     e = (emp.filter(F.col("manager_id").isNotNull())
          .join(exits.select("employee_id", "exit_reason"), "employee_id", "left")
@@ -138,7 +138,7 @@ def hr_manager_scorecard(emp: DataFrame, exits: DataFrame, att: DataFrame) -> Da
         "manager_id", "manager_name", "team_size", "total_exits", ratio("_ten", "_tenn", 1).alias("avg_tenure_at_exit_months"),
         rate.alias("attrition_rate"), "burnout_exits", ratio("burnout_exits", "total_exits", 4).alias("burnout_rate"),
         ratio("_ot", "_otn", 1).alias("avg_team_ot_hours"))
-    return out.withColumn("team_health_flag", _cascade(F.col("attrition_rate"), HEALTH_FLAGS, ">=", "Healthy")) \
+    return out.withColumn("team_health_flag", _cascade(F.col("attrition_rate"), flags, ">=", "Healthy")) \
         .orderBy(F.desc_nulls_last("attrition_rate"), "manager_id")
 
 
@@ -197,8 +197,12 @@ def _score_delta(reviews: DataFrame, delta: str) -> DataFrame:
 
 
 def hr_flight_risk(emp: DataFrame, reviews: DataFrame, att: DataFrame, as_of: str | dt.date,
-                   months: int = 6, delta: str = "max", how: str = "inner") -> DataFrame:
-    """Points-based flight risk for active staff (score 0-100, label)."""
+                   months: int = 6, delta: str = "max", how: str = "inner",
+                   score_points=SCORE_DELTA_POINTS, overtime_points=OVERTIME_POINTS,
+                   absence_points=ABSENCE_POINTS, labels=RISK_LABELS) -> DataFrame:
+    """Points-based flight risk for active staff (score 0-100, label).
+    ``how="left"`` keeps active staff without reviews or recent attendance
+    (the reference's inner joins drop them); point tables are parameters."""
     sd = _score_delta(reviews, delta)
     since = F.add_months(F.lit(as_of).cast("date"), -months)
     ra = att.filter(F.col("month") >= since).groupBy("employee_id").agg(
@@ -207,9 +211,9 @@ def hr_flight_risk(emp: DataFrame, reviews: DataFrame, att: DataFrame, as_of: st
         ratio(F.sum("late_arrivals"), F.count("late_arrivals"), 1).alias("recent_late_avg"))
     base = (emp.filter(F.col("status") == "Active").join(sd, "employee_id", how).join(ra, "employee_id", how))
     tm = tenure_months()
-    score_pts = _cascade(F.col("review_score_delta"), SCORE_DELTA_POINTS, "<", 0)
-    ot_pts = _cascade(F.col("recent_avg_ot"), OVERTIME_POINTS, ">=", 0)
-    abs_pts = _cascade(F.col("recent_absence_rate"), ABSENCE_POINTS, ">=", 0)
+    score_pts = _cascade(F.col("review_score_delta"), score_points, "<", 0)
+    ot_pts = _cascade(F.col("recent_avg_ot"), overtime_points, ">=", 0)
+    abs_pts = _cascade(F.col("recent_absence_rate"), absence_points, ">=", 0)
     ten_pts = (F.when(tm.between(12, 30), F.lit(TENURE_POINTS_IN_RANGE))
                .when(tm < 12, F.lit(TENURE_POINTS_SHORT)).otherwise(F.lit(TENURE_POINTS_LONG)))
     score = F.least(F.lit(100), score_pts + ot_pts + ten_pts + abs_pts)
@@ -217,7 +221,7 @@ def hr_flight_risk(emp: DataFrame, reviews: DataFrame, att: DataFrame, as_of: st
         "employee_id", "name", "role", "department", "manager_id", tm.alias("tenure_months"),
         tenure_band("tenure_days").alias("tenure_band"), "hourly_rate", "current_review_score", "review_score_delta",
         "recent_avg_ot", "recent_absence_rate", "recent_late_avg", score.alias("flight_risk_score"))
-    return out.withColumn("flight_risk_label", _cascade(F.col("flight_risk_score"), RISK_LABELS, ">=", "Low"))
+    return out.withColumn("flight_risk_label", _cascade(F.col("flight_risk_score"), labels, ">=", "Low"))
 
 
 def hr_flight_risk_v1(emp: DataFrame, reviews: DataFrame, att: DataFrame,
