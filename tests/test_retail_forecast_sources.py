@@ -104,3 +104,17 @@ def test_typed_table_ddl_and_append(spark):
     io.bulk_load(rows, os.path.join(tmp, "staff"))
     spark.catalog.refreshTable("raw.staff_dim")
     assert spark.table("raw.staff_dim").collect()[0].name == "Ann"
+
+
+def test_retail_operators_equal_on_daily_mart(spark):
+    from tillroll.sources.testdata import TestTables
+    from tests.conftest import SF_SMALL
+    sales = TestTables(spark, SF_SMALL).store_sales()
+    mart = retail.retail_daily_mart(sales)
+    for fn in (retail.retail_kpis, retail.retail_by_store, retail.retail_by_category, retail.retail_gross_profit,
+               retail.retail_monthly, retail.retail_category_rank, retail.retail_yoy, retail.retail_seasonality):
+        a = sorted(tuple(r) for r in fn(sales).collect())
+        b = sorted(tuple(r) for r in fn(mart).collect())
+        assert a == b, fn.__name__
+    f = dict(stores=["S001", "S002"], date_from="1996-01-01", date_to="1997-12-31")
+    assert retail.retail_kpis(sales, **f).collect() == retail.retail_kpis(mart, **f).collect()

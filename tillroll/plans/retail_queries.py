@@ -147,3 +147,14 @@ FROM r FULL OUTER JOIN s ON r.category = s.category""", "store_sales", "store_in
 def q_retail_shelf_productivity(spark, d):
     t = TestTables(spark, d)
     return retail.retail_shelf_productivity(t.store_sales(), t.store_inventory())
+
+
+@register("retail_daily_mart", with_views("""
+SELECT store_id, category, date, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(cost) AS DOUBLE) AS cost,
+  CAST(SUM(units) AS BIGINT) AS units
+FROM store_sales GROUP BY 1, 2, 3""", "store_sales"))
+def q_retail_daily_mart(spark, d):
+    """The mart keeps exact decimals; the report exposes them as DOUBLE."""
+    m = retail.retail_daily_mart(_sales(spark, d))
+    return m.select("store_id", "category", "date", m.revenue.cast("double").alias("revenue"),
+                    m.cost.cast("double").alias("cost"), "units")
