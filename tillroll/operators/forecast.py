@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.windows import fill_month_gaps
+
 OUT_SCHEMA = ("series_id string, period_month date, kind string, value double, "
               "alpha double, beta double, gamma double")
 GRID = tuple(round(x, 2) for x in np.arange(0.05, 1.0, 0.1))
@@ -95,9 +97,7 @@ def monthly_series(df: DataFrame, series_col: str, time_col: str, value_col: str
                   F.trunc(F.col(time_col), "month").alias("period_month"),
                   F.col(value_col).cast("double").alias("value"))
     s = s.groupBy("series_id", "period_month").agg(F.sum("value").alias("value"))
-    spine = (s.groupBy("series_id").agg(F.min("period_month").alias("_lo"), F.max("period_month").alias("_hi"))
-             .select("series_id", F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("period_month")))
-    return spine.join(s, ["series_id", "period_month"], "left").fillna(0.0, subset=["value"])
+    return fill_month_gaps(s, "period_month", ["series_id"]).fillna(0.0, subset=["value"])
 
 
 def ts_holt_winters(df: DataFrame, series_col: str, time_col: str, value_col: str,

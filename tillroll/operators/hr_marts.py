@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.banding import tenure_band
 from tillroll.functions.numeric import fix, ratio, to_dec
 from tillroll.functions.ranking import latest_by
+from tillroll.functions.windows import fill_month_gaps
 
 # Flight-risk points (threshold, points) checked in order, and labels.
 SCORE_DELTA_POINTS = [(-0.5, 35), (0.0, 20)]          # delta < threshold
@@ -83,10 +84,8 @@ def hr_monthly_trend(att: DataFrame, exits: DataFrame, spine: str = "attendance"
     if spine == "attendance":
         j = hc.join(ex, "period_month", "left")
     elif spine == "calendar":
-        bounds = (hc.select("period_month").unionByName(ex.select("period_month"))
-                  .agg(F.min("period_month").alias("_lo"), F.max("period_month").alias("_hi")))
-        months = bounds.select(F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH"))).alias("period_month"))
-        j = months.join(hc, "period_month", "left").join(ex, "period_month", "left") \
+        # months seen in either input, then the gaps between them (bounded by the calendar)
+        j = fill_month_gaps(hc.join(ex, "period_month", "full"), "period_month") \
             .withColumn("active_headcount", F.coalesce("active_headcount", F.lit(0)).cast("bigint"))
     else:
         raise ValueError(spine)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.banding import band_labels
 from tillroll.functions.calendar import month_label
 from tillroll.functions.numeric import fix, ratio, to_dec
-from tillroll.functions.quantiles import histogram, quantiles_from_histogram
+from tillroll.functions.quantiles import histogram, quantile_columns
 from tillroll.functions.reindex import reindex
 from tillroll.functions.windows import rolling_mean
 
@@ -110,19 +110,18 @@ def hr_risk_levels(risk: DataFrame) -> DataFrame:
 
 def hr_risk_distribution(risk: DataFrame, whisker: float = 1.5) -> DataFrame:
     """Box-plot numbers per role from the score histogram (scores are
-    integers 0-100, so a role is at most 101 histogram rows)."""
-    h = histogram(risk, ["role"], "flight_risk_score")
-    q = quantiles_from_histogram(h, ["role"], "flight_risk_score", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    integers 0-100, so a role is at most 101 histogram rows): one partial
+    aggregate, windows over each role's histogram, one final aggregate."""
+    h = quantile_columns(histogram(risk, ["role"], "flight_risk_score"), ["role"], "flight_risk_score",
+                         {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    q = q.withColumn("_lo", F.col("q1") - F.lit(whisker) * iqr).withColumn("_hi", F.col("q3") + F.lit(whisker) * iqr)
-    j = h.join(q.select("role", "_lo", "_hi"), "role")
     v = F.col("flight_risk_score")
-    inside = v.between(F.col("_lo"), F.col("_hi"))
-    w = j.groupBy("role").agg(
-        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("_cnt")).otherwise(F.lit(0))).alias("n_outliers"))
-    return q.join(w, "role").select("role", F.col("n").alias("employees"), "whisker_low", "q1", "median", "q3",
-                                    "whisker_high", "n_outliers").orderBy("role")
+    inside = v.between(F.col("q1") - F.lit(whisker) * iqr, F.col("q3") + F.lit(whisker) * iqr)
+    return h.groupBy("role").agg(
+        F.first("_n").alias("employees"), F.min(F.when(inside, v)).alias("whisker_low"),
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+        F.max(F.when(inside, v)).alias("whisker_high"),
+        F.sum(F.when(~inside, F.col("_cnt")).otherwise(F.lit(0))).alias("n_outliers")).orderBy("role")
 
 
 def hr_top_risk(risk: DataFrame, k: int = 10) -> DataFrame:
@@ -132,23 +131,32 @@ def hr_top_risk(risk: DataFrame, k: int = 10) -> DataFrame:
 
 
 def hr_key_findings(att_mart: DataFrame, scorecard: DataFrame, risk: DataFrame) -> DataFrame:
-    """One row of headline findings. Each finding is one scalar subquery over
-    an aggregate (label and count travel together in a struct); modes break
-    ties by label. Fed from materialised marts (``plans.hr``) the subqueries
-    read the mart files, not the raw facts."""
+    """One row of headline findings from three one-row aggregates, each
+    computed once in one plan: both modes (exit reason, tenure band of
+    leavers) from a GROUPING SETS pass over the attrition mart, picked with
+    MIN_BY over (-count, label) so ties go to the first label; the worst
+    manager as a MIN_BY over the scorecard; the risk counts. The three rows
+    are unioned and folded by one final aggregate (no join, no subquery)."""
     ex = att_mart.filter(F.col("is_terminated") == 1)
-    top_reason = (ex.filter(F.col("exit_reason").isNotNull()).groupBy("exit_reason").agg(F.count(F.lit(1)).alias("n"))
-                  .orderBy(F.desc("n"), "exit_reason").limit(1).select(F.struct("exit_reason", "n")).scalar())
-    top_band = (ex.groupBy("tenure_band").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tenure_band")
-                .limit(1).select(F.struct("tenure_band", "n")).scalar())
-    worst = (scorecard.orderBy(F.desc_nulls_last("attrition_rate"), "manager_id").limit(1)
-             .select(F.struct("manager_name", fix(F.col("attrition_rate") * F.lit(100.0), 2).alias("pct"))).scalar())
+    g = ex.groupingSets([["exit_reason"], ["tenure_band"]], "exit_reason", "tenure_band").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"))
+    reason_row = (F.col("_gid") == 1) & F.col("exit_reason").isNotNull()
+    band_row = F.col("_gid") == 2
+    modes = g.agg(
+        F.min_by(F.struct("exit_reason", "n"), F.when(reason_row, F.struct(-F.col("n"), F.col("exit_reason")))).alias("_r"),
+        F.min_by(F.struct("tenure_band", "n"), F.when(band_row, F.struct(-F.col("n"), F.col("tenure_band")))).alias("_b"))
+    rate = F.col("attrition_rate")
+    worst = scorecard.agg(F.min_by(
+        F.struct("manager_name", fix(rate * F.lit(100.0), 2).alias("pct")),
+        F.struct(rate.isNull(), -rate, F.col("manager_id"))).alias("_w"))
     lab = F.col("flight_risk_label")
-    base = risk.agg(F.count_if(lab == "High").alias("high_risk_count"), F.count_if(lab == "Medium").alias("medium_risk_count"),
-                    F.count_if(lab == "Low").alias("low_risk_count"))
-    return base.select(
-        top_reason.getField("exit_reason").alias("top_exit_reason"), top_reason.getField("n").alias("top_exit_reason_count"),
-        top_band.getField("tenure_band").alias("peak_tenure_band"), top_band.getField("n").alias("peak_tenure_band_exits"),
-        worst.getField("manager_name").alias("worst_manager_name"),
-        worst.getField("pct").alias("worst_manager_attrition_pct"),
+    counts = risk.agg(F.count_if(lab == "High").alias("high_risk_count"),
+                      F.count_if(lab == "Medium").alias("medium_risk_count"),
+                      F.count_if(lab == "Low").alias("low_risk_count"))
+    u = modes.unionByName(worst, allowMissingColumns=True).unionByName(counts, allowMissingColumns=True)
+    one = u.agg(*[F.max(c).alias(c) for c in ("_r", "_b", "_w", "high_risk_count", "medium_risk_count", "low_risk_count")])
+    return one.select(
+        F.col("_r.exit_reason").alias("top_exit_reason"), F.col("_r.n").alias("top_exit_reason_count"),
+        F.col("_b.tenure_band").alias("peak_tenure_band"), F.col("_b.n").alias("peak_tenure_band_exits"),
+        F.col("_w.manager_name").alias("worst_manager_name"), F.col("_w.pct").alias("worst_manager_attrition_pct"),
         "high_risk_count", "medium_risk_count", "low_risk_count")
