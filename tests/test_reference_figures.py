@@ -90,3 +90,19 @@ def test_expense_totals(spark):
     assert chk.filter("mismatch").count() == 0 and chk.count() == 72
     tot = {r.store_id: r.t for r in chk.groupBy("store_id").agg(F.sum("computed_total").alias("t")).collect()}
     assert tot == TWO_YEAR_EXPENSES
+
+
+def test_pipeline_from_exports(spark):
+    """CSV exports -> RAW -> STAGING -> written marts -> written reports."""
+    from tillroll.plans import run
+    paths = run.run_hr(spark, f"{HR}/employees.csv", f"{HR}/exit_records.csv", f"{HR}/performance_reviews.csv",
+                       "2026-04-30")
+    k = io.read_mart(spark, paths["hr_headline_kpis"]).collect()[0]
+    assert (k.total, k.terminated, k.overall_rate) == (185, 93, 50.3)
+    f = io.read_mart(spark, paths["hr_key_findings"]).collect()[0]
+    assert (f.top_exit_reason, f.peak_tenure_band) == ("Burnout", "1-2 years")
+    sc = io.read_mart(spark, paths["mart_manager_scorecard"])
+    assert sc.filter("team_health_flag = 'High Risk'").count() == 8
+    rp = run.run_retail(spark, f"{SHOP}/alex_inventory.csv", f"{SHOP}/alex_expenses.csv")
+    st = io.read_mart(spark, rp["retail_stock_status"])
+    assert st.filter("status = 'Low Stock'").count() == 16
