@@ -5,6 +5,8 @@ written once under the shared folder -> report tables written next to them.
     python -m tillroll.plans.run hr --employees E.csv --exits X.csv --reviews R.csv \\
         [--attendance A.csv] --as-of 2026-04-30 [--out DIR]
     python -m tillroll.plans.run retail --inventory I.csv --expenses X.csv [--out DIR]
+    python -m tillroll.plans.run restaurant --sales S --reservations R --purchases P --labor L \
+        --guests G --menu M.csv --staff T.csv [--out DIR]
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
-from tillroll.operators import retail
+from tillroll.operators import cost, covers, guests, kpi, marts, menu, quality, retail, revenue, servers
 from tillroll.plans import pipelines
 from tillroll.sources import io, schemas
 
@@ -61,6 +63,70 @@ def run_retail(spark: SparkSession, inventory: str, expenses: str, out: str | No
     return paths
 
 
+RESTAURANT_SCHEMAS = {
+    "sales": schemas.SALES_TRANSACTIONS, "reservations": schemas.RESERVATIONS,
+    "purchases": schemas.INVENTORY_PURCHASES, "labor": schemas.LABOR_HOURS, "guests": schemas.GUEST_PROFILES,
+    "menu": schemas.MENU_DIM, "staff": schemas.STAFF_DIM,
+}
+
+
+def _read_any(spark: SparkSession, path: str, schema):
+    """Parquet folders/files as they are; CSV exports with the declared schema."""
+    if path.lower().endswith(".csv"):
+        return io.read_csv(spark, path, schema, keep_corrupt=False)
+    return spark.read.parquet(path)
+
+
+def restaurant_reports(t: dict) -> dict:
+    """Every restaurant analysis as a lazy DataFrame over the given tables."""
+    s, r, p, lab, g, m, st = (t[k] for k in ("sales", "reservations", "purchases", "labor", "guests", "menu", "staff"))
+    daily = kpi.kpi_daily(s, lab, p)
+    return {
+        "dq_table_profile": quality.dq_table_profile({"sales_transactions": (s, "date"), "reservations": (r, "date"),
+                                                      "inventory_purchases": (p, "date"), "labor_hours": (lab, "date")}),
+        "dq_null_counts": quality.dq_null_counts(s, ["order_id", "date", "line_total", "category", "server_id", "is_alcohol"]),
+        "dq_orphan_keys": quality.dq_orphan_keys(s, "server_id", st, "employee_id"),
+        "dq_price_band": quality.dq_price_band(s), "dq_frequent_keys": quality.dq_frequent_keys(s),
+        "rev_annual_pnl": revenue.rev_annual_pnl(s), "rev_monthly_trend": revenue.rev_monthly_trend(s),
+        "rev_by_service_share": revenue.rev_by_service_share(s), "rev_by_weekday": revenue.rev_by_weekday(s),
+        "rev_month_yoy": revenue.rev_month_yoy(s),
+        "menu_category_margin": menu.menu_category_margin(s, m), "menu_top_items": menu.menu_top_items(s, m),
+        "menu_worst_items": menu.menu_worst_items(s, m), "menu_alcohol_share": menu.menu_alcohol_share(s),
+        "menu_discounts": menu.menu_discounts(s),
+        "covers_capacity": covers.covers_capacity(r), "covers_revenue_per_cover": covers.covers_revenue_per_cover(r, s),
+        "covers_by_channel": covers.covers_by_channel(r), "covers_hourly": covers.covers_hourly(s),
+        "covers_peak_windows": covers.covers_peak_windows(s),
+        "pnl_monthly": cost.pnl_monthly(s, p, lab), "cost_by_supplier": cost.cost_by_supplier(p),
+        "cost_inflation": cost.cost_inflation(p), "labor_by_role": cost.labor_by_role(lab),
+        "server_revenue": servers.server_revenue(s, st, r), "server_attach_rate": servers.server_attach_rate(s, st),
+        "guest_segments": guests.guest_segments(g), "guest_by_town": guests.guest_by_town(g),
+        "guest_cohorts": guests.guest_cohorts(g), "guest_segment_ratio": guests.guest_segment_ratio(g),
+        "guest_town_rank": guests.guest_town_rank(g),
+        "kpi_daily": daily, "kpi_day_type": kpi.kpi_day_type(daily),
+    }
+
+
+def run_restaurant(spark: SparkSession, paths: dict[str, str], out: str | None = None,
+                   ytd_years=None, ytd_cutoff: str | None = None) -> dict[str, str]:
+    """Land the seven restaurant tables, write the five marts, reconcile
+    them, and write every analysis result; returns name -> path."""
+    out = out or pipelines.run_dir(spark)
+    t = {k: _read_any(spark, v, RESTAURANT_SCHEMAS[k]) for k, v in paths.items()}
+    for name, df in t.items():
+        io.register_view(df, f"raw_{name}")
+    written = pipelines.build_restaurant_marts(spark, t["sales"], out)
+    reports = restaurant_reports(t)
+    reports["dq_mart_reconcile"] = marts.dq_mart_reconcile(t["sales"], pipelines.read_marts(spark, written))
+    if ytd_years:
+        reports["rev_ytd_compare"] = revenue.rev_ytd_compare(t["sales"], ytd_years, ytd_cutoff or "12-31")
+    reports["guest_pareto"] = guests.guest_pareto(t["guests"])
+    for name, df in reports.items():
+        p = f"{out}/reports/{name}"
+        io.write_mart(df, p)
+        written[name] = p
+    return written
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="tillroll.plans.run")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -75,13 +141,19 @@ def main(argv=None) -> None:
     r.add_argument("--inventory", required=True)
     r.add_argument("--expenses", required=True)
     r.add_argument("--out")
+    x = sub.add_parser("restaurant")
+    for k in RESTAURANT_SCHEMAS:
+        x.add_argument(f"--{k}", required=True)
+    x.add_argument("--out")
     a = ap.parse_args(argv)
     from tillroll.session import get_spark
     spark = get_spark()
     if a.cmd == "hr":
         paths = run_hr(spark, a.employees, a.exits, a.reviews, a.as_of, a.attendance, a.out)
-    else:
+    elif a.cmd == "retail":
         paths = run_retail(spark, a.inventory, a.expenses, a.out)
+    else:
+        paths = run_restaurant(spark, {k: getattr(a, k) for k in RESTAURANT_SCHEMAS}, a.out)
     for k, v in paths.items():
         print(f"{k}\t{v}")
 
