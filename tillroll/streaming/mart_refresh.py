@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.operators.kpi import kpi_daily
 from tillroll.operators.marts import mart_daily_service
 
 
@@ -29,9 +30,9 @@ def _recompute(spark: SparkSession, source_path: str, schema: T.StructType, mart
         src = spark.read.schema(schema).parquet(source_path)
         # months per batch are bounded by the calendar span of one batch
         touched = src.withColumn("_m", F.trunc("date", "month")).join(F.broadcast(months), "_m", "left_semi")
-        out = build(touched.drop("_m")).withColumn("month", F.trunc("date", "month"))
+        out = build(touched.drop("_m")).withColumn("mart_month", F.trunc("date", "month"))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("month").parquet(mart_path))
+         .partitionBy("mart_month").parquet(mart_path))
     return upsert
 
 
@@ -45,3 +46,36 @@ def refresh_daily_service(spark: SparkSession, source_path: str, schema: T.Struc
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def _recompute_multi(spark: SparkSession, source_path: str, schema: T.StructType,
+                     others: dict[str, tuple[str, T.StructType]], mart_path: str,
+                     build: Callable[[dict[str, DataFrame]], DataFrame], stream_name: str):
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        months = F.broadcast(batch.select(F.trunc("date", "month").alias("_m")).distinct())
+        srcs = {stream_name: (source_path, schema), **others}
+        frames = {}
+        for name, (path, sch) in srcs.items():
+            df = spark.read.schema(sch).parquet(path)
+            frames[name] = (df.withColumn("_m", F.trunc("date", "month")).join(months, "_m", "left_semi").drop("_m"))
+        out = build(frames).withColumn("mart_month", F.trunc("date", "month"))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("mart_month").parquet(mart_path))
+    return upsert
+
+
+def refresh_kpi_daily(spark: SparkSession, sales: tuple[str, T.StructType], labor: tuple[str, T.StructType],
+                      purchases: tuple[str, T.StructType], mart_path: str, checkpoint: str,
+                      available_now: bool = True):
+    """Keep the daily KPI mart current as sales files land: each batch
+    recomputes its months from all three facts (each filtered to those
+    months, so the scans stay small) and overwrites those months. Labour or
+    purchase files for a month are picked up when its sales are refreshed."""
+    path, schema = sales
+    build = lambda t: kpi_daily(t["sales"], t["labor"], t["purchases"])
+    stream = spark.readStream.schema(schema).parquet(path)
+    w = (stream.writeStream.foreachBatch(
+        _recompute_multi(spark, path, schema, {"labor": labor, "purchases": purchases}, mart_path, build, "sales"))
+         .option("checkpointLocation", checkpoint))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
