@@ -15,11 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import ensure_checkpoint_dir
+
 
 def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
                       num_partitions: int | None = None) -> DataFrame:
     """Exact 1-based ROW_NUMBER over ``order`` (must be a total order:
     end it with a unique key)."""
+    ensure_checkpoint_dir(df.sparkSession)
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(parts, *order)
               .sortWithinPartitions(*order)
