@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.banding import tenure_band
-from tillroll.functions.numeric import fix, ratio, to_dec
+from tillroll.functions.numeric import ratio, to_dec
 from tillroll.functions.ranking import latest_by
 from tillroll.functions.windows import fill_month_gaps
 
