@@ -106,3 +106,20 @@ def test_pipeline_from_exports(spark):
     rp = run.run_retail(spark, f"{SHOP}/alex_inventory.csv", f"{SHOP}/alex_expenses.csv")
     st = io.read_mart(spark, rp["retail_stock_status"])
     assert st.filter("status = 'Low Stock'").count() == 16
+
+
+def test_restaurant_dimension_exports(spark):
+    """Typed landing of the two dimension exports (UTF-8 text, True/False
+    booleans, DECIMAL money) and their published facts."""
+    rest = f"{REF}/project-02-russos-trattoria"
+    menu = io.read_csv(spark, f"{rest}/russos_menu_dim.csv", schemas.MENU_DIM)
+    staff = io.read_csv(spark, f"{rest}/russos_staff_dim.csv", schemas.STAFF_DIM)
+    m, st = io.landing_counts(menu).collect()[0], io.landing_counts(staff).collect()[0]
+    assert (m.rows, m.corrupt_rows, st.rows, st.corrupt_rows) == (33, 0, 14, 0)
+    assert menu.select("item").distinct().count() == 33  # unique on item: safe to join on it
+    assert menu.filter(F.col("gross_margin_pct") != (1 - F.col("cogs_pct")) * 100).count() == 0
+    alcohol = {r.category for r in menu.filter("is_alcohol").select("category").distinct().collect()}
+    assert alcohol == {"Bar", "Wine"}
+    assert staff.count() == 14 and staff.filter(F.col("hire_date").isNull()).count() == 0
+    dup = quality.dq_duplicate_rows(menu.select("item"), ["item"])
+    assert dup.count() == 0

@@ -88,6 +88,8 @@ def test_csv_landing_and_mart_roundtrip(spark):
     rows = {r.employee_id: r for r in df.collect()}
     assert rows[1].manager_id == "140.0" and rows[1]._corrupt_record is None
     assert rows[2].exit_survey_score is None and rows[2]._corrupt_record is not None
+    assert io.landing_counts(df).collect()[0].corrupt_rows == 1
+    assert [r.employee_id for r in io.corrupt_rows(df).collect()] == [2]
     out = os.path.join(tmp, "mart")
     io.write_mart(df.drop("_corrupt_record").withColumn("year", F.lit(2024)), out, ["year"])
     back = io.read_mart(spark, out)

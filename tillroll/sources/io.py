@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
@@ -19,6 +20,22 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt:
     return r.csv(path)
 
 
+def corrupt_rows(df: DataFrame) -> DataFrame:
+    """Rows of a PERMISSIVE landing read that did not parse (to look at;
+    count them with ``landing_counts``)."""
+    return df.filter(F.col(CORRUPT).isNotNull()).select(*df.columns)
+
+
+def landing_counts(df: DataFrame) -> DataFrame:
+    """One row: rows read, rows that did not parse, and NULLs per column.
+    Every column is referenced on purpose: the CSV reader parses (and so
+    validates) only the columns a query needs, and rejects a query whose
+    only referenced column is the corrupt-record one."""
+    cols = [c for c in df.columns if c != CORRUPT]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt_rows"),
+                  *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in cols])
+
+
 def create_table(spark: SparkSession, name: str, schema: T.StructType, path: str,
                  partition_by: list[str] | None = None) -> DataFrame:
     """CREATE TABLE IF NOT EXISTS ... USING parquet from a declared schema
