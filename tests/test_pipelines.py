@@ -3,6 +3,7 @@ equal the reports over the lazy plan."""
 
 from tillroll.operators import marts
 from tillroll.plans import hr_queries, pipelines
+from tillroll.plans.hr_queries import q_hr_employee_attrition
 from tillroll.sources.testdata import AS_OF, TestTables
 from tests.conftest import SF_SMALL
 
@@ -55,3 +56,26 @@ def test_restaurant_runner_from_landed_tables(spark):
     assert all(r.reconciled for r in io.read_mart(spark, out["dq_mart_reconcile"]).collect())
     for name in ("rev_annual_pnl", "menu_category_margin", "kpi_daily", "server_revenue"):
         assert _same(io.read_mart(spark, out[name]), restaurant_queries.__dict__[f"q_{name}"](spark, SF_SMALL)), name
+
+
+def test_bucketed_staging_removes_join_shuffles(spark):
+    from tillroll.operators import hr_marts
+    t = TestTables(spark, SF_SMALL)
+    raw = {"employees": t.employees_raw(), "exit_records": t.exits_raw(),
+           "attendance_monthly": t.attendance_raw(), "performance_reviews": t.reviews_raw()}
+    stg = pipelines.bucketed_staging(spark, pipelines.hr_staging_layer(raw, AS_OF), 4)
+    emp, ex = stg["stg_employees"], stg["stg_exit_records"]
+    att, rv = stg["stg_attendance_monthly"], stg["stg_performance_reviews"]
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        mart = hr_marts.hr_employee_attrition(emp, ex, rv, att)
+        mart.write.format("noop").mode("overwrite").save()
+        plan = mart._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+        lazy = q_hr_employee_attrition(spark, SF_SMALL)
+        assert _same(mart, lazy)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))

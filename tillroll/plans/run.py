@@ -36,11 +36,12 @@ def land_hr(spark: SparkSession, employees: str, exits: str, reviews: str, atten
 
 
 def run_hr(spark: SparkSession, employees: str, exits: str, reviews: str, as_of: str | dt.date,
-           attendance: str | None = None, out: str | None = None) -> dict[str, str]:
-    """Build the HR marts and the report tables; returns name -> path."""
+           attendance: str | None = None, out: str | None = None, buckets: int | None = None) -> dict[str, str]:
+    """Build the HR marts and the report tables; returns name -> path.
+    ``buckets`` writes the staging layer bucketed by employee_id first."""
     out = out or pipelines.run_dir(spark)
     raw = land_hr(spark, employees, exits, reviews, attendance)
-    paths = pipelines.build_hr_marts(spark, raw, as_of, out)
+    paths = pipelines.build_hr_marts(spark, raw, as_of, out, bucket_staging=buckets)
     for name, df in pipelines.hr_reports_from_marts(spark, paths).items():
         p = f"{out}/reports/{name}"
         io.write_mart(df, p)
@@ -137,6 +138,7 @@ def main(argv=None) -> None:
     h.add_argument("--attendance")
     h.add_argument("--as-of", required=True)
     h.add_argument("--out")
+    h.add_argument("--buckets", type=int, help="bucket the staging tables by employee_id")
     r = sub.add_parser("retail")
     r.add_argument("--inventory", required=True)
     r.add_argument("--expenses", required=True)
@@ -149,7 +151,7 @@ def main(argv=None) -> None:
     from tillroll.session import get_spark
     spark = get_spark()
     if a.cmd == "hr":
-        paths = run_hr(spark, a.employees, a.exits, a.reviews, a.as_of, a.attendance, a.out)
+        paths = run_hr(spark, a.employees, a.exits, a.reviews, a.as_of, a.attendance, a.out, a.buckets)
     elif a.cmd == "retail":
         paths = run_retail(spark, a.inventory, a.expenses, a.out)
     else:
