@@ -15,6 +15,7 @@ import argparse
 import datetime as dt
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.operators import cost, covers, guests, kpi, marts, menu, quality, retail, revenue, servers
 from tillroll.plans import pipelines
@@ -49,14 +50,31 @@ def run_hr(spark: SparkSession, employees: str, exits: str, reviews: str, as_of:
     return paths
 
 
-def run_retail(spark: SparkSession, inventory: str, expenses: str, out: str | None = None) -> dict[str, str]:
-    """Stock status / value and the expense check from the retail exports."""
+def run_retail(spark: SparkSession, inventory: str, expenses: str, out: str | None = None,
+               sales: str | None = None) -> dict[str, str]:
+    """Stock status / value and the expense check from the retail exports;
+    with ``sales`` (Parquet: store_id, date, category, product, units,
+    revenue, cost) also the (store, category, date) working mart, written
+    partitioned by year, and every dashboard report computed from it."""
     out = out or pipelines.run_dir(spark)
     inv = io.read_csv(spark, inventory, schemas.STORE_INVENTORY, keep_corrupt=False)
     exp = io.read_csv(spark, expenses, schemas.STORE_EXPENSES, keep_corrupt=False)
     built = {"retail_stock_status": retail.retail_stock_status(inv), "retail_stock_value": retail.retail_stock_value(inv),
              "retail_expense_check": retail.retail_expense_check(exp)}
     paths = {}
+    if sales:
+        mp = f"{out}/marts/retail_daily"
+        io.write_mart(retail.retail_daily_mart(spark.read.parquet(sales)).withColumn("year", F.year("date")), mp, ["year"])
+        paths["retail_daily"] = mp
+        m = spark.read.parquet(mp).drop("year")
+        built.update({
+            "retail_kpis": retail.retail_kpis(m), "retail_by_store": retail.retail_by_store(m),
+            "retail_by_category": retail.retail_by_category(m), "retail_gross_profit": retail.retail_gross_profit(m),
+            "retail_monthly": retail.retail_monthly(m), "retail_net_profit": retail.retail_net_profit(m, exp),
+            "retail_labor_ratio": retail.retail_labor_ratio(m, exp), "retail_category_rank": retail.retail_category_rank(m),
+            "retail_yoy": retail.retail_yoy(m), "retail_seasonality": retail.retail_seasonality(m),
+            "retail_shelf_productivity": retail.retail_shelf_productivity(m, inv),
+        })
     for name, df in built.items():
         p = f"{out}/reports/{name}"
         io.write_mart(df, p)
@@ -142,6 +160,7 @@ def main(argv=None) -> None:
     r = sub.add_parser("retail")
     r.add_argument("--inventory", required=True)
     r.add_argument("--expenses", required=True)
+    r.add_argument("--sales", help="Parquet sales lines (store_id, date, category, product, units, revenue, cost)")
     r.add_argument("--out")
     x = sub.add_parser("restaurant")
     for k in RESTAURANT_SCHEMAS:
@@ -153,7 +172,7 @@ def main(argv=None) -> None:
     if a.cmd == "hr":
         paths = run_hr(spark, a.employees, a.exits, a.reviews, a.as_of, a.attendance, a.out, a.buckets)
     elif a.cmd == "retail":
-        paths = run_retail(spark, a.inventory, a.expenses, a.out)
+        paths = run_retail(spark, a.inventory, a.expenses, a.out, a.sales)
     else:
         paths = run_restaurant(spark, {k: getattr(a, k) for k in RESTAURANT_SCHEMAS}, a.out)
     for k, v in paths.items():
