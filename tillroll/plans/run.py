@@ -165,6 +165,8 @@ def main(argv=None) -> None:
     x = sub.add_parser("restaurant")
     for k in RESTAURANT_SCHEMAS:
         x.add_argument(f"--{k}", required=True)
+    x.add_argument("--ytd-years", help="e.g. 2025,2026 for the like-for-like year-to-date comparison")
+    x.add_argument("--ytd-cutoff", default="12-31", help="MM-DD, inclusive")
     x.add_argument("--out")
     a = ap.parse_args(argv)
     from tillroll.session import get_spark
@@ -174,7 +176,8 @@ def main(argv=None) -> None:
     elif a.cmd == "retail":
         paths = run_retail(spark, a.inventory, a.expenses, a.out, a.sales)
     else:
-        paths = run_restaurant(spark, {k: getattr(a, k) for k in RESTAURANT_SCHEMAS}, a.out)
+        years = tuple(int(y) for y in a.ytd_years.split(",")) if a.ytd_years else None
+        paths = run_restaurant(spark, {k: getattr(a, k) for k in RESTAURANT_SCHEMAS}, a.out, years, a.ytd_cutoff)
     for k, v in paths.items():
         print(f"{k}\t{v}")
 
