@@ -13,18 +13,22 @@ from tillroll.functions.numeric import money, ratio
 from tillroll.operators._sales import checks_and_seatings
 
 
-def _per_service(sales: DataFrame) -> DataFrame:
-    """(date, service): distinct checks, distinct seatings, guests over
-    distinct reservations and the revenue split, from one scan."""
+def _per_service(sales: DataFrame, fanout: bool = False) -> DataFrame:
+    """(date, service): distinct checks, distinct seatings, guests and the
+    revenue split, from one scan. Guests count each reservation's party once,
+    or once per sales line with ``fanout`` (the reference's SUM over lines)."""
+    if fanout:
+        a = checks_and_seatings(sales, ["date", "service"], {"total_guests": F.sum("party_size")})
+        return a.withColumn("total_guests", F.col("total_guests").cast("bigint"))
     return checks_and_seatings(sales, ["date", "service"], guests=True)
 
 
-def kpi_daily(sales: DataFrame, labor: DataFrame, purchases: DataFrame) -> DataFrame:
+def kpi_daily(sales: DataFrame, labor: DataFrame, purchases: DataFrame, fanout: bool = False) -> DataFrame:
     """One row per trading date: checks and seatings summed over services
     (an order seen in two services counts twice, as in the reference), guests
     = party sizes of distinct reservations, revenue split, labour, COGS,
     operating profit and margin."""
-    daily = _per_service(sales).groupBy("date").agg(
+    daily = _per_service(sales, fanout).groupBy("date").agg(
         F.sum("checks").alias("checks"), F.sum("covers").alias("covers"), F.sum("total_guests").alias("total_guests"),
         F.sum("_rev").alias("_rev"), F.sum("_alc").alias("_alc"), F.sum("_food").alias("_food"))
     lab = labor.groupBy("date").agg(F.sum("labor_cost").alias("_l"), F.sum("hours_worked").alias("_h"))
