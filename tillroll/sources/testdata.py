@@ -5,7 +5,7 @@ restaurant / HR / retail inputs the operators expect (same column names and
 types as the reference tables). The oracle SQL in ``tillroll.plans.oracle``
 builds the same frames with the same expressions, so both sides start from
 identical rows. Only the columns a frame needs are read, so Catalyst prunes
-the Parquet scans. Fact-to-fact joins (lines to orders, lines to parts) are
+the Parquet scans. Fact-to-fact joins (lines to orders) are
 hinted sort-merge: that is the plan they need at scale, and it spreads the
 work over the shuffle partitions instead of the scan task.
 """
@@ -113,7 +113,7 @@ class TestTables:
     @_memo
     def purchases(self) -> DataFrame:
         li = self.t("lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_tax", "l_extendedprice")
-        p = self.t("part").select("p_partkey", "p_type", "p_retailprice").hint("merge")
+        p = self.t("part").select("p_partkey", "p_type", "p_retailprice")
         s = self.t("supplier").select("s_suppkey", "s_name")
         j = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
         return j.selectExpr(
