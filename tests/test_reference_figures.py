@@ -123,3 +123,12 @@ def test_restaurant_dimension_exports(spark):
     assert staff.count() == 14 and staff.filter(F.col("hire_date").isNull()).count() == 0
     dup = quality.dq_duplicate_rows(menu.select("item"), ["item"])
     assert dup.count() == 0
+
+
+def test_cli_retail(spark, capsys, tmp_path):
+    from tillroll.plans import run
+    run.main(["retail", "--inventory", f"{SHOP}/alex_inventory.csv", "--expenses", f"{SHOP}/alex_expenses.csv",
+              "--out", str(tmp_path)])
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert {ln.split("\t")[0] for ln in lines} == {"retail_stock_status", "retail_stock_value", "retail_expense_check"}
+    assert io.read_mart(spark, f"{tmp_path}/reports/retail_stock_value").count() > 0
