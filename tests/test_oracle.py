@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as E
+from tillroll.plans import registry
 from tests.conftest import SF_SMALL
 from tools.oracle_check import duck, kind_duck, kind_spark, rows_of
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+registry.load_all()
+ORACLE = registry.ORACLE
+QUERIES = registry.QUERIES
 
 
 @pytest.fixture(scope="module")
