@@ -139,7 +139,7 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
         return g.applyInArrow(_pack, PACKED).select(*[F.col(c).alias(f"{side}_{c}") for c in ("block", "ids", "weights", "bytes", "width")])
 
     q = blocks(rows.filter(F.col("id") % query_every == 0), n_q, "q")
-    c = blocks(rows, n_c, "c").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long"))
+    c = blocks(rows, n_c, "c").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
     pairs = c.join(q, "q_block").repartition(max(1, n_c * n_q), "q_block", "c_block")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
