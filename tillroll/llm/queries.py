@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import packing, records, token_counts, vector_search
+from tillroll.llm import packing, piece_bpe, records, token_counts, vector_search
 from tillroll.llm.common import fresh_folder, table, tokenizer_path
 
 QUERIES: dict[str, Callable] = {}
@@ -23,6 +23,12 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, max_len=4096)
 
 
+@query
+def op5_sentencepiece(spark, sf_dir):
+    return piece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"),
+                            outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 @query
 def op6_token_records(spark, sf_dir):
     folder = fresh_folder(spark, "records")
