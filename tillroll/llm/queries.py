@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import packing, piece_bpe, records, token_counts, vector_search
+from tillroll.llm import fingerprints, packing, piece_bpe, records, token_counts, vector_search
 from tillroll.llm.common import fresh_folder, table, tokenizer_path
 
 QUERIES: dict[str, Callable] = {}
@@ -36,6 +36,11 @@ def op6_token_records(spark, sf_dir):
     return records.read_records(spark, folder, manifest, with_ids=False)
 
 
+@query
+def op7_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_topk(spark, sf_dir):
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
