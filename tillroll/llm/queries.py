@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import fingerprints, packing, piece_bpe, records, token_counts, vector_search
+from tillroll.llm import fingerprints, packing, piece_bpe, pseudonyms, records, token_counts, vector_search
 from tillroll.llm.common import fresh_folder, table, tokenizer_path
 
 QUERIES: dict[str, Callable] = {}
@@ -23,6 +23,15 @@ def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, max_len=4096)
 
 
+#: The registered query's key; a deployment passes its own.
+DEMO_KEY = "demo0key"
+
+
+@query
+def op4_pii_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
 @query
 def op5_sentencepiece(spark, sf_dir):
     return piece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"),
