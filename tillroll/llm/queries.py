@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import fingerprints, packing, piece_bpe, pseudonyms, records, token_counts, vector_search
-from tillroll.llm.common import fresh_folder, table, tokenizer_path
+from tillroll.llm import fingerprints, packing, piece_bpe, pseudonyms, quality, records, token_counts, vector_search
+from tillroll.llm.common import fresh_folder, remainder, table, tokenizer_path
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +18,15 @@ def query(fn):
     return fn
 
 
+@query
+def op2_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), folds=5)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, max_len=4096)
