@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import fingerprints, packing, piece_bpe, pseudonyms, quality, records, token_counts, vector_search
+from tillroll.llm import fingerprints, ngram_join, packing, piece_bpe, pseudonyms, quality, records, token_counts, vector_search
 from tillroll.llm.common import fresh_folder, remainder, table, tokenizer_path
 
 QUERIES: dict[str, Callable] = {}
@@ -18,6 +18,30 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"), percent=80)
+
+
+ORACLE["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+t AS (SELECT doc_id, unnest(s) AS t FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
+
 @query
 def op2_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
