@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import fingerprints, ngram_join, packing, piece_bpe, pseudonyms, quality, records, token_counts, vector_search
+from tillroll.llm import fingerprints, lm, ngram_join, packing, piece_bpe, pseudonyms, quality, records, token_counts, vector_search
 from tillroll.llm.common import fresh_folder, remainder, table, tokenizer_path
 
 QUERIES: dict[str, Callable] = {}
@@ -104,6 +104,11 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 """
 
 
+@query
+def op9_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"), folds=10)
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"),
