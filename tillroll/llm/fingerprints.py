@@ -10,7 +10,9 @@ hash is below ``SAMPLES`` / 2^l, and a text whose walk has at most 2^l steps
 keeps those of level l, so between half of ``SAMPLES`` and all of them, over
 its whole length; higher levels are subsets of lower ones, so texts of
 different lengths compare at the higher level. An emission is one byte, a
-hash of three characters, which makes chance agreement rare.
+hash of three characters, which makes chance agreement rare. Two walks that
+an edit put out of step may stay so for long, if seldom; a fingerprint
+therefore has ``WALKS`` independent walks, and the best pair counts.
 
 ``similar`` finds near documents from fingerprints: bands of sampled symbols
 make candidates (each row of a band bucket against the bucket's smallest
@@ -41,7 +43,8 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import partitions, renamed, with_package
 
-SAMPLES = 256
+SAMPLES = 128
+WALKS = 3
 PERIOD, CLASSES = 8192, 64  # the shared random bits repeat after PERIOD steps; characters fall into CLASSES
 SLICE = 1_500_000           # characters of a slice of the stream
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,10 +56,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(1)
-def _stays() -> np.ndarray:
-    """For each class and step (mod PERIOD) how many steps the walk stays."""
-    bits = np.random.default_rng(20_011).integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
+@functools.lru_cache(WALKS)
+def _stays(walk: int) -> np.ndarray:
+    """For each class and step (mod PERIOD) how many steps a walk stays."""
+    bits = np.random.default_rng(20_011 + walk).integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
     bits[:, -1] = 1  # no endless stay
     at = np.where(bits == 1, np.arange(PERIOD), PERIOD)
     nearest = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
@@ -74,11 +77,15 @@ def positions(level: int) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
-def _walks(classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _classes(flat: np.ndarray, walk: int) -> np.ndarray:
+    return (_mix(flat * MIX + np.uint64(walk)) >> np.uint64(58)).astype(np.int32)
+
+
+def _walks(classes: np.ndarray, start: np.ndarray, length: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
     """The step at which each walk reaches each character, and all steps of
     each walk. Texts advance together, longest first; the last few finish
     one by one."""
-    stays, steps = _stays(), np.zeros(len(classes), np.int64)
+    stays, steps = _stays(walk), np.zeros(len(classes), np.int64)
     end = np.zeros(len(start), np.int64)
     order = np.argsort(-length, kind="stable")
     at, size, j = start[order].copy(), length[order], np.zeros(len(order), np.int64)
@@ -105,23 +112,23 @@ def _walks(classes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[
 
 
 def fingerprint(texts: list[str]) -> list[str]:
-    """``level:symbols`` of whole texts, two hexadecimal digits a symbol."""
+    """``level:symbols`` of each walk, joined by ``-``, of whole texts; two
+    hexadecimal digits a symbol."""
     raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
     length = np.array([len(x) for x in raw], np.int64)
     start = np.concatenate(([0], np.cumsum(length)))[:-1]
     flat = np.concatenate(raw).astype(np.uint64) if raw else np.zeros(0, np.uint64)
-    classes = (_mix(flat * MIX) >> np.uint64(58)).astype(np.int32)
-    steps, end = _walks(classes, start, length)
-    out = []
-    for a, n, e in zip(start.tolist(), length.tolist(), end.tolist(), strict=True):
-        level = max(0, (e - 1).bit_length())
-        sampled = positions(level)
-        sampled = sampled[:np.searchsorted(sampled, e)]
-        at = a + np.searchsorted(steps[a:a + n], sampled, "right") - 1
-        last = a + n - 1
-        three = flat[at] * np.uint64(0x100000001B3) + flat[np.minimum(at + 1, last)] * np.uint64(0x10001) + flat[np.minimum(at + 2, last)] if n else flat[:0]
-        out.append(f"{level}:{(_mix(three * MIX) >> np.uint64(56)).astype(np.uint8).tobytes().hex()}")
-    return out
+    out: list[list[str]] = [[] for _ in texts]
+    for walk in range(WALKS):
+        steps, end = _walks(_classes(flat, walk), start, length, walk)
+        for mine, a, n, e in zip(out, start.tolist(), length.tolist(), end.tolist(), strict=True):
+            level = max(0, (e - 1).bit_length())
+            sampled = positions(level)
+            at = a + np.searchsorted(steps[a:a + n], sampled[:np.searchsorted(sampled, e)], "right") - 1
+            last = a + n - 1
+            three = (flat[at] * np.uint64(0x100000001B3) + flat[np.minimum(at + 1, last)] * np.uint64(0x10001) + flat[np.minimum(at + 2, last)]) if n else flat[:0]
+            mine.append(f"{level}:{(_mix(three * MIX) >> np.uint64(56)).astype(np.uint8).tobytes().hex()}")
+    return ["-".join(x) for x in out]
 
 
 @functools.lru_cache(256)
@@ -130,10 +137,7 @@ def _kept(low: int, high: int) -> np.ndarray:
     return np.isin(positions(low), positions(high))
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of equal symbols among the steps sampled for either text."""
-    if a == b:
-        return 1.0
+def _walk_likeness(a: str, b: str) -> float:
     (la, xa), (lb, xb) = ((int(s.split(":")[0]), np.frombuffer(bytes.fromhex(s.split(":")[1]), np.uint8)) for s in (a, b))
     if la < lb:
         xa = xa[_kept(la, lb)[:len(xa)]]
@@ -143,6 +147,14 @@ def likeness(a: str, b: str) -> float:
     return float((xa[:n] == xb[:n]).sum() / most) if most else 0.0
 
 
+def likeness(a: str, b: str) -> float:
+    """Share of equal symbols among the steps sampled for either text, of
+    the walk that agrees best."""
+    if a == b:
+        return 1.0
+    return max(map(_walk_likeness, a.split("-"), b.split("-")))
+
+
 def edited(text: str, following: str) -> str:
     """The last third (rounded down) replaced by as much of the next text."""
     m = len(text) // 3
@@ -228,8 +240,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                    "edited_fingerprint string, near_edited double, near_next double")
 
 
-def similar(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", bands: int = 24, rows: int = 6,
-            at_least: float = 0.7) -> DataFrame:
+def similar(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", bands: int = 16, rows: int = 4,
+            at_least: float = 0.6) -> DataFrame:
     """Near documents: left_id, right_id, likeness. Equal fingerprints are
     one class; class representatives that agree in a band of ``rows``
     sampled symbols at the two levels that a text takes part in meet their
@@ -241,16 +253,18 @@ def similar(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerp
 
     def keys(batches):
         rng = np.random.default_rng(17)
-        chosen = [sorted(rng.choice(SAMPLES // 2, rows, replace=False).tolist()) for _ in range(bands)]
+        # a text has at least about half of SAMPLES at its own level, a quarter at the next
+        chosen = [[sorted(rng.choice(SAMPLES // pool, rows, replace=False).tolist()) for _ in range(bands)] for pool in (2, 4)]
         for b in batches:
             ids, fps, out = [], [], []
             for i, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                level, symbols = int(fp.split(":")[0]), np.frombuffer(bytes.fromhex(fp.split(":")[1]), np.uint8)
-                for up in (0, 1):  # a near text may be of the next level
-                    s = symbols[_kept(level, level + 1)[:len(symbols)]] if up else symbols
-                    for n, c in enumerate(chosen):
-                        picked = [int(s[x % len(s)]) for x in c] if len(s) else []
-                        ids.append(i), fps.append(fp), out.append(f"{level + up}/{n}/{bytes(picked).hex()}")
+                for walk, one in enumerate(fp.split("-")):
+                    level, symbols = int(one.split(":")[0]), np.frombuffer(bytes.fromhex(one.split(":")[1]), np.uint8)
+                    for up in (0, 1):  # a near text may be of the next level
+                        s = symbols[_kept(level, level + 1)[:len(symbols)]] if up else symbols
+                        for n, c in enumerate(chosen[up]):
+                            picked = [int(s[x]) if x < len(s) else 0 for x in c]  # 0: past the end
+                            ids.append(i), fps.append(fp), out.append(f"{walk}/{level + up}/{n}/{bytes(picked).hex()}")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.string()), pa.array(out, pa.string())], ["id", "fp", "key"])
 
     def verify(batches):
