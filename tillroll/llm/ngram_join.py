@@ -45,7 +45,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm import shingles
@@ -333,7 +333,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows, all columns, of the document with the smallest id of each
-    component (one row of it); documents without words and NULL ids stay."""
-    found = ngram_components(docs, id_col, text_col, percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    component; of rows with one id the first by text. Documents without
+    words and rows with a NULL id stay."""
+    found = written(ngram_components(docs, id_col, text_col, percent), "join-found")
+    at = F.col(f"`{id_col}`")
+    kept = docs.join(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), at == F.col("_gone"), "left_anti")
+    twice = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").drop("count")
+    if twice.isEmpty():
+        return kept
+    first = Window.partitionBy(at).orderBy(F.col(f"`{text_col}`"))
+    once = kept.join(twice, at == F.col("_twice"), "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+    return kept.join(twice, at == F.col("_twice"), "left_anti").unionByName(once)
