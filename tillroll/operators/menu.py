@@ -9,7 +9,7 @@ SUM(attr * lines) / lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import fix, money, ratio
@@ -46,13 +46,19 @@ def menu_category_margin(sales: DataFrame, menu: DataFrame) -> DataFrame:
 
 
 def _item_stats(sales: DataFrame, menu: DataFrame) -> DataFrame:
-    """(category, item) grain with the dim joined on item only."""
+    """(category, item) grain with the dim joined on item only. Both sides
+    have one row per item when they meet; an item that the dim holds k times
+    counts k times, as in a line-level join."""
     pre = sales.groupBy("category", "item").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("line_total").alias("_rev"),
+        F.count(F.lit(1)).alias("_lines"), F.sum("line_total").alias("_rev"),
         F.sum("unit_price").alias("_sp"), F.count("unit_price").alias("_cp"))
-    j = pre.join(menu.select("item", "gross_margin_pct"), "item", "left")
-    s, c = _weighted("gross_margin_pct")
-    return j.select("category", "item", "_n", "_rev", "_sp", "_cp", s, c)
+    dim = menu.groupBy("item").agg(F.count(F.lit(1)).alias("_k"), F.sum("gross_margin_pct").alias("_s"),
+                                   F.count("gross_margin_pct").alias("_c"))
+    k = F.coalesce("_k", F.lit(1))
+    return pre.join(dim, "item", "left").select(
+        "category", "item", "_lines", (F.col("_lines") * k).alias("_n"), (F.col("_rev") * k).alias("_rev"),
+        (F.col("_sp") * k).alias("_sp"), (F.col("_cp") * k).alias("_cp"),
+        (F.col("_s") * F.col("_lines")).alias("_s_gross_margin_pct"), (F.col("_c") * F.col("_lines")).alias("_c_gross_margin_pct"))
 
 
 def menu_top_items(sales: DataFrame, menu: DataFrame, k: int = 15) -> DataFrame:
@@ -67,10 +73,14 @@ def menu_top_items(sales: DataFrame, menu: DataFrame, k: int = 15) -> DataFrame:
 
 
 def menu_worst_items(sales: DataFrame, menu: DataFrame, k: int = 10) -> DataFrame:
-    """Items ordered less often than the average item, lowest margin first."""
-    avg_cnt = sales.groupBy("item").agg(F.count(F.lit(1)).alias("cnt")).agg(F.avg("cnt")).scalar()
-    st = _item_stats(sales, menu).filter(F.col("_n") < avg_cnt)
-    out = st.select(
+    """Items ordered less often than the average item, lowest margin first.
+    The average comes from the item rows themselves (one scan of the lines):
+    a window total over aggregated rows."""
+    st = _item_stats(sales, menu)
+    per_item = Window.partitionBy("item").orderBy("category")
+    st = st.withColumn("_first", F.when(F.row_number().over(per_item) == 1, 1).otherwise(0))
+    mean = F.try_divide(grand_total(st, "_lines").cast("double"), grand_total(st, "_first").cast("double"))
+    out = st.withColumn("_mean", mean).filter(F.col("_n") < F.col("_mean")).select(
         "category", "item", F.col("_n").alias("times_ordered"), money("_rev").alias("revenue"),
         ratio("_s_gross_margin_pct", "_c_gross_margin_pct", 1).alias("gross_margin_pct"))
     return out.orderBy(F.asc_nulls_last("gross_margin_pct"), F.asc("revenue"), "category", "item").limit(k)
