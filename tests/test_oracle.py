@@ -33,7 +33,7 @@ def test_matches_oracle(spark, con, name):
 
 def test_every_query_has_oracle_or_is_documented():
     no_sql = set(QUERIES) - set(ORACLE)
-    assert no_sql == {"ts_holt_winters", "ts_holt_winters_category"}
+    assert no_sql == set()
 
 
 def test_entry_smoke(spark):

@@ -6,6 +6,7 @@ import tempfile
 from decimal import Decimal as D
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import forecast, retail
@@ -54,20 +55,25 @@ def _loop_hw(y, m, a, b, g):
     return sse, level, trend, season
 
 
-def test_holt_winters_matches_scalar_loop():
+def test_holt_winters_matches_scalar_loop(spark):
     rng = np.random.default_rng(1)
     t = np.arange(48)
     y = 10 + 0.3 * t + 3 * np.sin(2 * np.pi * t / 12) + rng.normal(0, 0.2, 48)
-    _, sse, (lv, tr, se) = forecast.holt_winters_path(y, 12, [0.3], [0.1], [0.2])
-    sse2, lv2, tr2, se2 = _loop_hw(y, 12, 0.3, 0.1, 0.2)
-    assert abs(sse[0] - sse2) < 1e-9 and abs(lv[0] - lv2) < 1e-9 and abs(tr[0] - tr2) < 1e-9
-    (a, b, g), fitted, fc = forecast.fit_series(y, 12, 6)
-    assert len(fc) == 6 and abs(fc[0] - y[-12]) < 5
+    months = [dt.date(2020 + i // 12, i % 12 + 1, 1) for i in range(48)]
+    df = spark.createDataFrame([("s", m, float(v)) for m, v in zip(months, y)], "sid string, m date, v double")
+    out = forecast.ts_holt_winters(df, "sid", "m", "v", 12, 6).collect()
+    a, b, g = out[0].alpha, out[0].beta, out[0].gamma
+    sse, level, trend, season = _loop_hw(y, 12, a, b, g)
+    assert abs(out[0].rmse - (sse / 48) ** 0.5) < 1e-5
+    ahead = [r.value for r in out if r.kind == "forecast"]
+    assert np.allclose(ahead, [level + k * trend + season[(48 + k - 1) % 12] for k in range(1, 7)], atol=1e-5)
+    coarse = min(_loop_hw(y, 12, i, j, k)[0] for i in forecast.GRID for j in forecast.GRID for k in forecast.GRID)
+    assert sse <= coarse + 1e-9  # the refinement never ends above the grid
 
 
 def test_forecast_operator_rows_and_short_series(spark):
     months = [dt.date(2020 + i // 12, i % 12 + 1, 1) for i in range(36)]
-    rows = [("long", m, 5.0 + (i % 12)) for i, m in enumerate(months) if i != 7] + [("short", months[0], 1.0)]
+    rows = [("long", m, 5.0 + (i % 12)) for i, m in enumerate(months) if i != 7] + [("short", m, 1.0 + i) for i, m in enumerate(months[:6])]
     df = spark.createDataFrame(rows, "sid string, m date, v double")
     out = forecast.ts_holt_winters(df, "sid", "m", "v", 12, 6).collect()
     kinds = {}
@@ -75,9 +81,22 @@ def test_forecast_operator_rows_and_short_series(spark):
         kinds.setdefault((r.series_id, r.kind), []).append(r)
     assert len(kinds[("long", "actual")]) == 36  # the gap month is filled
     assert len(kinds[("long", "forecast")]) == 6 and kinds[("long", "forecast")][0].period_month > months[-1]
+    assert [r.value for r in kinds[("short", "actual")]] == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]  # kept
     assert len(kinds[("short", "insufficient_history")]) == 1
 
 
+def test_gap_months_of_rates_and_sums(spark):
+    rows = [("r", dt.date(2024, 1, 1), 0.05), ("r", dt.date(2024, 4, 1), 0.08), ("r", dt.date(2024, 5, 1), None)]
+    df = spark.createDataFrame(rows, "sid string, m date, v double")
+    got = lambda fill: [round(r.value, 6) for r in forecast.monthly_series(df, "sid", "m", "v", fill).orderBy("period_month").collect()]
+    assert got("interpolate") == [0.05, 0.06, 0.07, 0.08, 0.08]
+    assert got("zero") == [0.05, 0.0, 0.0, 0.08, 0.0]
+    with pytest.raises(Exception, match="no value for"):
+        got("error")
+    with pytest.raises(ValueError):
+        forecast.monthly_series(df, "sid", "m", "v", "guess")
+
+
 def test_csv_landing_and_mart_roundtrip(spark):
     tmp = tempfile.mkdtemp(prefix="tillroll-test-")
     p = os.path.join(tmp, "exits.csv")
