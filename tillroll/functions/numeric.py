@@ -37,11 +37,6 @@ def ratio(num, den, scale: int, mult: float | int | None = None) -> Column:
     return fix(F.try_divide(n, _c(den).cast("double")), scale)
 
 
-def mean(sum_col, count_col, scale: int) -> Column:
-    """An average given as exact sum and count (see module note)."""
-    return ratio(sum_col, count_col, scale)
-
-
 def to_dec(x, scale: int = 4, precision: int = 18) -> Column:
     """Back to exact decimal for a DOUBLE that holds a short decimal."""
     return _c(x).cast(f"decimal({precision},{scale})")

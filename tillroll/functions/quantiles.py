@@ -39,20 +39,3 @@ def quantiles_from_histogram(hist: DataFrame, group: list[str], value: str,
         q = q.withColumn(name, lo.cast("double") + (hi - lo).cast("double") * fr)
         q = q.drop(f"_{name}_lo", f"_{name}_hi", f"_{name}_frac")
     return q
-
-
-def quantile_columns(hist: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """The histogram rows with n and the named quantiles attached as window
-    columns (same values on every row of a group); no join back needed."""
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    wn = Window.partitionBy(*group)
-    h = (hist.withColumn("_hi", F.sum("_cnt").over(w) - 1)
-         .withColumn("_lo", F.col("_hi") - F.col("_cnt") + 1)
-         .withColumn("_n", F.sum("_cnt").over(wn)))
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo_r, hi_r = F.floor(pos), F.ceil(pos)
-        lo_v = F.max(F.when(lo_r.between(F.col("_lo"), F.col("_hi")), F.col(value))).over(wn)
-        hi_v = F.max(F.when(hi_r.between(F.col("_lo"), F.col("_hi")), F.col(value))).over(wn)
-        h = h.withColumn(name, lo_v.cast("double") + (hi_v - lo_v).cast("double") * (pos - lo_r))
-    return h

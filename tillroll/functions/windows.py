@@ -13,43 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import ratio
-
 
 def grand_total(df: DataFrame, col: str) -> Column:
     """SUM(col) over all rows of an aggregated frame, as a window column."""
     return F.sum(col).over(Window.partitionBy())
 
 
-def share_of_total(df: DataFrame, col: str, scale: int = 1, name: str = "share_pct",
-                   partition_by: list[str] | None = None) -> DataFrame:
-    """100 * col / total(col), total over the frame or within partitions.
-
-    Partitioned totals use a window (rows are already aggregated, one
-    partition key per group); the grand total uses a scalar subquery.
-    """
-    if partition_by:
-        tot = F.sum(col).over(Window.partitionBy(*partition_by))
-    else:
-        tot = grand_total(df, col)
-    return df.withColumn(name, ratio(F.col(col), tot, scale, 100))
-
-
 def previous(col: str, order_by: str, partition_by: list[str] | None = None, offset: int = 1) -> Column:
     """LAG over an ordered series (aggregated rows: years, months)."""
     w = Window.partitionBy(*(partition_by or [])).orderBy(order_by)
     return F.lag(col, offset).over(w)
 
 
-def growth_pct(col: str, order_by: str, partition_by: list[str] | None = None, scale: int = 1) -> Column:
-    """100 * (x - lag(x)) / lag(x), NULL for the first period or a 0 base."""
-    prev = previous(col, order_by, partition_by)
-    return ratio(F.col(col) - prev, prev, scale, 100)
-
-
 def rolling_mean(sum_expr: Column, order_by: str, n: int, partition_by: list[str] | None = None) -> tuple[Column, Column]:
     """(sum, count) over the trailing n rows incl. the current one
-    (min_periods = 1); divide with ``mean`` for the exact recipe."""
+    (min_periods = 1); divide with ``ratio`` for the exact recipe."""
     w = Window.partitionBy(*(partition_by or [])).orderBy(order_by).rowsBetween(-(n - 1), 0)
     return F.sum(sum_expr).over(w), F.count(sum_expr).over(w)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.banding import band_labels
 from tillroll.functions.calendar import month_label
 from tillroll.functions.numeric import fix, ratio, to_dec
-from tillroll.functions.quantiles import histogram, quantile_columns
+from tillroll.functions.quantiles import histogram
 from tillroll.functions.reindex import reindex
 from tillroll.functions.windows import rolling_mean
 
@@ -59,11 +59,16 @@ def hr_exit_reasons(att_mart: DataFrame) -> DataFrame:
         .orderBy(F.desc("exits"), "exit_reason")
 
 
-def hr_reason_by_role(att_mart: DataFrame, reasons: list[str] | None = None) -> DataFrame:
-    """Role x exit reason counts, zero filled. Pass ``reasons`` to skip the
-    job that finds the distinct values."""
-    p = _exited(att_mart).groupBy("role").pivot("exit_reason", reasons).agg(F.count(F.lit(1)))
-    return p.na.fill(0).orderBy("role")
+def exit_reasons(att_mart: DataFrame) -> list[str]:
+    """The distinct exit reasons, in order (runs a job; a handful of values)."""
+    return sorted(r[0] for r in _exited(att_mart).select("exit_reason").distinct().collect())
+
+
+def hr_reason_by_role(att_mart: DataFrame, reasons: list[str]) -> DataFrame:
+    """Role x exit reason counts, zero filled, a column per given reason
+    (``exit_reasons`` finds those of a written mart)."""
+    return _exited(att_mart).groupBy("role").agg(
+        *[F.count_if(F.col("exit_reason") == r).alias(r) for r in reasons]).orderBy("role")
 
 
 def hr_rolling_rate(trend: DataFrame, n: int = 3, series: list[str] | None = None) -> DataFrame:
@@ -110,18 +115,20 @@ def hr_risk_levels(risk: DataFrame) -> DataFrame:
 
 def hr_risk_distribution(risk: DataFrame, whisker: float = 1.5) -> DataFrame:
     """Box-plot numbers per role from the score histogram (scores are
-    integers 0-100, so a role is at most 101 histogram rows): one partial
-    aggregate, windows over each role's histogram, one final aggregate."""
-    h = quantile_columns(histogram(risk, ["role"], "flight_risk_score"), ["role"], "flight_risk_score",
-                         {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    iqr = F.col("q3") - F.col("q1")
+    integers 0-100, so a role is at most 101 histogram rows): one aggregate
+    reads the quartiles off the counts and keeps the histogram as an array,
+    from which whiskers and outliers are folded."""
     v = F.col("flight_risk_score")
-    inside = v.between(F.col("q1") - F.lit(whisker) * iqr, F.col("q3") + F.lit(whisker) * iqr)
-    return h.groupBy("role").agg(
-        F.first("_n").alias("employees"), F.min(F.when(inside, v)).alias("whisker_low"),
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("_cnt")).otherwise(F.lit(0))).alias("n_outliers")).orderBy("role")
+    g = histogram(risk, ["role"], "flight_risk_score").groupBy("role").agg(
+        F.sum("_cnt").alias("employees"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_cnt")).alias("_q"),
+        F.collect_list(F.struct(v.alias("v"), F.col("_cnt").alias("n"))).alias("_h"))
+    g = g.select("role", "employees", "_h", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
+    near = lambda x: x["v"].between(F.col("q1") - reach, F.col("q3") + reach)
+    inside = F.transform(F.filter("_h", near), lambda x: x["v"])
+    out = F.aggregate(F.filter("_h", lambda x: ~near(x)), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return g.select("role", "employees", F.array_min(inside).alias("whisker_low"), "q1", "median", "q3",
+                    F.array_max(inside).alias("whisker_high"), out.alias("n_outliers")).orderBy("role")
 
 
 def hr_top_risk(risk: DataFrame, k: int = 10) -> DataFrame:

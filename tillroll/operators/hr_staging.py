@@ -25,7 +25,7 @@ def stg_employees(raw: DataFrame, as_of: str | dt.date) -> DataFrame:
         "employee_id", F.trim("name").alias("name"), F.trim("role").alias("role"),
         F.trim("department").alias("department"), hire.alias("hire_date"), term.alias("termination_date"),
         F.trim("termination_type").alias("termination_type"),
-        F.round(F.col("hourly_rate").cast("decimal(18,4)"), 2).cast("double").alias("hourly_rate"),
+        F.round(F.col("hourly_rate").try_cast("decimal(18,4)"), 2).cast("double").alias("hourly_rate"),
         F.col("manager_id").try_cast("decimal(38,2)").try_cast("bigint").alias("manager_id"),
         F.trim("status").alias("status"),
         F.when(F.col("status") == "Terminated", 1).otherwise(0).cast("int").alias("is_terminated"),
@@ -35,19 +35,16 @@ def stg_employees(raw: DataFrame, as_of: str | dt.date) -> DataFrame:
 
 def stg_exits(raw: DataFrame) -> DataFrame:
     d = _date("exit_date")
-    cols = [
+    manager = F.col("manager_id") if "manager_id" in raw.columns else F.lit(None).cast("string")  # NULL in exports without it
+    return raw.select(
         "employee_id", d.alias("exit_date"), F.trim("exit_reason").alias("exit_reason"),
-        F.col("exit_survey_score").cast("int").alias("exit_survey_score"),
+        F.col("exit_survey_score").try_cast("int").alias("exit_survey_score"),
         F.trim("eligible_for_rehire").alias("eligible_for_rehire"),
-    ]
-    if "manager_id" in raw.columns:
-        cols.append(F.col("manager_id").try_cast("decimal(38,2)").try_cast("bigint").alias("manager_id"))
-    cols += [
+        manager.try_cast("decimal(38,2)").try_cast("bigint").alias("manager_id"),
         F.when(F.col("exit_reason").ilike("%involuntary%"), F.lit("Involuntary")).otherwise(F.lit("Voluntary"))
         .alias("exit_category"),
         F.month(d).alias("exit_month"), F.year(d).alias("exit_year"), F.quarter(d).alias("exit_quarter"),
-    ]
-    return raw.select(*cols)
+    )
 
 
 def stg_attendance(raw: DataFrame, overtime_flag_hours: int = 15) -> DataFrame:
@@ -67,7 +64,7 @@ def stg_reviews(raw: DataFrame) -> DataFrame:
     review_date = (F.when(p.ilike("%-H1"), F.try_to_date(F.concat(year4, F.lit("-06-30"))))
                    .when(p.ilike("%-H2"), F.try_to_date(F.concat(year4, F.lit("-12-31")))))
     return raw.select(
-        "employee_id", F.trim(p).alias("review_period"), F.col("score").cast("double").alias("score"),
+        "employee_id", F.trim(p).alias("review_period"), F.col("score").try_cast("double").alias("score"),
         F.trim("manager_notes_tag").alias("manager_notes_tag"),
         F.when(F.upper("promoted") == "TRUE", 1).otherwise(0).cast("int").alias("promoted"),
         review_date.alias("review_date"), F.left(p, F.lit(4)).try_cast("int").alias("review_year"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import weekday_name, year_month
 from tillroll.functions.numeric import money, ratio
-from tillroll.operators._sales import alcohol_rev, food_rev
+from tillroll.operators._sales import alcohol_rev, order_grain
 
 
 def mart_category_monthly(sales: DataFrame) -> DataFrame:
@@ -45,9 +45,9 @@ def mart_server_year(sales: DataFrame) -> DataFrame:
 
 
 def mart_daily_service(sales: DataFrame) -> DataFrame:
-    a = sales.groupBy("date", "service").agg(
+    a = order_grain(sales, ["date", "service"]).groupBy("date", "service").agg(
         F.countDistinct("order_id").alias("checks"), F.countDistinct("reservation_id").alias("covers"),
-        F.sum("line_total").alias("_rev"), F.sum(alcohol_rev()).alias("_alc"), F.sum(food_rev()).alias("_food"))
+        *[F.sum(c).alias(c) for c in ("_rev", "_alc", "_food")])
     return a.select("date", "service", "checks", "covers", money("_rev").alias("revenue"),
                     money("_alc").alias("alcohol_rev"), money("_food").alias("food_rev"),
                     ratio("_rev", "checks", 2).alias("avg_check"))
@@ -62,54 +62,18 @@ MARTS = {
 }
 
 
-# Grain of each mart (expressions over sales lines), for the one-pass reconcile.
-MART_GRAINS = {
-    "category_monthly": ["_month", "category", "is_alcohol"],
-    "item_performance": ["_year", "category", "item", "is_alcohol"],
-    "hourly_heatmap": ["_weekday", "service", "hour"],
-    "server_performance": ["_year", "server_id"],
-    "daily_summary": ["date", "service"],
-}
-
-
-def _mart_revenue_one_pass(sales: DataFrame) -> DataFrame:
-    """(mart, mart_rows, _rev) for every mart grain from ONE scan: GROUPING
-    SETS expand each line once per grain, the partial aggregate collapses
-    them map-side, and each grain's rows are rounded as the mart rounds."""
-    base = sales.select(F.trunc("date", "month").alias("_month"), F.year("date").alias("_year"),
-                        weekday_name("date").alias("_weekday"), "date", "category", "item", "is_alcohol",
-                        "service", "hour", "server_id", "line_total")
-    cols = list(dict.fromkeys(c for g in MART_GRAINS.values() for c in g))
-    g = base.groupingSets([list(v) for v in MART_GRAINS.values()], *cols).agg(
-        F.sum("line_total").alias("_r"), F.grouping_id().alias("_gid"))
-    gid_of = {name: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in grain)
-              for name, grain in MART_GRAINS.items()}
-    name = None
-    for mart, gid in gid_of.items():
-        cond = F.col("_gid") == gid
-        name = F.when(cond, F.lit(mart)) if name is None else name.when(cond, F.lit(mart))
-    # every grain partitions all lines, so its exact sums add up to the fact total
-    return (g.select(name.alias("mart"), "_r", F.round("_r", 2).alias("_rr"))
-            .groupBy("mart").agg(F.count(F.lit(1)).alias("mart_rows"), F.sum("_rr").alias("_rev"),
-                                 F.sum("_r").alias("_fact")))
-
-
 def dq_mart_reconcile(sales: DataFrame, marts: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Each mart's total revenue against the fact total. Mart revenue is
-    rounded per row, so a mart reconciles when the gap is within half a
-    cent per row. With ``marts`` (e.g. the written mart tables) their
-    revenue columns are summed; without, every mart grain is derived from
-    one pass over the fact."""
-    if marts:
-        parts = [m.agg(F.count(F.lit(1)).alias("mart_rows"),
-                       F.sum(F.col("revenue").cast("decimal(18,2)")).alias("_rev")).withColumn("mart", F.lit(name))
-                 for name, m in marts.items()]
-        u = reduce(DataFrame.unionByName, parts)
-        fact = sales.agg(F.sum("line_total")).scalar()
-    else:
-        u = _mart_revenue_one_pass(sales)
-        fact = F.col("_fact")
-    gap = F.col("_rev") - F.round(fact, 2)
-    return u.select("mart", "mart_rows", money("_rev").alias("revenue"), money(fact).alias("fact_revenue"),
+    """Each mart's total revenue against an independent total of the fact.
+    Mart revenue is rounded per row, so a mart reconciles when the gap is
+    within half a cent per row. ``marts``: the written mart tables by name;
+    without, the mart functions are run over ``sales``."""
+    marts = marts if marts is not None else {name: fn(sales) for name, fn in MARTS.items()}
+    parts = [m.agg(F.count(F.lit(1)).alias("mart_rows"),
+                   F.sum(F.col("revenue").cast("decimal(18,2)")).alias("_rev")).withColumn("mart", F.lit(name))
+             for name, m in marts.items()]
+    fact = sales.agg(F.sum("line_total").alias("_fact"))  # one row
+    u = reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(fact))
+    gap = F.coalesce("_rev", F.lit(0)) - F.round("_fact", 2)
+    return u.select("mart", "mart_rows", money("_rev").alias("revenue"), money("_fact").alias("fact_revenue"),
                     money(gap).alias("difference"),
                     (F.abs(gap) <= F.col("mart_rows") * F.lit(0.005)).alias("reconciled")).orderBy("mart")

@@ -32,8 +32,8 @@ def retail_daily_mart(sales: DataFrame) -> DataFrame:
 
 def retail_filter(sales: DataFrame, stores=None, date_from: str | dt.date | None = None,
                   date_to: str | dt.date | None = None) -> DataFrame:
-    if stores:
-        sales = sales.filter(F.col("store_id").isin(list(stores)))
+    if stores is not None:  # an empty list selects no store
+        sales = sales.filter(F.col("store_id").isin(list(stores)) if stores else F.lit(False))
     if date_from is not None:
         sales = sales.filter(F.col("date") >= F.lit(date_from).cast("date"))
     if date_to is not None:

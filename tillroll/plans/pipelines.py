@@ -13,15 +13,20 @@ import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.operators import hr_marts, hr_reports, hr_staging, marts
+from tillroll.operators import hr_marts, hr_reports, hr_staging, marts, quality
+from tillroll.operators.forecast import ts_holt_winters
 from tillroll.session import shared_dir
-from tillroll.sources import io
+from tillroll.sources import io, schemas
 
 # Marts with a year column are partitioned by it so date-bounded reports prune files.
 RESTAURANT_PARTITIONS = {"category_monthly": ["year"], "item_performance": ["year"], "server_performance": ["year"]}
 
 
+NEED_ATTENDANCE = ("mart_monthly_attrition_trend", "mart_flight_risk_signals")
+
+
 def run_dir(spark: SparkSession, run_id: str | None = None) -> str:
     return shared_dir(spark, f"tillroll-run-{run_id or uuid.uuid4().hex[:12]}")
 
@@ -32,6 +37,7 @@ def build_restaurant_marts(spark: SparkSession, sales: DataFrame, out: str) -> d
     for name, fn in marts.MARTS.items():
         p = f"{out}/marts/{name}"
         io.write_mart(fn(sales), p, RESTAURANT_PARTITIONS.get(name))
+        io.register_view(io.read_mart(spark, p), name)
         paths[name] = p
     return paths
 
@@ -41,7 +47,10 @@ def read_marts(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFram
 
 
 def hr_staging_layer(raw: dict[str, DataFrame], as_of: str | dt.date) -> dict[str, DataFrame]:
-    """raw keys: employees, exit_records, attendance_monthly, performance_reviews."""
+    """raw keys: employees, exit_records, attendance_monthly (None: no such
+    export, staged without rows), performance_reviews."""
+    if raw["attendance_monthly"] is None:
+        raw = raw | {"attendance_monthly": raw["employees"].sparkSession.createDataFrame([], schemas.RAW_ATTENDANCE_MONTHLY)}
     stg = {
         "stg_employees": hr_staging.stg_employees(raw["employees"], as_of),
         "stg_exit_records": hr_staging.stg_exits(raw["exit_records"]),
@@ -78,32 +87,48 @@ def build_hr_marts(spark: SparkSession, raw: dict[str, DataFrame], as_of: str |
         "mart_manager_scorecard": hr_marts.hr_manager_scorecard(emp, ex, att),
         "mart_flight_risk_signals": hr_marts.hr_flight_risk(emp, rv, att, as_of),
     }
+    if raw["attendance_monthly"] is None:  # inner-joined to attendance: would be empty
+        built = {k: v for k, v in built.items() if k not in NEED_ATTENDANCE}
     paths = {}
     for name, df in built.items():
         p = f"{out}/marts/{name}"
         io.write_mart(df, p)
+        io.register_view(io.read_mart(spark, p), name)  # reports and users read marts by name
         paths[name] = p
     return paths
 
 
 def hr_reports_from_marts(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     """The notebook's report tables over the written marts (lazy)."""
-    m = read_marts(spark, paths)
-    att, trend = m["mart_employee_attrition"], m["mart_monthly_attrition_trend"]
-    sc, risk = m["mart_manager_scorecard"], m["mart_flight_risk_signals"]
-    return {
+    m = read_marts(spark, {k: v for k, v in paths.items() if k.startswith("mart_")})
+    att, sc = m["mart_employee_attrition"], m["mart_manager_scorecard"]
+    out = {
         "hr_headline_kpis": hr_reports.hr_headline_kpis(att),
         "hr_rate_by_role": hr_reports.hr_rate_by_role(att),
         "hr_rate_by_tenure": hr_reports.hr_rate_by_tenure(att),
         "hr_exit_reasons": hr_reports.hr_exit_reasons(att),
-        "hr_reason_by_role": hr_reports.hr_reason_by_role(att),
-        "hr_rolling_rate": hr_reports.hr_rolling_rate(trend),
-        "hr_seasonality": hr_reports.hr_seasonality(trend),
-        "hr_season_spikes": hr_reports.hr_season_spikes(trend),
+        "hr_reason_by_role": hr_reports.hr_reason_by_role(att, hr_reports.exit_reasons(att)),
         "hr_worst_managers": hr_reports.hr_worst_managers(sc),
         "hr_ot_burnout": hr_reports.hr_ot_burnout(sc),
-        "hr_risk_levels": hr_reports.hr_risk_levels(risk),
-        "hr_risk_distribution": hr_reports.hr_risk_distribution(risk),
-        "hr_top_risk": hr_reports.hr_top_risk(risk),
-        "hr_key_findings": hr_reports.hr_key_findings(att, sc, risk),
+        "hr_ot_burnout_corr": hr_reports.hr_ot_burnout_corr(sc),
+        "dq_category_mismatch": quality.dq_category_mismatch(
+            att.filter("exit_category IS NOT NULL"), "termination_type", "exit_category"),
     }
+    if "mart_monthly_attrition_trend" in m:
+        trend = m["mart_monthly_attrition_trend"]
+        out |= {
+            "hr_rolling_rate": hr_reports.hr_rolling_rate(trend),
+            "hr_seasonality": hr_reports.hr_seasonality(trend),
+            "hr_season_spikes": hr_reports.hr_season_spikes(trend),
+            "ts_holt_winters": ts_holt_winters(trend.withColumn("series_id", F.lit("attrition_rate")), "series_id", "period_month",
+                                               "monthly_attrition_rate", 12, 6, fill="interpolate"),
+        }
+    if "mart_flight_risk_signals" in m:
+        risk = m["mart_flight_risk_signals"]
+        out |= {
+            "hr_risk_levels": hr_reports.hr_risk_levels(risk),
+            "hr_risk_distribution": hr_reports.hr_risk_distribution(risk),
+            "hr_top_risk": hr_reports.hr_top_risk(risk),
+            "hr_key_findings": hr_reports.hr_key_findings(att, sc, risk),
+        }
+    return out

@@ -22,27 +22,42 @@ from tillroll.plans import pipelines
 from tillroll.sources import io, schemas
 
 
-def land_hr(spark: SparkSession, employees: str, exits: str, reviews: str, attendance: str | None = None):
-    """RAW layer from the four HR exports (attendance may be missing)."""
-    raw = {
-        "employees": io.read_csv(spark, employees, schemas.RAW_EMPLOYEES, keep_corrupt=False),
-        "exit_records": io.read_csv(spark, exits, schemas.RAW_EXIT_RECORDS, keep_corrupt=False),
-        "performance_reviews": io.read_csv(spark, reviews, schemas.RAW_PERFORMANCE_REVIEWS, keep_corrupt=False),
-        "attendance_monthly": (io.read_csv(spark, attendance, schemas.RAW_ATTENDANCE_MONTHLY, keep_corrupt=False)
-                               if attendance else spark.createDataFrame([], schemas.RAW_ATTENDANCE_MONTHLY)),
-    }
-    for name, df in raw.items():
-        io.register_view(df, f"raw_{name}")
-    return raw
+def land(spark: SparkSession, name: str, path: str, schema, out: str, paths: dict[str, str]):
+    """One export of the RAW layer: Parquet as it is, CSV typed by the
+    declared schema. Of a CSV the landing counts (rows, rows that did not
+    parse, NULLs per column) go to reports/landing_<name> and the rows that
+    did not parse, with their text, to quarantine/<name>; downstream they
+    keep the fields that could be read."""
+    if not path.lower().endswith(".csv"):
+        df = spark.read.parquet(path)
+    else:
+        full = io.read_csv(spark, path, schema)
+        for kind, found in ((f"landing_{name}", io.landing_counts(full)), (f"quarantine_{name}", io.corrupt_rows(full))):
+            paths[kind] = f"{out}/reports/{kind}" if kind.startswith("landing") else f"{out}/quarantine/{name}"
+            io.write_mart(found, paths[kind])
+        df = full.drop(io.CORRUPT)
+    io.register_view(df, f"raw_{name}")
+    return df
+
+
+def land_hr(spark: SparkSession, employees: str, exits: str, reviews: str, attendance: str | None, out: str, paths: dict[str, str]):
+    """RAW layer from the four HR exports; without an attendance export its
+    entry is None."""
+    files = {"employees": (employees, schemas.RAW_EMPLOYEES), "exit_records": (exits, schemas.RAW_EXIT_RECORDS),
+             "performance_reviews": (reviews, schemas.RAW_PERFORMANCE_REVIEWS), "attendance_monthly": (attendance, schemas.RAW_ATTENDANCE_MONTHLY)}
+    return {name: land(spark, name, path, schema, out, paths) if path else None for name, (path, schema) in files.items()}
 
 
 def run_hr(spark: SparkSession, employees: str, exits: str, reviews: str, as_of: str | dt.date,
            attendance: str | None = None, out: str | None = None, buckets: int | None = None) -> dict[str, str]:
     """Build the HR marts and the report tables; returns name -> path.
-    ``buckets`` writes the staging layer bucketed by employee_id first."""
+    ``buckets`` writes the staging layer bucketed by employee_id first.
+    Without ``attendance`` the marts that need it (monthly trend, flight
+    risk) and their reports are left out, not written empty."""
     out = out or pipelines.run_dir(spark)
-    raw = land_hr(spark, employees, exits, reviews, attendance)
-    paths = pipelines.build_hr_marts(spark, raw, as_of, out, bucket_staging=buckets)
+    paths: dict[str, str] = {}
+    raw = land_hr(spark, employees, exits, reviews, attendance, out, paths)
+    paths |= pipelines.build_hr_marts(spark, raw, as_of, out, bucket_staging=buckets)
     for name, df in pipelines.hr_reports_from_marts(spark, paths).items():
         p = f"{out}/reports/{name}"
         io.write_mart(df, p)
@@ -57,11 +72,11 @@ def run_retail(spark: SparkSession, inventory: str, expenses: str, out: str | No
     revenue, cost) also the (store, category, date) working mart, written
     partitioned by year, and every dashboard report computed from it."""
     out = out or pipelines.run_dir(spark)
-    inv = io.read_csv(spark, inventory, schemas.STORE_INVENTORY, keep_corrupt=False)
-    exp = io.read_csv(spark, expenses, schemas.STORE_EXPENSES, keep_corrupt=False)
+    paths: dict[str, str] = {}
+    inv = land(spark, "store_inventory", inventory, schemas.STORE_INVENTORY, out, paths)
+    exp = land(spark, "store_expenses", expenses, schemas.STORE_EXPENSES, out, paths)
     built = {"retail_stock_status": retail.retail_stock_status(inv), "retail_stock_value": retail.retail_stock_value(inv),
              "retail_expense_check": retail.retail_expense_check(exp)}
-    paths = {}
     if sales:
         mp = f"{out}/marts/retail_daily"
         io.write_mart(retail.retail_daily_mart(spark.read.parquet(sales)).withColumn("year", F.year("date")), mp, ["year"])
@@ -89,13 +104,6 @@ RESTAURANT_SCHEMAS = {
 }
 
 
-def _read_any(spark: SparkSession, path: str, schema):
-    """Parquet folders/files as they are; CSV exports with the declared schema."""
-    if path.lower().endswith(".csv"):
-        return io.read_csv(spark, path, schema, keep_corrupt=False)
-    return spark.read.parquet(path)
-
-
 def restaurant_reports(t: dict) -> dict:
     """Every restaurant analysis as a lazy DataFrame over the given tables."""
     s, r, p, lab, g, m, st = (t[k] for k in ("sales", "reservations", "purchases", "labor", "guests", "menu", "staff"))
@@ -130,12 +138,12 @@ def run_restaurant(spark: SparkSession, paths: dict[str, str], out: str | None =
     """Land the seven restaurant tables, write the five marts, reconcile
     them, and write every analysis result; returns name -> path."""
     out = out or pipelines.run_dir(spark)
-    t = {k: _read_any(spark, v, RESTAURANT_SCHEMAS[k]) for k, v in paths.items()}
-    for name, df in t.items():
-        io.register_view(df, f"raw_{name}")
-    written = pipelines.build_restaurant_marts(spark, t["sales"], out)
+    written: dict[str, str] = {}
+    t = {k: land(spark, k, v, RESTAURANT_SCHEMAS[k], out, written) for k, v in paths.items()}
+    made = pipelines.build_restaurant_marts(spark, t["sales"], out)
+    written |= made
     reports = restaurant_reports(t)
-    reports["dq_mart_reconcile"] = marts.dq_mart_reconcile(t["sales"], pipelines.read_marts(spark, written))
+    reports["dq_mart_reconcile"] = marts.dq_mart_reconcile(t["sales"], pipelines.read_marts(spark, made))
     if ytd_years:
         reports["rev_ytd_compare"] = revenue.rev_ytd_compare(t["sales"], ytd_years, ytd_cutoff or "12-31")
     reports["guest_pareto"] = guests.guest_pareto(t["guests"])
@@ -168,9 +176,12 @@ def main(argv=None) -> None:
     x.add_argument("--ytd-years", help="e.g. 2025,2026 for the like-for-like year-to-date comparison")
     x.add_argument("--ytd-cutoff", default="12-31", help="MM-DD, inclusive")
     x.add_argument("--out")
+    for p in (h, r, x):
+        p.add_argument("--input-tb", type=float, help="size the shuffles for so much input")
+        p.add_argument("--executors", type=int, default=1000)
     a = ap.parse_args(argv)
     from tillroll.session import get_spark
-    spark = get_spark()
+    spark = get_spark(input_tb=a.input_tb, executors=a.executors)
     if a.cmd == "hr":
         paths = run_hr(spark, a.employees, a.exits, a.reviews, a.as_of, a.attendance, a.out, a.buckets)
     elif a.cmd == "retail":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -48,33 +49,37 @@ def cluster_conf(input_tb: float = 100.0, executors: int = 1000, cores_per_execu
     }
 
 
-def get_spark(master: str | None = None, app: str = "tillroll",
-              shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+def get_spark(master: str | None = None, app: str = "tillroll", shuffle_partitions: int | None = None,
+              extra: dict | None = None, input_tb: float | None = None, executors: int = 1000) -> SparkSession:
     """Build (or reuse) a session. ``master`` is only set when given, so a
-    cluster submit keeps its own master."""
+    cluster submit keeps its own master. ``input_tb`` adds the settings of a
+    cluster run over so much input (``cluster_conf``)."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    if input_tb:
+        for k, v in cluster_conf(input_tb, executors).items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``. Only a local-mode
-    session (tests) may fall back to a fresh scratch folder; on a cluster a
+    """Use the cluster's shared ``spark.checkpoint.dir``; asked for where a
+    checkpoint or a shared table is made. Only a local-mode session (one
+    process, as in tests) may fall back to a fresh scratch folder; on a cluster a
     machine-local folder would not survive a lost executor, so it is an
     error to leave the setting unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for cluster runs")
         d = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

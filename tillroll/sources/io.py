@@ -89,9 +89,10 @@ def read_mart(spark: SparkSession, name_or_path: str) -> DataFrame:
 def write_mart(df: DataFrame, path: str, partition_by: list[str] | None = None,
                small_csv: bool = False) -> None:
     """Materialise a mart. Parquet, optionally partitioned (e.g. by year)
-    for pruning; ``small_csv`` writes one CSV file for small extracts."""
+    for pruning; ``small_csv`` writes one CSV file for small extracts (the
+    work before it keeps its tasks; only the result meets in one)."""
     if small_csv:
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
         return
     w = df.write.mode("overwrite")
     if partition_by:

@@ -45,6 +45,8 @@ class TestTables:
         key = (id(spark), sf_dir.rstrip("/"))
         inst = _INSTANCES.get(key)
         if inst is None or inst.spark is not spark:
+            for old in [k for k, v in _INSTANCES.items() if v.spark is not spark]:
+                del _INSTANCES[old]  # of a stopped session
             inst = super().__new__(cls)
             inst.spark = spark
             inst.dir = sf_dir.rstrip("/")
@@ -106,8 +108,8 @@ class TestTables:
 
     @_memo
     def staff_dim(self) -> DataFrame:
-        return (self.t("supplier").filter("s_suppkey < 10 AND s_suppkey <> 7")
-                .selectExpr("s_suppkey AS employee_id", "s_name AS name",
+        return (self.t("supplier")
+                .selectExpr("CASE WHEN s_suppkey = 7 THEN s_suppkey + 1000000007 ELSE s_suppkey END AS employee_id", "s_name AS name",
                             "CASE WHEN s_suppkey % 2 = 0 THEN 'Server' ELSE 'Bartender' END AS role"))
 
     @_memo
@@ -159,7 +161,7 @@ class TestTables:
     def employees_raw(self) -> DataFrame:
         c = self.t("customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
         g = self._orders_by_customer().select("o_custkey", "lo", "hi")
-        j = c.join(g, F.col("o_custkey") == F.col("c_custkey"))
+        j = c.join(g, F.col("o_custkey") == F.col("c_custkey"), "left")
         return j.selectExpr(
             "c_custkey AS employee_id", "c_name AS name",
             "CASE WHEN c_custkey < 20 THEN 'Manager' WHEN c_custkey % 4 = 0 THEN 'Driver' WHEN c_custkey % 4 = 1 THEN 'Mover'"
@@ -177,13 +179,14 @@ class TestTables:
     def exits_raw(self) -> DataFrame:
         c = self.t("customer").select("c_custkey", "c_acctbal").filter("c_acctbal < 4000")
         g = self._orders_by_customer().select("o_custkey", "hi")
-        j = c.join(g, F.col("o_custkey") == F.col("c_custkey"))
+        j = c.join(g, F.col("o_custkey") == F.col("c_custkey"), "left")
         return j.selectExpr(
             "c_custkey AS employee_id", "CAST(hi AS STRING) AS exit_date",
             "CASE c_custkey % 5 WHEN 0 THEN 'Burnout' WHEN 1 THEN 'Involuntary - No Show' WHEN 2 THEN 'Better Pay'"
             " WHEN 3 THEN 'Involuntary - Performance' ELSE 'Relocated' END AS exit_reason",
             "1 + c_custkey % 5 AS exit_survey_score",
             "CASE WHEN c_custkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS eligible_for_rehire",
+            "CASE WHEN c_custkey >= 20 THEN CONCAT(CAST(c_custkey % 20 AS STRING), '.0') END AS manager_id",
         )
 
     @_memo

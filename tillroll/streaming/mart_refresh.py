@@ -4,8 +4,9 @@ inputs as new sales files arrive.
 Streaming aggregations cannot keep exact distinct counts (checks are
 COUNT DISTINCT orders), so the stream carries no aggregation state: each
 micro-batch only finds which months it touched, recomputes those months
-from the full source table (the month filter reaches the scan; with a
-date-partitioned source it prunes files), and overwrites just those month
+from the source table (a raw date range reaches the scan and prunes row
+groups, or files of a source partitioned by date; rows without a date form
+a month of their own), and overwrites just those month
 partitions of the mart. Replaying a batch rewrites the same partitions, so
 the sink is idempotent, and late files simply trigger a recompute of their
 month; no watermark or state store is needed.
@@ -23,14 +24,29 @@ from tillroll.operators.kpi import kpi_daily
 from tillroll.operators.marts import mart_daily_service
 
 
+def _touched(batch: DataFrame) -> tuple[DataFrame, list]:
+    """Months of a batch (NULL for rows without a date) and its date span."""
+    months = batch.select(F.trunc("date", "month").alias("_m")).distinct()
+    span = batch.agg(F.trunc(F.min("date"), "month").alias("a"), F.last_day(F.max("date")).alias("b")).first()
+    return months, [span["a"], span["b"]]
+
+
+def _of_months(src: DataFrame, months: DataFrame, span: list) -> DataFrame:
+    """Rows of the touched months. The span is a range on the raw date
+    column, so it reaches the scan (row groups, or folders of a source that
+    is partitioned by date); the semi join keeps exactly the months."""
+    missing = F.col("date").isNull()
+    inside = missing if span[0] is None else F.col("date").between(F.lit(span[0]), F.lit(span[1])) | missing
+    src = src.filter(inside).withColumn("_m", F.trunc("date", "month"))
+    m = F.broadcast(months.select(F.col("_m").alias("_t")))
+    return src.join(m, F.col("_m").eqNullSafe(F.col("_t")), "left_semi").drop("_m")
+
+
 def _recompute(spark: SparkSession, source_path: str, schema: T.StructType, mart_path: str,
                build: Callable[[DataFrame], DataFrame]):
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        months = batch.select(F.trunc("date", "month").alias("_m")).distinct()
-        src = spark.read.schema(schema).parquet(source_path)
-        # months per batch are bounded by the calendar span of one batch
-        touched = src.withColumn("_m", F.trunc("date", "month")).join(F.broadcast(months), "_m", "left_semi")
-        out = build(touched.drop("_m")).withColumn("mart_month", F.trunc("date", "month"))
+        months, span = _touched(batch)  # bounded by the calendar span of one batch
+        out = build(_of_months(spark.read.schema(schema).parquet(source_path), months, span)).withColumn("mart_month", F.trunc("date", "month"))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("mart_month").parquet(mart_path))
     return upsert
@@ -52,12 +68,11 @@ def _recompute_multi(spark: SparkSession, source_path: str, schema: T.StructType
                      others: dict[str, tuple[str, T.StructType]], mart_path: str,
                      build: Callable[[dict[str, DataFrame]], DataFrame], stream_name: str):
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        months = F.broadcast(batch.select(F.trunc("date", "month").alias("_m")).distinct())
+        months, span = _touched(batch)
         srcs = {stream_name: (source_path, schema), **others}
         frames = {}
         for name, (path, sch) in srcs.items():
-            df = spark.read.schema(sch).parquet(path)
-            frames[name] = (df.withColumn("_m", F.trunc("date", "month")).join(months, "_m", "left_semi").drop("_m"))
+            frames[name] = _of_months(spark.read.schema(sch).parquet(path), months, span)
         out = build(frames).withColumn("mart_month", F.trunc("date", "month"))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("mart_month").parquet(mart_path))
@@ -67,13 +82,14 @@ def _recompute_multi(spark: SparkSession, source_path: str, schema: T.StructType
 def refresh_kpi_daily(spark: SparkSession, sales: tuple[str, T.StructType], labor: tuple[str, T.StructType],
                       purchases: tuple[str, T.StructType], mart_path: str, checkpoint: str,
                       available_now: bool = True):
-    """Keep the daily KPI mart current as sales files land: each batch
-    recomputes its months from all three facts (each filtered to those
-    months, so the scans stay small) and overwrites those months. Labour or
-    purchase files for a month are picked up when its sales are refreshed."""
+    """Keep the daily KPI mart current as files of any of its three facts
+    land: the dates of all three streams are unioned, each batch recomputes
+    the months it touched from all facts (each pruned to those months) and
+    overwrites those months."""
     path, schema = sales
     build = lambda t: kpi_daily(t["sales"], t["labor"], t["purchases"])
-    stream = spark.readStream.schema(schema).parquet(path)
+    dates = [spark.readStream.schema(s).parquet(p).select("date") for p, s in (sales, labor, purchases)]
+    stream = dates[0].unionByName(dates[1]).unionByName(dates[2])
     w = (stream.writeStream.foreachBatch(
         _recompute_multi(spark, path, schema, {"labor": labor, "purchases": purchases}, mart_path, build, "sales"))
          .option("checkpointLocation", checkpoint))
