@@ -105,3 +105,91 @@ def test_retail_runner_with_sales(spark):
     assert os.path.isdir(out["retail_daily"]) and any(d.startswith("year=") for d in os.listdir(out["retail_daily"]))
     for name in ("retail_kpis", "retail_by_store", "retail_monthly", "retail_net_profit", "retail_seasonality"):
         assert _same(io.read_mart(spark, out[name]), retail_queries.__dict__[f"q_{name}"](spark, SF_SMALL)), name
+
+
+def _hr_exports(tmp_path):
+    from tillroll.sources import schemas
+    files = {}
+    heads = {"employees": schemas.RAW_EMPLOYEES, "exits": schemas.RAW_EXIT_RECORDS, "reviews": schemas.RAW_PERFORMANCE_REVIEWS}
+    rows = {"employees": [{"employee_id": i, "name": f"n{i}", "role": "Manager" if i == 1 else "Driver", "department": "d",
+                           "hire_date": "2022-01-01", "termination_date": "2023-02-01" if i % 2 else "",
+                           "termination_type": "Voluntary" if i % 2 else "", "hourly_rate": 20, "manager_id": "1.0",
+                           "status": "Terminated" if i % 2 else "Active"} for i in range(1, 9)],
+            "exits": [{"employee_id": i, "exit_date": "2023-02-01", "exit_reason": "Burnout", "exit_survey_score": 3,
+                       "eligible_for_rehire": "Yes", "manager_id": "1.0"} for i in (1, 3, 5)],
+            "reviews": [{"employee_id": 2, "review_period": "2022-H1", "score": 3.5, "promoted": "True", "manager_notes_tag": "Star"}]}
+    for name, schema in heads.items():
+        names = [f.name for f in schema.fields]
+        lines = [",".join(names)] + [",".join(str(r.get(c, "")) for c in names) for r in rows[name]]
+        if name == "exits":
+            lines.append("bad id,not a date,Burnout,many,Yes,")
+        files[name] = str(tmp_path / f"{name}.csv")
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return files
+
+
+def test_malformed_rows_are_counted_and_kept(spark, tmp_path):
+    from tillroll.plans import run
+    from tillroll.sources import io
+    f = _hr_exports(tmp_path)
+    paths = run.run_hr(spark, f["employees"], f["exits"], f["reviews"], "2026-04-30", out=str(tmp_path / "out"))
+    counts = io.read_mart(spark, paths["landing_exit_records"]).collect()[0]
+    assert (counts.rows, counts.corrupt_rows) == (4, 1)
+    bad = io.read_mart(spark, paths["quarantine_exit_records"]).collect()
+    assert [r[io.CORRUPT] for r in bad] == ["bad id,not a date,Burnout,many,Yes,"]
+
+
+def test_marts_that_need_attendance_are_left_out(spark, tmp_path):
+    from tillroll.plans import run
+    f = _hr_exports(tmp_path)
+    paths = run.run_hr(spark, f["employees"], f["exits"], f["reviews"], "2026-04-30", out=str(tmp_path / "out"))
+    assert "mart_manager_scorecard" in paths and not set(pipelines.NEED_ATTENDANCE) & set(paths)
+    assert not {"hr_rolling_rate", "ts_holt_winters", "hr_risk_levels"} & set(paths)
+    assert spark.table("mart_manager_scorecard").count() == 1  # by name
+
+
+def test_reconcile_finds_a_mart_that_loses_rows(spark):
+    t = TestTables(spark, SF_SMALL)
+    broken = {n: fn(t.sales()) for n, fn in marts.MARTS.items()}
+    broken["daily_summary"] = broken["daily_summary"].filter("service = 'Dinner'")
+    got = {r.mart: r.reconciled for r in marts.dq_mart_reconcile(t.sales(), broken).collect()}
+    assert got.pop("daily_summary") is False and all(got.values())
+
+
+def test_duplicate_menu_item_counts_per_dimension_row(spark):
+    from tillroll.operators import menu
+    sales = spark.createDataFrame([("x", "A", 10.0, 5.0)] * 2 + [("y", "A", 1.0, 1.0)], "item string, category string, line_total double, unit_price double")
+    sales = sales.selectExpr("item", "category", "CAST(line_total AS DECIMAL(18,4)) line_total", "CAST(unit_price AS DECIMAL(18,4)) unit_price")
+    dim = spark.createDataFrame([("x", 40.0), ("x", 60.0), ("y", 10.0)], "item string, gross_margin_pct double").selectExpr(
+        "item", "CAST(gross_margin_pct AS DECIMAL(9,4)) gross_margin_pct")
+    top = {r.item: (r.times_ordered, r.revenue, r.gross_margin_pct) for r in menu.menu_top_items(sales, dim).collect()}
+    assert top == {"x": (4, 40.0, 50.0), "y": (1, 1.0, 10.0)}
+
+
+def test_an_empty_store_list_selects_nothing(spark):
+    from tillroll.operators import retail
+    t = TestTables(spark, SF_SMALL)
+    assert retail.retail_by_store(t.store_sales(), stores=[]).count() == 0
+    assert retail.retail_by_store(t.store_sales(), stores=None).count() == 3
+
+
+def test_only_checkpoints_need_a_shared_folder(monkeypatch):
+    """A session on a cluster without the setting works until it checkpoints."""
+    import pytest
+
+    from tillroll import session
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Fake)
+
+
+def test_cluster_settings_grow_with_the_input():
+    from tillroll.session import cluster_conf
+    small, large = (int(cluster_conf(tb)["spark.sql.shuffle.partitions"]) for tb in (1, 100))
+    assert large > small
