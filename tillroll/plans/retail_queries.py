@@ -132,7 +132,8 @@ def q_retail_stock_value(spark, d):
 
 
 @register("retail_expense_check", with_views("""
-SELECT store_id, year, month, rent, labor, utilities, misc_expenses, rent + labor + utilities + misc_expenses AS total_expenses
+SELECT store_id, year, month, rent, labor, utilities, misc_expenses, rent + labor + utilities + misc_expenses AS computed_total,
+  total_expenses AS stated_total, total_expenses <> rent + labor + utilities + misc_expenses AS mismatch
 FROM store_expenses""", "store_expenses"))
 def q_retail_expense_check(spark, d):
     return retail.retail_expense_check(TestTables(spark, d).store_expenses())

@@ -239,6 +239,9 @@ class TestTables:
         return g.selectExpr(
             "store_id", "year", "month", "CAST(4000 + 100 * m3 AS BIGINT) AS rent", "CAST(n * 100 AS BIGINT) AS labor",
             "CAST(300 + n AS BIGINT) AS utilities", "CAST(s % 450 AS BIGINT) AS misc_expenses",
+            # the stated total; wrong by 10 in the Junes of even years, for the expense check to find
+            "CAST(4300 + 100 * m3 + 101 * n + s % 450 + CASE WHEN month = 6 AND year % 2 = 0 THEN 10 ELSE 0 END AS BIGINT)"
+            " AS total_expenses",
         )
 
     @_memo
