@@ -99,7 +99,7 @@ def test_reports(spark):
     assert (k.total, k.terminated, k.active, k.overall_rate, k.voluntary) == (5, 2, 3, 40.0, 1)
     bands = hr_reports.hr_rate_by_tenure(mart).collect()
     assert len(bands) == 6 and bands[0].tenure_band == "0-3 months"
-    piv = hr_reports.hr_reason_by_role(mart).collect()
+    piv = hr_reports.hr_reason_by_role(mart, hr_reports.exit_reasons(mart)).collect()
     assert {r.role: (r["Burnout"], r["INVOLUNTARY - No Show"]) for r in piv} == {"Driver": (1, 0), "Mover": (0, 1)}
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import weekday_name, year_month
@@ -71,8 +71,9 @@ def dq_mart_reconcile(sales: DataFrame, marts: dict[str, DataFrame] | None = Non
     parts = [m.agg(F.count(F.lit(1)).alias("mart_rows"),
                    F.sum(F.col("revenue").cast("decimal(18,2)")).alias("_rev")).withColumn("mart", F.lit(name))
              for name, m in marts.items()]
-    fact = sales.agg(F.sum("line_total").alias("_fact"))  # one row
-    u = reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(fact))
+    fact = sales.agg(F.sum("line_total").alias("_fact"))  # one row beside the marts' rows
+    u = reduce(DataFrame.unionByName, parts).unionByName(fact, allowMissingColumns=True)
+    u = u.withColumn("_fact", F.max("_fact").over(Window.partitionBy())).filter(F.col("mart").isNotNull())
     gap = F.coalesce("_rev", F.lit(0)) - F.round("_fact", 2)
     return u.select("mart", "mart_rows", money("_rev").alias("revenue"), money("_fact").alias("fact_revenue"),
                     money(gap).alias("difference"),
