@@ -65,6 +65,12 @@ def test_components_of_near_copies(spark):
             rows.append((1000 * base + 7 * k, " ".join(changed)))
             if k % 4 == 3:
                 text = changed
+    text = [rnd.choice(words) for _ in range(150)]  # many copies, most of them edited beyond the threshold
+    for i in range(150):
+        changed = list(text)
+        for _ in range(rnd.randint(2, 7)):
+            changed[rnd.randrange(len(changed))] = f"e{rnd.randrange(10 ** 6)}"
+        rows.append((20_000 + i, " ".join(changed)))
     rows += [(9000 + i, " ".join(passage + [rnd.choice(words) for _ in range(rnd.choice([5, 40, 90]))])) for i in range(25)]
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -92,7 +98,9 @@ def test_bitmaps_never_overrate():
     for _ in range(200):
         a = np.unique(rng.integers(0, 500, rng.integers(1, 300)).astype(np.uint64))
         b = np.unique(rng.integers(0, 500, rng.integers(1, 300)).astype(np.uint64))
-        assert ngram_join.least_difference(ngram_join.parity(a), ngram_join.parity(b)) <= len(np.setxor1d(a, b))
+        c = b[:len(b) // 3 + 1]
+        low = ngram_join.least_differences(ngram_join.parity(a), [ngram_join.parity(b), ngram_join.parity(c), ngram_join.parity(a)])
+        assert low[0] <= len(np.setxor1d(a, b)) and low[1] <= len(np.setxor1d(a, c)) and low[2] == 0
 
 
 def test_components_of_a_chain(spark):

@@ -6,29 +6,32 @@ Documents whose shingle sets have a Jaccard similarity of at least
 1. Sets. Every whole text becomes its distinct five-word shingles. Equal
    sets are one class, and only class representatives go on.
 2. Groups. Representatives that share a pair of min-hashes meet their key's
-   smallest id; the exact similarity decides who joins that leader's group,
-   so every member of a group is linked with its leader. What finds no
-   leader is a group of its own.
+   smallest id; the exact similarity decides who joins that leader's star,
+   so every member of a star is linked with its leader. The others stay
+   together as similar documents, not known to be linked, in groups of about
+   ``PART`` of those that met the same leader; the rest are alone.
 3. Matrix. Tokens (shingles) are ordered from rare to frequent by a
    count-min sketch of all documents. Sets that reach the threshold share a
    token among their first |x| - ceil(t|x|) + 1, so the matrix of these
    tokens against groups finds every group that may hold a partner of a
    query: (query, group) rows, however many of the group's members hold the
-   token. Groups are compared with queries of other groups only.
-4. Bound. A query's distance to a group's leader is bounded below by the
-   parity bitmaps of the two sets; Jaccard distance is a metric, so a group
-   whose leader is farther than 2 (1 - t) away cannot hold a partner. What
-   remains is compared with the leader exactly.
-5. Opening. For a query not linked with the leader the overlap with the
-   token union of each part of the group is counted; only parts that reach
+   token. A star is not asked for its own members.
+4. Bound. The distance of two sets is bounded below by their parity bitmaps,
+   which a group of similar documents keeps of each member, a star of its
+   leader. Jaccard distance is a metric, so a star whose leader is farther
+   than 2 (1 - t) away cannot hold a partner. Pairs that remain are compared
+   exactly.
+5. Opening. For a query not linked with a star's leader the overlap with the
+   token union of each part of the star is counted; only parts that reach
    the needed overlap are opened and their members verified.
 
 All bounds are exact; nothing is capped or sampled.
 
 Scale: shuffled are prefix tokens (about a fifth of all), heads of some
 hundred bytes a document, and the sets of documents in candidate pairs; the
-texts are not shuffled. A large group of copies is one class, a large group
-of near copies one group: neither is paired within itself. A frequent
+texts are not shuffled. A large group of copies is one class, one of near
+copies a star: neither is paired within itself; documents that are similar
+but not linked meet group by group, not as rows of pairs. A frequent
 passage stands last in the token order, so only documents made up of little
 else look it up. Sketch and id filter have a fixed size (16 MB, 1 MB).
 
@@ -54,7 +57,7 @@ from tillroll.llm.components import components
 
 SKETCH_BITS, FILTER_BITS, SEGMENTS = 22, 23, 16
 KEYS = 4   # pairs of min-hashes a document offers for grouping
-PART = 64  # members of a part of a group
+PART = 64  # members of a group of similar documents, and of a part of a star
 _MINHASH = np.array([0x8F14E45FCEEA167B, 0xC9F0F895FB98AB91, 0x45C48CCE2E2D7FBD, 0xD3D9446802A44259,
                      0x6512BD43D9CAA6E1, 0xC20AD4D76FE97759, 0xC51CE410C124A10F, 0xAAB3238922BCC25B], np.uint64)
 
@@ -76,19 +79,27 @@ def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
 # parity bitmaps: bit h(x) flips for every token; its weight bounds distances
 
 def parity(tokens: np.ndarray) -> bytes:
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     flips = np.bincount((shingles.mix(tokens + np.uint64(77)) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """Lower bound of the size of the symmetric difference of two sets."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) < len(y):
-        x, y = y, x
-    if len(x) > len(y):  # fold the longer one
-        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x
+
+
+def least_differences(a: bytes, others: list[bytes]) -> np.ndarray:
+    """Lower bounds of the sizes of the symmetric differences of one set
+    with others. Of two bitmaps the longer one is folded."""
+    x, out = np.frombuffer(a, np.uint8), np.empty(len(others), np.int64)
+    sizes = np.array([len(o) for o in others])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        y = np.frombuffer(b"".join(others[i] for i in at), np.uint8).reshape(len(at), size)
+        if size > len(x):
+            y = np.bitwise_xor.reduce(y.reshape(len(at), -1, len(x)), axis=1)
+        out[at] = np.bitwise_count(y ^ _folded(x, size)).sum(axis=1)
+    return out
 
 
 # sketches of a fixed size, summed by segments
@@ -198,15 +209,22 @@ def _sets_of(wanted):
 
 
 def _near_bitmaps(percent: int):
-    """Pairs (id, head, n, head_n, several, bits, head_bits) that the bound leaves."""
+    """Rows (id, n, bits, own, head group: several, ids, ns, maps) -> the
+    pairs (id, head) that the bound leaves. Within a query's own group only
+    smaller ids are its partners."""
     def run(batches):
         t = percent / 100
         for b in batches:
-            keep = []
-            for n, m, several, x, y in zip(*(b.column(c).to_pylist() for c in ("n", "head_n", "several", "bits", "head_bits")), strict=True):
-                far = min(1.0, (2 if several else 1) * (1 - t))  # largest distance that matters
-                keep.append(least_difference(x, y) <= (n + m) * far / (2 - far) + 1e-9)
-            yield b.select(["id", "head"]).filter(pa.array(keep, pa.bool_()))
+            left, right = [], []
+            for r in b.to_pylist():
+                far = min(1.0, (2 if r["several"] else 1) * (1 - t))  # largest distance that matters
+                room = (r["n"] + np.array(r["ns"])) * far / (2 - far) + 1e-9
+                near = np.flatnonzero(least_differences(r["bits"], r["maps"]) <= room)
+                heads = [r["ids"][i] for i in near]
+                heads = [h for h in heads if (h < r["id"] if r["own"] else h != r["id"])]
+                left += [r["id"]] * len(heads)
+                right += heads
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["id", "head"])
     return run
 
 
@@ -251,12 +269,16 @@ class Join:
                 .select("id", "head", "tokens", "head_tokens"))
         return rows.mapInArrow(_overlap(self.percent, True), "id long, head long")
 
-    def bounded(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        """Pairs (id, head, several) that the bitmaps cannot rule out."""
-        heads = reps.select(F.col("id").alias("head"), F.col("n").alias("head_n"), F.col("bits").alias("head_bits"))
-        rows = pairs.join(reps.select("id", "n", "bits"), "id").join(heads, "head")
+    def bounded(self, rows: DataFrame) -> DataFrame:
+        """Pairs that the bitmaps cannot rule out (see ``_near_bitmaps``)."""
         return rows.mapInArrow(_near_bitmaps(self.percent), "id long, head long")
 
+    def bounded_pairs(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """The same for single pairs (id, head)."""
+        heads = reps.select(F.col("id").alias("head"), F.array("id").alias("ids"), F.array("n").alias("ns"), F.array("bits").alias("maps"))
+        return self.bounded(pairs.join(reps.select("id", "n", "bits"), "id").join(heads, "head")
+                            .withColumns({"several": F.lit(False), "own": F.lit(False)}).drop("head"))
+
     @staticmethod
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("id", "head")).alias("id")).distinct()
@@ -280,23 +302,37 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # groups around leaders
     keyed = reps.select("id", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
-    offered = keyed.join(leaders, "key").groupBy("id").agg(F.min("head").alias("head")).filter("id <> head").withColumn("several", F.lit(False))
-    offered = written(job.bounded(offered, reps), "join-offers")
-    star = written(job.verified(offered, job.sets(job.ends(offered))), "join-stars")
-    grouped = written(reps.select("id", "n").join(star, "id", "left").select("id", "n", F.coalesce("head", "id").alias("g")), "join-groups")
+    offered = written(keyed.join(leaders, "key").groupBy("id").agg(F.min("head").alias("head")), "join-offers")
+    tried = written(job.bounded_pairs(offered.filter("id <> head"), reps), "join-tried")
+    star = written(job.verified(tried, job.sets(job.ends(tried))), "join-stars")
+    # a star's number is its leader; a loose group of similar documents has a number by hash
+    led = star.select("head").distinct().withColumn("leads", F.lit(True))
+    alone = (offered.join(star.select("id"), "id", "left_anti").join(led, offered["id"] == led["head"], "left_anti"))
+    met_at = alone.groupBy("head").agg(F.count("*").alias("met"))
+    similar = (alone.join(met_at, "head").select("id", (-1 - F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("id"), F.ceil(F.col("met") / PART))), F.lit(1 << 62))).alias("s")))
+    grouped = written(reps.select("id", "n", "bits").join(star, "id", "left").join(similar, "id", "left")
+                      .select("id", "n", "bits", F.coalesce("head", "s", "id").alias("g"), (F.col("head").isNull() & F.col("s").isNotNull()).alias("loose")), "join-groups")
 
     # the matrix of rare tokens against groups
     prefix = source.filter("id IS NOT NULL").mapInArrow(_prefixes(sketch, percent), "id long, tokens array<long>")
-    matrix = written(prefix.join(grouped, "id").select("id", "n", "g", "tokens"), "join-matrix")
-    cells = matrix.select("id", "n", "g", F.explode("tokens").alias("token"))
-    shared = cells.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")
+    matrix = written(prefix.join(grouped.drop("bits"), "id").select("id", "n", "g", "loose", "tokens"), "join-matrix")
+    cells = matrix.select("id", "n", "g", "loose", F.explode("tokens").alias("token"))
+    shared = (cells.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("loose").alias("loose"))
+              .filter("lo < hi OR (loose AND a < b)").select("token"))
     cells = written(cells.join(shared, "token"), "join-cells")
     held = cells.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "head")
-    met = (cells.join(held, "token").filter("g > head").filter(f"100 * most >= {percent} * n AND {percent} * least <= 100 * n")
+    met = (cells.join(held, "token").filter("g > head OR (g = head AND loose)").filter(f"100 * most >= {percent} * n AND {percent} * least <= 100 * n")
            .select("id", "head").distinct())
-    sizes = grouped.groupBy("g").agg(F.count("*").alias("members"), F.max(F.when(F.col("id") != F.col("g"), 1).otherwise(0)).alias("others"))
-    met = met.join(sizes.select(F.col("g").alias("head"), (F.col("others") == 1).alias("several")), "head")
-    near = written(job.bounded(met, reps), "join-near")
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("members"), F.max(F.when(F.col("id") != F.col("g"), 1).otherwise(0)).alias("others"), F.max("loose").alias("loose")).filter("NOT loose")
+    # a star shows its leader, any other group all its members
+    shown = (grouped.filter("loose").select("g", "id", "n", "bits")
+             .union(grouped.filter("NOT loose").select("g").distinct().join(reps.select("id", "n", "bits"), F.col("g") == F.col("id")).select("g", "id", "n", "bits")))
+    shown = (shown.groupBy("g").agg(F.collect_list(F.struct("id", "n", "bits")).alias("m"))
+             .join(sizes.select("g", (F.col("others") == 1).alias("several")), "g", "left")
+             .select(F.col("g").alias("head"), F.coalesce("several", F.lit(False)).alias("several"), F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.bits").alias("maps")))
+    asked = met.join(grouped.select("id", "n", "bits", "g"), "id").join(shown, "head").select(
+        "id", "n", "bits", (F.col("g") == F.col("head")).alias("own"), "several", "ids", "ns", "maps")
+    near = written(job.bounded(asked).distinct(), "join-near")
 
     # leaders first, then the parts of groups that may hold a partner
     sets = job.sets(job.ends(near))
@@ -315,9 +351,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         asked = (waiting.join(unions.withColumnRenamed("g", "head"), "head").join(sets, "id")
                  .select("id", "head", "part", "tokens", "head_tokens"))
         opened = asked.mapInArrow(_overlap(percent, False), "id long, head long, part long")
-        pairs = (opened.join(inside, ["head", "part"]).select("id", F.col("member").alias("head")).filter("id <> head")
-                 .distinct().withColumn("several", F.lit(False)))
-        pairs = written(job.bounded(pairs, reps), "join-opened")
+        pairs = opened.join(inside, ["head", "part"]).select("id", F.col("member").alias("head")).filter("id <> head").distinct()
+        pairs = written(job.bounded_pairs(pairs, reps), "join-opened")
         links = links.union(job.verified(pairs, sets))
     roots = components(links, "id", "head")
     # rows with one id and several texts link their classes
