@@ -1,8 +1,10 @@
 """HR marts (H5-H13): attrition fact, monthly trend, manager scorecards,
 flight-risk scores.
 
-All joins are on ``employee_id`` between frames already reduced to one row
-per employee, so they share one hash partitioning and never multiply rows.
+All joins are on ``employee_id``, so they share one hash partitioning.
+Reviews and attendance are reduced to one row per employee first; exit rows
+are joined as they are, so an employee with two exit rows has two mart rows
+(as in the reference).
 The v1 scorecard reproduces the reference's per-review fan-out with row
 weights instead of materialising the fan-out join.
 """

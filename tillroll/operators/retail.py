@@ -21,10 +21,11 @@ OVERSTOCK_ABOVE = 150
 
 def retail_daily_mart(sales: DataFrame) -> DataFrame:
     """(store, category, date) grain with additive revenue, cost, units: the
-    dashboard's working table. Every retail operator above only sums these
-    three over store / category / date keys, so it gives the same answer
-    on this mart as on the raw lines, and dashboard filters re-aggregate a
-    table that is orders of magnitude smaller."""
+    dashboard's working table. Every retail operator only sums these three
+    over store / category / date keys, so on this mart it gives the answer
+    of the raw lines (revenue is kept to the cent and cost to 1/100 cent, as
+    the exports state them), and dashboard filters re-aggregate a table that
+    is orders of magnitude smaller."""
     return sales.groupBy("store_id", "category", "date").agg(
         F.sum("revenue").cast("decimal(38,2)").alias("revenue"), F.sum("cost").cast("decimal(38,4)").alias("cost"),
         F.sum("units").alias("units"))
