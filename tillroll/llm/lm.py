@@ -47,7 +47,7 @@ from tillroll.llm.common import remainder, renamed, with_package, written
 
 END = int(shingles.mix(np.array([0xE0D], np.uint64))[0])
 FIRST, OTHER = 0, 1  # contexts before those of frequent words
-PART_TOKENS = 6_000_000
+PART_TOKENS = 3_000_000
 EXACT = 48
 THETA = 1.0
 ROWS = 4096  # texts of a block: their places fit 2 bytes
@@ -357,13 +357,31 @@ def _score_part(totals, n_train: int, burn: int, samples: int):
                 step, cell = _unpack(r["events"], r["n_events"], "<i8", "<u4")
                 doc = np.cumsum(step)
                 start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                w = word[cell]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[start]), pa.array(np.add.reduceat(logp[cell], start)), pa.array(np.add.reduceat(base[w], start)),
-                     pa.array(np.add.reduceat((seen[w] > 0).astype(np.int64), start))], ["rid", "logp", "base", "known"])
+                w, rid = word[cell], doc[start]
+                sums = [np.add.reduceat(logp[cell], start), np.add.reduceat(base[w], start),
+                        np.add.reduceat((seen[w] > 0).astype(np.uint32), start)]
+                # the sums of a run of texts travel together
+                run_of = rid // ROWS
+                cut = np.concatenate((np.flatnonzero(np.concatenate(([True], run_of[1:] != run_of[:-1]))), [len(rid)]))
+                out = [(int(run_of[a]), int(e - a), _pack((rid[a:e] % ROWS).astype(np.uint16), *[x[a:e] for x in sums]))
+                       for a, e in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+                                                  pa.array([o[2] for o in out], pa.binary())], ["run", "n", "blob"])
     return run
 
 
+def _add_runs(key, rows):
+    """The parts' sums of one run of ROWS texts, added up."""
+    logp, base, known = np.zeros(ROWS), np.zeros(ROWS), np.zeros(ROWS, np.int64)
+    for n, blob in zip(rows.column("n").to_pylist(), rows.column("blob"), strict=True):
+        at, x, y, z = _unpack(blob.as_py(), n, "<u2", "<f8", "<f8", "<u4")
+        logp[at] += x
+        base[at] += y
+        known[at] += z
+    at = np.flatnonzero(logp)
+    return pa.table({"rid": pa.array(key[0].as_py() * ROWS + at), "logp": pa.array(logp[at]), "base": pa.array(base[at]), "known": pa.array(known[at])})
+
+
 def _score_frequent(tables, n_words: int):
     def run(batches):
         logp, base = tables.value
@@ -395,7 +413,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     n_train = words.agg(F.sum("c")).first()[0] or 0
     frequent = Frequent([r["w"] for r in words.filter(F.col("c") * share >= F.lit(n_train)).select("w").collect()])  # at most ``share``
     n_words, n_contexts = max(1, len(frequent.words)), frequent.contexts
-    bits = max(0, math.ceil(math.log2(max(1, n_train) / PART_TOKENS))) + 2
+    bits = max(0, math.ceil(math.log2(max(1, n_train) / PART_TOKENS)))
 
     rows = written(source.mapInArrow(_documents(frequent), DOCS), "lm-documents")
     blocks = source.mapInArrow(_events(frequent, bits), BLOCK)
@@ -430,8 +448,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 np.log10((f_seen + 0.1) / (n_train + 0.1 * (types + 1))))
     of_frequent = rows.mapInArrow(_score_frequent(spark.sparkContext.broadcast(f_tables), n_words),
                                   "rid long, doc_id long, held_out boolean, n_tokens long, f_logp double, f_base double, f_known long")
-    of_parts = (parts.mapInArrow(_score_part(sent, n_train, burn, samples), "rid long, logp double, base double, known long")
-                .groupBy("rid").agg(F.sum("logp").alias("logp"), F.sum("base").alias("base"), F.sum("known").alias("known")))
+    of_parts = (parts.mapInArrow(_score_part(sent, n_train, burn, samples), "run long, n long, blob binary")
+                .groupBy("run").applyInArrow(_add_runs, "rid long, logp double, base double, known long"))
     zero = F.lit(0.0)
     return of_frequent.join(of_parts, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("f_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
