@@ -89,6 +89,13 @@ def test_formats_stay_valid(spark):
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[8]) and out[9].endswith(".com,") and out[7].startswith("+1 (")
 
 
+def test_neighbours_do_not_hide_each_other(spark):
+    parts = ["+1 (826) 555-4081", "190.137.223.204", "4111111111111111", "bob.7@mail.example.com", "10.1.2.3", "+1 (826) 555-4082"]
+    (out,) = pseudonymised(spark, [" ".join(parts)])
+    assert len(out.split(" ")) == len(" ".join(parts).split(" "))
+    assert not any(p in out for p in parts)
+
+
 def test_what_is_not_valid_stays(spark):
     texts = ["4111111111111112", "300.1.2.3", "1984-02-30", "1.2.3.4.5", "000-12-3456", "GB00WEST12345698765432", "version 12", "plain", "", None,
              "abc4111111111111111", "0000000000000000"]
