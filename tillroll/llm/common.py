@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later step reads, and let
+    Spark's cleaner free the shuffles and broadcasts that led to them: it
+    learns from the garbage collector which are out of use."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def remainder(id_col: str, parts: int):
     """crc32(id as text) mod ``parts``; NULL for a NULL id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
@@ -42,9 +57,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ARROW_BYTES = 8 << 20  # most bytes of a batch handed to a Python worker (Spark's default is 64 MB)
+
+
 def with_package(df: DataFrame) -> DataFrame:
-    """Make sure that Python workers can import this package."""
-    session.ship_package(df.sparkSession)
+    """Make sure that Python workers can import this package and get rows
+    in batches that bound their memory, however long the texts are."""
+    spark = df.sparkSession
+    session.ship_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df
 
 

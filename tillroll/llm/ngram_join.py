@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm import shingles
-from tillroll.llm.common import renamed, with_package, written
+from tillroll.llm.common import dropped, renamed, with_package, written
 from tillroll.llm.components import components
 
 SKETCH_BITS, FILTER_BITS, SEGMENTS = 22, 23, 16
@@ -105,29 +105,37 @@ def least_differences(a: bytes, others: list[bytes]) -> np.ndarray:
 # sketches of a fixed size, summed by segments
 
 def _emit_sketch(counts: np.ndarray) -> list[bytes]:
-    parts = np.split(counts, SEGMENTS)
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return [pack(p.tobytes()) for p in parts]
+    return [_packed(p) for p in np.split(counts, SEGMENTS)]
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """By byte planes: nearly all high bytes are 0."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(len(counts), -1).T).tobytes())
+
+
+def _unpacked(blob: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _add_up(kind):
     def run(key, rows):
         total = None
-        unpack = zstandard.ZstdDecompressor().decompress
         for chunk in rows.column("blob"):
-            part = np.frombuffer(unpack(chunk.as_py()), kind)
+            part = _unpacked(chunk.as_py(), kind)
             total = part.copy() if total is None else (total | part if kind == np.uint8 else total + part)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([_packed(total)], pa.binary())})
     return run
 
 
-def _collect_sketch(parts: DataFrame, kind, size: int) -> np.ndarray:
-    rows = parts.groupBy("segment").applyInArrow(_add_up(kind), "segment int, blob binary").collect()  # SEGMENTS rows of fixed size
-    out = np.zeros(size, kind)
-    step = size // SEGMENTS
-    for r in rows:
-        out[r["segment"] * step:(r["segment"] + 1) * step] = np.frombuffer(r["blob"], kind)
-    return out
+def _collect_sketch(parts: DataFrame, kind) -> dict[int, bytes]:
+    """Packed sums by segment: SEGMENTS rows of at most a fixed size."""
+    return dict(parts.groupBy("segment").applyInArrow(_add_up(kind), "segment int, blob binary").collect())
+
+
+def _sketch(segments: dict[int, bytes], kind, size: int) -> np.ndarray:
+    empty = np.zeros(size // SEGMENTS, kind)
+    return np.concatenate([_unpacked(segments[k], kind) if k in segments else empty for k in range(SEGMENTS)])
 
 
 HEAD = "doc_id long, n long, d1 long, d2 long, keys array<long>, bits binary, segment int, blob binary"
@@ -161,7 +169,7 @@ def _heads(batches):
 def _prefixes(sketch, percent: int):
     """The rarest tokens of each set, as many as the threshold needs."""
     def run(batches):
-        counts = sketch.value
+        counts = _sketch(sketch.value, np.uint32, 1 << SKETCH_BITS)
         for b in batches:
             ids = b.column(0)
             rows, tokens, sizes = [], [], []
@@ -192,7 +200,7 @@ def _filter_parts(batches):
 def _sets_of(wanted):
     """Shingle sets of the documents whose id passes the filter."""
     def run(batches):
-        bits = np.unpackbits(wanted.value).astype(bool)
+        bits = np.unpackbits(_sketch(wanted.value, np.uint8, (1 << FILTER_BITS) // 8)).astype(bool)
         for b in batches:
             ids = b.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -258,10 +266,12 @@ class Join:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, tokens) of the given documents, and a few others."""
-        wanted = _collect_sketch(ids.mapInArrow(_filter_parts, "segment int, blob binary"), np.uint8, (1 << FILTER_BITS) // 8)
+        wanted = _collect_sketch(ids.mapInArrow(_filter_parts, "segment int, blob binary"), np.uint8)
         sent = self.spark.sparkContext.broadcast(wanted)
-        return written(self.docs.mapInArrow(_sets_of(sent), "id long, tokens binary").join(ids, "id", "left_semi")
-                       .dropDuplicates(["id"]), "join-sets")
+        found = written(self.docs.mapInArrow(_sets_of(sent), "id long, tokens binary").join(ids, "id", "left_semi")
+                        .dropDuplicates(["id"]), "join-sets")
+        sent.destroy()
+        return found
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (id, head) that are linked."""
@@ -290,14 +300,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark, job = docs.sparkSession, Join(source, percent)
     heads = written(source.mapInArrow(_heads, HEAD), "join-heads")
     rows = heads.filter("segment IS NULL")
-    sketch = spark.sparkContext.broadcast(_collect_sketch(heads.filter("segment IS NOT NULL").select("segment", "blob"), np.uint32, 1 << SKETCH_BITS))
+    sketch = spark.sparkContext.broadcast(_collect_sketch(heads.filter("segment IS NOT NULL").select("segment", "blob"), np.uint32))
+
+    sizes_of = written(rows.select("doc_id", "n"), "join-sizes")
 
     # classes of equal sets
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     member = written(full.join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep", *[
         F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "bits")]), "join-members")
-    reps = written(member.filter("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "keys", "bits").dropDuplicates(["id", "n", "bits"]), "join-reps")
+    reps = member.filter("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "keys", "bits")
+    dropped(heads)
 
     # groups around leaders
     keyed = reps.select("id", F.explode("keys").alias("key"))
@@ -310,27 +323,32 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = (offered.join(star.select("id"), "id", "left_anti").join(led, offered["id"] == led["head"], "left_anti"))
     met_at = alone.groupBy("head").agg(F.count("*").alias("met"))
     similar = (alone.join(met_at, "head").select("id", (-1 - F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("id"), F.ceil(F.col("met") / PART))), F.lit(1 << 62))).alias("s")))
-    grouped = written(reps.select("id", "n", "bits").join(star, "id", "left").join(similar, "id", "left")
-                      .select("id", "n", "bits", F.coalesce("head", "s", "id").alias("g"), (F.col("head").isNull() & F.col("s").isNotNull()).alias("loose")), "join-groups")
+    grouped = written(reps.select("id", "n").join(star, "id", "left").join(similar, "id", "left")
+                      .select("id", "n", F.coalesce("head", "s", "id").alias("g"), (F.col("head").isNull() & F.col("s").isNotNull()).alias("loose")), "join-groups")
 
     # the matrix of rare tokens against groups
     prefix = source.filter("id IS NOT NULL").mapInArrow(_prefixes(sketch, percent), "id long, tokens array<long>")
-    matrix = written(prefix.join(grouped.drop("bits"), "id").select("id", "n", "g", "loose", "tokens"), "join-matrix")
+    matrix = written(prefix.join(grouped, "id").select("id", "n", "g", "loose", "tokens"), "join-matrix")
+    sketch.destroy()
     cells = matrix.select("id", "n", "g", "loose", F.explode("tokens").alias("token"))
     shared = (cells.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("loose").alias("loose"))
               .filter("lo < hi OR (loose AND a < b)").select("token"))
     cells = written(cells.join(shared, "token"), "join-cells")
+    dropped(matrix)
     held = cells.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "head")
     met = (cells.join(held, "token").filter("g > head OR (g = head AND loose)").filter(f"100 * most >= {percent} * n AND {percent} * least <= 100 * n")
            .select("id", "head").distinct())
+    met = written(met, "join-met")
+    dropped(cells)
     sizes = grouped.groupBy("g").agg(F.count("*").alias("members"), F.max(F.when(F.col("id") != F.col("g"), 1).otherwise(0)).alias("others"), F.max("loose").alias("loose")).filter("NOT loose")
     # a star shows its leader, any other group all its members
-    shown = (grouped.filter("loose").select("g", "id", "n", "bits")
-             .union(grouped.filter("NOT loose").select("g").distinct().join(reps.select("id", "n", "bits"), F.col("g") == F.col("id")).select("g", "id", "n", "bits")))
-    shown = (shown.groupBy("g").agg(F.collect_list(F.struct("id", "n", "bits")).alias("m"))
+    heads_met = met.select(F.col("head").alias("g")).distinct()
+    shown = (grouped.filter("loose").select("g", "id").join(heads_met, "g", "left_semi")
+             .union(heads_met.join(grouped.filter("loose").select("g").distinct(), "g", "left_anti").select("g", F.col("g").alias("id"))))
+    shown = (shown.join(reps.select("id", "n", "bits"), "id").groupBy("g").agg(F.collect_list(F.struct("id", "n", "bits")).alias("m"))
              .join(sizes.select("g", (F.col("others") == 1).alias("several")), "g", "left")
              .select(F.col("g").alias("head"), F.coalesce("several", F.lit(False)).alias("several"), F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.bits").alias("maps")))
-    asked = met.join(grouped.select("id", "n", "bits", "g"), "id").join(shown, "head").select(
+    asked = met.join(grouped.select("id", "g"), "id").join(reps.select("id", "n", "bits"), "id").join(shown, "head").select(
         "id", "n", "bits", (F.col("g") == F.col("head")).alias("own"), "several", "ids", "ns", "maps")
     near = written(job.bounded(asked).distinct(), "join-near")
 
@@ -362,15 +380,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         roots = components(links.union(of_rep.join(twice, "doc_id").select("a", "root")).union(member.join(twice, "doc_id").select("doc_id", "rep")), "id", "head")
         of_rep = member.select("doc_id", "rep").join(roots, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("root"))
     found = of_rep.groupBy("doc_id").agg(F.min("root").alias("root"))
-    return (rows.select("doc_id", "n").join(found, "doc_id", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")))
+    out = written(sizes_of.join(found, "doc_id", "left")
+                  .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")), "join-result")
+    dropped(member, sizes_of, grouped, met, near, linked, star, tried, offered)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows, all columns, of the document with the smallest id of each
     component; of rows with one id the first by text. Documents without
     words and rows with a NULL id stay."""
-    found = written(ngram_components(docs, id_col, text_col, percent), "join-found")
+    found = ngram_components(docs, id_col, text_col, percent)
     at = F.col(f"`{id_col}`")
     kept = docs.join(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), at == F.col("_gone"), "left_anti")
     twice = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_twice")).count().filter("count > 1").drop("count")
