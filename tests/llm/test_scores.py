@@ -206,6 +206,23 @@ def test_lm_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert lm.score(no_docs).collect() == []
 
 
+def test_every_previous_word_is_a_context(spark):
+    """No word is frequent, yet each tells the next one."""
+    rng = np.random.default_rng(5)
+    after = rng.permutation(1000)
+    rows = []
+    for d in range(400):
+        w = [int(rng.integers(1000))]
+        while len(w) < 60:
+            w.append(int(after[w[-1]]))
+        rows.append((d, " ".join(f"w{x}" for x in w)))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_lm(rows, got)
+    held = [r for r in got if r["held_out"]]
+    # the end and the first word cannot be told; all others can
+    assert sum(r["score"] for r in held) > 0.25 * sum(r["base_score"] for r in held)
+
+
 def test_seating_probabilities_sum_to_one(spark):
     """Every context's predictive probabilities over the V + 1 types."""
     rng = np.random.default_rng(0)

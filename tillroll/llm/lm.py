@@ -1,29 +1,34 @@
 """Hierarchical Pitman-Yor language model over words, and perplexity scores.
 
 Tokens are words and one end per text. A token's context is the word before
-it if that word is frequent (at least 1/``share`` of the training tokens),
-else one shared context, and one context for a text's first token. Every
-context is a Pitman-Yor restaurant; all share one parent restaurant, whose
-base is uniform over the V training types and one unknown type:
+it, whatever that is, and one context of its own for a text's first token.
+Every context is a Pitman-Yor restaurant; all share one parent restaurant,
+whose base is uniform over the V training types and one unknown type:
 
     P(w | x) = (c_xw - d1 t_xw + (theta + d1 t_x) P0(w)) / (theta + c_x)
     P0(w)    = (c0_w - d0 t0_w + (theta + d0 t0) / (V + 1)) / (theta + c0)
 
 c: customers, t: tables; a table of a context is a customer of the parent.
+A word before it that training has not seen is an empty restaurant: P0.
 Seatings are sampled by Gibbs sweeps: given P0 and the restaurants' totals a
 cell's tables have probability proportional to S_d(c, t) (A P0(w))^t, with
 generalised Stirling numbers S and A = theta + d t_x; counts over
 ``EXACT`` are seated customer by customer, later ones in blocks. After the
 burn-in the predictive probabilities of ``samples`` sweeps are averaged;
-their log10 is summed over the text. Restaurants' totals (a few hundred
-numbers) come from the round of sweeps before, over the whole corpus.
-
-Scale: counts and seatings of the words that are not frequent lie in parts
-by word hash, as many as the corpus needs; a text's tokens go there once, as
-packed blocks, and come back as one sum per text and part. Frequent words,
-which would make hot parts, have at most share x (share + 2) cells; these
-are counted by Spark, seated on the driver and broadcast. The model's counts
-grow with the corpus; a part holds about ``PART_TOKENS`` tokens.
+their log10 is summed over the text. P0 and the totals of the frequent
+contexts come from the round of sweeps before, over the whole corpus; the
+totals of all others follow each sweep.
+
+Scale: cells (context, word) lie in parts by their context's hash, as many
+as the corpus needs, and so do their tokens: a text's tokens go there once,
+as packed blocks, and come back as one sum per text and part. A part adds up
+its tables per word and sends these to the parent's parts, by the word's
+hash, which answer with the parent's customers and tables. The cells of
+frequent contexts (words of at least 1/``share`` of the training tokens, and
+the texts' beginnings), which would make hot parts, are dealt by the hash of
+context and word; only their totals, at most share + 1 numbers, go over the
+driver, as do the cells of two frequent words, at most share x (share + 1),
+which are counted by Spark. A part holds about ``PART_TOKENS`` tokens.
 
 Defined results: NULL text is empty and has its end only; NULL ids are held
 out (never learned) with held_out NULL; repeated rows count and are scored
@@ -35,6 +40,7 @@ from __future__ import annotations
 
 import functools
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +49,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import shingles
-from tillroll.llm.common import remainder, renamed, with_package, written
+from tillroll.llm.common import dropped, fresh_folder, remainder, renamed, with_package, written
 
 END = int(shingles.mix(np.array([0xE0D], np.uint64))[0])
-FIRST, OTHER = 0, 1  # contexts before those of frequent words
+FIRST = shingles.mix(np.array([0xF125], np.uint64))[0]  # the context of a text's first token
 PART_TOKENS = 3_000_000
 EXACT = 48
 THETA = 1.0
@@ -77,14 +83,15 @@ def _word_counts(batches):
 
 
 class Frequent:
-    """Frequent words, their places and the contexts they make."""
+    """Frequent words and their places; the frequent contexts are the texts'
+    beginnings (place 0) and these words (from 1)."""
 
     def __init__(self, hashes: list[int]):
         self.words = np.sort(np.array(hashes, np.int64).view(np.uint64))
 
     @property
     def contexts(self) -> int:
-        return len(self.words) + 2
+        return len(self.words) + 1
 
     def place(self, tokens: np.ndarray) -> np.ndarray:
         """Place of each token among the frequent words, or -1."""
@@ -93,13 +100,19 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1).astype(np.int32)
         return np.where(self.words[at] == tokens, at, np.int32(-1))
 
-    def encode(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(context, place) of every token."""
+    def context(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each context among the frequent ones, or -1."""
+        place = self.place(hashes)
+        return np.where(hashes == FIRST, np.int32(0), np.where(place >= 0, place + np.int32(1), np.int32(-1)))
+
+    def encode(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, its place, place) of every token."""
         place = self.place(tokens)
-        context = np.empty(len(tokens), np.int32)
-        context[1:] = np.where(place[:-1] >= 0, place[:-1] + 2, OTHER)
-        context[np.cumsum(counts) - counts] = FIRST
-        return context, place
+        context, at = np.empty(len(tokens), np.uint64), np.empty(len(tokens), np.int32)
+        context[1:], at[1:] = tokens[:-1], np.where(place[:-1] >= 0, place[:-1] + 1, -1)
+        first = np.cumsum(counts) - counts
+        context[first], at[first] = FIRST, 0
+        return context, at, place
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -109,6 +122,8 @@ def _pack(*arrays: np.ndarray) -> bytes:
 
 
 def _unpack(blob: bytes, n: int, *kinds) -> list[np.ndarray]:
+    if not n:
+        return [np.zeros(0, k) for k in kinds]
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     out, at = [], 0
     for k in kinds:
@@ -142,8 +157,8 @@ def _documents(frequent: Frequent):
             ids, held = b.column(0), b.column(2).to_pylist()
             codes, sizes, lengths = [], [], []
             for first, tokens, counts in _tokens(b.column(1)):
-                context, place = frequent.encode(tokens, counts)
-                hit = place >= 0
+                _, context, place = frequent.encode(tokens, counts)
+                hit = (place >= 0) & (context >= 0)
                 codes.append((context[hit] * n_words + place[hit]).astype(np.int32))
                 row = np.repeat(np.arange(len(counts)), counts)
                 sizes.append(np.bincount(row[hit], minlength=len(counts)))
@@ -161,75 +176,95 @@ def _documents(frequent: Frequent):
     return run
 
 
-BLOCK = "part int, base long, n long, n_learned long, blob binary"
+BLOCK = "part int, base long, n long, n_learned long, n_contexts long, n_words long, contexts binary, words binary, blob binary"
+_BLOCK = pa.schema([("part", pa.int32()), *((c, pa.int64()) for c in ("base", "n", "n_learned", "n_contexts", "n_words")),
+                    *((c, pa.binary()) for c in ("contexts", "words", "blob"))])
+
+
+def _ascending(hashes: np.ndarray) -> bytes:
+    return _pack(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def _part(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
 def _events(frequent: Frequent, bits: int):
-    """Tokens that are not frequent, as a packed block per part: words
-    (48 bits, as differences of the sorted ones), contexts, rows."""
+    """Tokens but those of two frequent words, as a packed block per part:
+    its contexts and words, and per token context, word, row."""
     def run(batches):
         for at, b in _numbered(batches):
             held = np.array([h is False for h in b.column(2).to_pylist()])
-            words, contexts, rows = [], [], []
+            words, contexts, rows, parts = [], [], [], []
             for first, tokens, counts in _tokens(b.column(1)):
-                context, place = frequent.encode(tokens, counts)
-                rare = place < 0
-                words.append(tokens[rare])
-                contexts.append(context[rare].astype(np.uint16))
+                context, often, place = frequent.encode(tokens, counts)
+                rare = (place < 0) | (often < 0)
+                w, x = tokens[rare], context[rare]
+                words.append(w)
+                contexts.append(x)
                 rows.append((first + np.repeat(np.arange(len(counts)), counts)[rare]).astype(np.uint16))
-            w, x, r = np.concatenate(words), np.concatenate(contexts), np.concatenate(rows)
-            order = np.argsort(w, kind="stable")
+                parts.append(_part(np.where(often[rare] >= 0, shingles.mix(x * np.uint64(shingles.BASE) + w), x), bits))
+            if not words:
+                continue
+            w, x, r, part = (np.concatenate(v) for v in (words, contexts, rows, parts))
+            order = np.argsort(part, kind="stable")
             w, x, r = w[order], x[order], r[order]
-            part = (w >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(w), np.int64)
-            cut = np.searchsorted(part, np.arange((1 << bits) + 1))
+            cut = np.searchsorted(part[order], np.arange((1 << bits) + 1)).tolist()
             out = []
-            for k in range(1 << bits):
-                a, e = int(cut[k]), int(cut[k + 1])
+            for k, (a, e) in enumerate(zip(cut, cut[1:], strict=False)):
                 if e > a:
+                    (xs, xi), (ws, wi) = np.unique(x[a:e], return_inverse=True), np.unique(w[a:e], return_inverse=True)
                     # learned rows first, so that a flag needs no room
-                    first = np.argsort(~held[r[a:e]], kind="stable")
-                    learned = int(held[r[a:e]].sum())
-                    blocks = []
-                    for s in (first[:learned], first[learned:]):
-                        v = w[a:e][s] << np.uint64(bits) >> np.uint64(16)  # 48 bits below the part's
-                        blocks.append(np.diff(v, prepend=np.uint64(0)))
-                    s = first
-                    out.append({"part": k, "base": at, "n": e - a, "n_learned": learned,
-                                "blob": _pack(np.concatenate(blocks), x[a:e][s], r[a:e][s])})
+                    s = np.lexsort((xi, ~held[r[a:e]]))
+                    out.append({"part": k, "base": at, "n": e - a, "n_learned": int(held[r[a:e]].sum()), "n_contexts": len(xs), "n_words": len(ws),
+                                "contexts": _ascending(xs), "words": _ascending(ws),
+                                "blob": _pack(np.diff(xi[s].astype(np.int32), prepend=np.int32(0)), wi[s].astype(np.uint32), r[a:e][s])})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("base", pa.int64()), ("n", pa.int64()),
-                                                                        ("n_learned", pa.int64()), ("blob", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(out, schema=_BLOCK)
     return run
 
 
-PART = "part int, n_words long, n_cells long, n_events long, cells binary, events binary"
-
-
-def _gather(key, rows):
-    """All blocks of a part -> its cells (word, context, training count) and
-    its events (text, cell)."""
-    words, contexts, docs, learned = [], [], [], []
-    for r in rows.select(["base", "n", "n_learned", "blob"]).to_pylist():
-        d, x, place = _unpack(r["blob"], r["n"], "<u8", "<u2", "<u2")
-        k = r["n_learned"]
-        words.append(np.concatenate((np.cumsum(d[:k]), np.cumsum(d[k:]))))
-        contexts.append(x)
-        docs.append(place.astype(np.int64) + r["base"])
-        learned.append(np.arange(r["n"]) < k)
-    w, x, doc, learned = (np.concatenate(v) for v in (words, contexts, docs, learned))
-    del words, contexts, docs
-    order = np.lexsort((x, w))
-    w, x, doc, learned = w[order], x[order], doc[order], learned[order]
-    new_word = np.concatenate(([True], w[1:] != w[:-1]))
-    new_cell = new_word | np.concatenate(([True], x[1:] != x[:-1]))
-    cell = np.cumsum(new_cell) - 1
-    count = np.bincount(cell[learned], minlength=int(cell[-1]) + 1).astype(np.uint32)
-    word = (np.cumsum(new_word) - 1)[new_cell].astype(np.uint32)
-    by_doc = np.argsort(doc, kind="stable")  # a text's events side by side
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n_words": pa.array([int(new_word.sum())]),
-                     "n_cells": pa.array([len(count)]), "n_events": pa.array([len(doc)]),
-                     "cells": pa.array([_pack(np.diff(word, prepend=np.uint32(0)), x[new_cell], count)], pa.binary()),
-                     "events": pa.array([_pack(np.diff(doc[by_doc], prepend=np.int64(0)), cell[by_doc].astype(np.uint32))], pa.binary())})
+PART = "part int, n_words long, n_cells long, n_events long, words binary, cells binary, events binary"
+
+
+def _gather(frequent: Frequent):
+    """All blocks of a part -> its words, its cells (context, word, training
+    count) and its events (text, cell). Contexts are numbered, the frequent
+    ones by place, the others, which are whole here, behind them."""
+    def run(key, rows):
+        words, contexts, docs, learned = [], [], [], []
+        for r in rows.select(_BLOCK.names[1:]).to_pylist():
+            xi, wi, place = _unpack(r["blob"], r["n"], "<i4", "<u4", "<u2")
+            contexts.append(np.cumsum(_unpack(r["contexts"], r["n_contexts"], "<u8")[0])[np.cumsum(xi, dtype=np.int32)])
+            words.append(np.cumsum(_unpack(r["words"], r["n_words"], "<u8")[0])[wi])
+            docs.append(place.astype(np.int64) + r["base"])
+            learned.append(np.arange(r["n"]) < r["n_learned"])
+        words, word = np.unique(np.concatenate(words), return_inverse=True)
+        contexts, context = np.unique(np.concatenate(contexts), return_inverse=True)
+        doc, learned = np.concatenate(docs), np.concatenate(learned)
+        del docs
+        code, cell = np.unique(context * len(words) + word, return_inverse=True)
+        del context, word
+        count = np.bincount(cell[learned], minlength=len(code)).astype(np.uint32)
+        place = frequent.context(contexts)
+        place = np.where(place >= 0, place, frequent.contexts - 1 + np.cumsum(place < 0)).astype(np.int32)
+        context, word = np.divmod(code, len(words))
+        by_doc = np.argsort(doc, kind="stable")  # a text's events side by side
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n_words": pa.array([len(words)]),
+                         "n_cells": pa.array([len(count)]), "n_events": pa.array([len(doc)]), "words": pa.array([_ascending(words)], pa.binary()),
+                         "cells": pa.array([_pack(np.diff(place[context], prepend=np.int32(0)), word.astype(np.uint32), count)], pa.binary()),
+                         "events": pa.array([_pack(np.diff(doc[by_doc], prepend=np.int64(0)), cell[by_doc].astype(np.uint32))], pa.binary())})
+    return run
+
+
+def _bucketed(df: DataFrame, bits: int) -> DataFrame:
+    """``df`` written by part, so that later joins by part leave it where it is."""
+    spark, name = df.sparkSession, f"lm_parts_{uuid.uuid4().hex}"
+    (df.write.format("parquet").bucketBy(1 << min(bits, 13), "part").option("path", fresh_folder(spark, "lm-parts")).saveAsTable(name))
+    back = spark.table(name)
+    back.schema  # noqa: B018 - resolved before the name goes; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return back
 
 
 # seating
@@ -286,64 +321,158 @@ class Totals:
         return (THETA + self.d0 * self.root_tables) / (self.types + 1) / (THETA + self.root_customers)
 
 
-def sweeps(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals, n: int, seed: list[int]):
+def sweeps(word: np.ndarray, context: np.ndarray, count: np.ndarray, n_words: int, totals: Totals, n: int, seed: list[int], p0: np.ndarray | None = None):
     """``n`` Gibbs sweeps over the cells of some words; yields after each
-    the tables of the cells, the words' parent tables and P0 of each word."""
+    the tables of the cells, the words' parent tables and P0 of each word.
+    Contexts behind those of ``totals`` are whole here and their tables are
+    counted anew by each sweep. With ``p0`` the parent is seated elsewhere
+    (parent tables None)."""
     rng = np.random.default_rng(seed)
-    root_customers, root_tables = np.zeros(n_words), np.zeros(n_words)
-    tables = np.minimum(count, 1).astype(np.int64)
-    np.add.at(root_customers, word, tables)
-    root_tables[:] = np.minimum(root_customers, 1)
+    known = len(totals.tables)
+    tables, fixed, root_tables = np.minimum(count, 1).astype(np.int64), p0 is not None, None
+    if not fixed:
+        root_customers = np.bincount(word, weights=tables, minlength=n_words)
+        root_tables = np.minimum(root_customers, 1)
     base = (THETA + totals.d0 * totals.root_tables) / (totals.types + 1)
-    weight = (THETA + totals.d1 * totals.tables)[context]
     for _ in range(n):
-        p0 = (np.maximum(root_customers - totals.d0 * root_tables, 0) + base) / (THETA + totals.root_customers)
+        if not fixed:
+            p0 = (np.maximum(root_customers - totals.d0 * root_tables, 0) + base) / (THETA + totals.root_customers)
+        mine = np.bincount(context, weights=tables, minlength=known)[known:]
+        weight = (THETA + totals.d1 * np.concatenate((totals.tables, mine)))[context]
         tables = seat(count, weight * p0[word], totals.d1, rng)
-        root_customers = np.bincount(word, weights=tables, minlength=n_words)
-        root_tables = seat(root_customers.astype(np.int64), np.full(n_words, base), totals.d0, rng)
-        p0 = (np.maximum(root_customers - totals.d0 * root_tables, 0) + base) / (THETA + totals.root_customers)
+        if not fixed:
+            root_customers = np.bincount(word, weights=tables, minlength=n_words)
+            root_tables = seat(root_customers.astype(np.int64), np.full(n_words, base), totals.d0, rng)
+            p0 = (np.maximum(root_customers - totals.d0 * root_tables, 0) + base) / (THETA + totals.root_customers)
         yield tables, root_tables, p0
 
 
 def _cells(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    step, context, count = _unpack(r["cells"], r["n_cells"], "<u4", "<u2", "<u4")
-    return np.cumsum(step, dtype=np.uint32).astype(np.int64), context.astype(np.int64), count.astype(np.int64)
+    step, word, count = _unpack(r["cells"], r["n_cells"], "<i4", "<u4", "<u4")
+    return word.astype(np.int64), np.cumsum(step, dtype=np.int64), count.astype(np.int64)
 
 
-def _sums(totals, n: int):
-    """After ``n`` sweeps: tables per context and of the parent (context -1)."""
+def predictive(word, context, count, n_words, totals: Totals, burn: int, samples: int, seed: list[int], p0: np.ndarray) -> np.ndarray:
+    """Probability of each cell's word in its context, averaged over samples."""
+    mean, known = np.zeros(len(count)), len(totals.tables)
+    room = (THETA + np.concatenate((totals.customers, np.bincount(context, weights=count, minlength=known)[known:])))[context]
+    for k, (tables, _, _) in enumerate(sweeps(word, context, count, n_words, totals, burn + samples, seed, p0)):
+        if k >= burn:
+            mine = np.bincount(context, weights=tables, minlength=known)[known:]
+            back = (THETA + totals.d1 * np.concatenate((totals.tables, mine)))[context]
+            mean += (np.maximum(count - totals.d1 * tables, 0) + back * p0[word]) / room / samples
+    return mean
+
+
+# the parent: offers of tables per word go to its parts, answers with its customers and tables come back
+
+DRIVER, INDEX = -2, -1  # "parts" of an exchange: the frequent cells, and what a part of the parent keeps for itself
+MAIL = "at int, part int, n long, blob binary, index binary, parts array<int>, sizes array<long>, stats array<long>"
+_MAIL = pa.schema([("at", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("blob", pa.binary()), ("index", pa.binary()),
+                   ("parts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("stats", pa.list_(pa.int64()))])
+
+
+def _offers(part: int, words: np.ndarray, bits: int, columns: list[np.ndarray], stats: np.ndarray | None, named: bool) -> list[dict]:
+    """Rows to the parts of the parent: of each word, ascending by hash, the
+    ``columns`` (and with ``named`` its hash). ``stats`` goes to one of them."""
+    cut = np.searchsorted(_part(words, bits), np.arange((1 << bits) + 1)).tolist()
+    out = []
+    for k, (a, e) in enumerate(zip(cut, cut[1:], strict=False)):
+        if e > a or k == part:
+            names = [np.diff(words[a:e], prepend=np.uint64(0))] if named else []
+            out.append({"at": k, "part": part, "n": e - a, "blob": _pack(*names, *(c[a:e].astype(np.uint64) for c in columns)),
+                        "stats": stats.astype(np.int64).tolist() if k == part and stats is not None else None})
+    return out
+
+
+def _first_offers(bits: int, n_contexts: int):
+    """Offers of the first seating, a table a cell, with the training counts;
+    how many cells have one or two, and customers per frequent context."""
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 word, context, count = _cells(r)
-                for tables, root, _ in sweeps(word, context, count, r["n_words"], totals.value, n, [r["part"], 1]):
-                    pass
-                per = np.bincount(context, weights=tables, minlength=len(totals.value.customers)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(per))], pa.int32()), pa.array([int(root.sum()), *per.tolist()], pa.int64())], ["x", "t"])
+                words = np.cumsum(_unpack(r["words"], r["n_words"], "<u8")[0])
+                per = [np.bincount(word, weights=c, minlength=len(words)) for c in (np.minimum(count, 1), count)]
+                stats = np.concatenate(([(count == 1).sum(), (count == 2).sum()], np.bincount(context, weights=count, minlength=n_contexts)[:n_contexts]))
+                yield pa.RecordBatch.from_pylist(_offers(r["part"], words, bits, per, stats, True), schema=_MAIL)
     return run
 
 
-def _statistics(batches):
-    """Training customers per context, and how many cells and words have one
-    or two (contexts -1 to -4) and how many words have any (-5)."""
-    for b in batches:
-        for r in b.to_pylist():
-            word, context, count = _cells(r)
-            c = np.bincount(context, weights=count).astype(np.int64)
-            per_word = np.bincount(word, weights=count)
-            marks = [int((count == 1).sum()), int((count == 2).sum()), int((per_word == 1).sum()), int((per_word == 2).sum()), int((per_word > 0).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3, -4, -5, *range(len(c))], pa.int32()), pa.array([*marks, *c.tolist()], pa.int64())], ["x", "t"])
+def _added(rows: list[dict], marks: list[int]) -> list[int]:
+    """A part's own marks, then the stats that came with its offers."""
+    return [int(m) for m in marks] + [sum(v) for v in zip(*(r["stats"] for r in rows if r["stats"]), strict=True)]
+
+
+def _answers(at: int, parts, sizes, index: np.ndarray, columns: list[np.ndarray]) -> list[dict]:
+    ends = np.cumsum(sizes).tolist()
+    return [{"at": at, "part": p, "n": n, "blob": _pack(*(c[index[e - n:e]].astype(np.uint64) for c in columns))}
+            for p, n, e in zip(parts, sizes, ends, strict=True) if n]
+
+
+def _meet(last: bool):
+    """The first offers to one part of the parent -> what it keeps (training
+    counts, the words of each offer) and answers: customers and tables; the
+    last answers also tell the training counts."""
+    def run(key, rows):
+        at, rows = key[0].as_py(), sorted(rows.to_pylist(), key=lambda r: r["part"])
+        got = [_unpack(r["blob"], r["n"], "<u8", "<u8", "<u8") for r in rows]
+        words, index = np.unique(np.concatenate([np.cumsum(g[0]) for g in got]), return_inverse=True)
+        customers, seen = (np.bincount(index, weights=np.concatenate([g[k] for g in got]), minlength=len(words)).astype(np.int64) for k in (1, 2))
+        parts, sizes = [r["part"] for r in rows], [r["n"] for r in rows]
+        tables = np.minimum(customers, 1)
+        marks = [customers.sum(), tables.sum(), (seen == 1).sum(), (seen == 2).sum(), (seen > 0).sum()]
+        kept = {"at": at, "part": INDEX, "n": len(words), "blob": _pack(seen.astype(np.uint64)),
+                "index": _pack(np.diff(index.astype(np.int32), prepend=np.int32(0))), "parts": parts, "sizes": sizes, "stats": _added(rows, marks)}
+        return pa.Table.from_pylist([kept, *_answers(at, parts, sizes, index, [customers, tables, *([seen] if last else [])])], schema=_MAIL)
+    return run
 
 
-def predictive(word, context, count, n_words, totals: Totals, burn: int, samples: int, seed: list[int]) -> np.ndarray:
-    """Probability of each cell's word in its context, averaged over samples."""
-    mean = np.zeros(len(count))
-    back = (THETA + totals.d1 * totals.tables)[context]
-    room = (THETA + totals.customers)[context]
-    for k, (tables, _, p0) in enumerate(sweeps(word, context, count, n_words, totals, burn + samples, seed)):
-        if k >= burn:
-            mean += (np.maximum(count - totals.d1 * tables, 0) + back * p0[word]) / room / samples
-    return mean
+def _reseat(totals, number: int, last: bool):
+    """Later offers to one part of the parent -> its new seating."""
+    def run(key, rows):
+        at, rows = key[0].as_py(), rows.to_pylist()
+        kept = next(r for r in rows if r["part"] == INDEX)
+        offers = {r["part"]: r for r in rows if r["part"] != INDEX}
+        index = np.cumsum(_unpack(kept["index"], sum(kept["sizes"]), "<i4")[0], dtype=np.int64)
+        offered = np.concatenate([_unpack(offers[p]["blob"], n, "<u8")[0] if n else np.zeros(0, np.uint64)
+                                  for p, n in zip(kept["parts"], kept["sizes"], strict=True)])
+        customers = np.bincount(index, weights=offered, minlength=kept["n"]).astype(np.int64)
+        base = (THETA + totals.value.d0 * totals.value.root_tables) / (totals.value.types + 1)
+        tables = seat(customers, np.full(len(customers), base), totals.value.d0, np.random.default_rng([at, number, 3]))
+        seen = [_unpack(kept["blob"], kept["n"], "<u8")[0]] if last else []
+        sums = {"at": at, "part": INDEX, "n": 0, "stats": _added(list(offers.values()), [customers.sum(), tables.sum()])}
+        return pa.Table.from_pylist([sums, *_answers(at, kept["parts"], kept["sizes"], index, [customers, tables, *seen])], schema=_MAIL)
+    return run
+
+
+def _heard(mail: list[dict], n_columns: int) -> list[np.ndarray]:
+    """The answers to one part, in order of its words."""
+    got = [_unpack(m["blob"], m["n"], *["<u8"] * n_columns) for m in sorted(mail, key=lambda m: m["at"])]
+    return [np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(n_columns)]
+
+
+def _p0(customers: np.ndarray, tables: np.ndarray, totals: Totals) -> np.ndarray:
+    base = (THETA + totals.d0 * totals.root_tables) / (totals.types + 1)
+    return (np.maximum(customers - totals.d0 * tables, 0) + base) / (THETA + totals.root_customers)
+
+
+def _seat_part(totals, bits: int, n: int, number: int):
+    """``n`` sweeps over the cells of a part -> offers of its tables, and the
+    tables of the frequent contexts."""
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                word, context, count = _cells(r)
+                words = np.cumsum(_unpack(r["words"], r["n_words"], "<u8")[0])
+                p0 = _p0(*_heard(r["mail"], 2), totals.value)
+                for tables, _, _ in sweeps(word, context, count, len(words), totals.value, n, [r["part"], number, 1], p0):
+                    pass
+                known = len(totals.value.tables)
+                yield pa.RecordBatch.from_pylist(
+                    _offers(r["part"], words, bits, [np.bincount(word, weights=tables, minlength=len(words))],
+                            np.bincount(context, weights=tables, minlength=known)[:known], False), schema=_MAIL)
+    return run
 
 
 def _score_part(totals, n_train: int, burn: int, samples: int):
@@ -351,8 +480,9 @@ def _score_part(totals, n_train: int, burn: int, samples: int):
         for b in batches:
             for r in b.to_pylist():
                 word, context, count = _cells(r)
-                logp = np.log10(predictive(word, context, count, r["n_words"], totals.value, burn, samples, [r["part"], 2]))
-                seen = np.bincount(word, weights=count, minlength=r["n_words"])
+                customers, tables, seen = _heard(r["mail"], 3)
+                p0 = _p0(customers, tables, totals.value)
+                logp = np.log10(predictive(word, context, count, len(seen), totals.value, burn, samples, [r["part"], 2], p0))
                 base = np.log10((seen + 0.1) / (n_train + 0.1 * (totals.value.types + 1)))
                 step, cell = _unpack(r["events"], r["n_events"], "<i8", "<u4")
                 doc = np.cumsum(step)
@@ -415,40 +545,64 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     n_words, n_contexts = max(1, len(frequent.words)), frequent.contexts
     bits = max(0, math.ceil(math.log2(max(1, n_train) / PART_TOKENS)))
 
+    dropped(words)
     rows = written(source.mapInArrow(_documents(frequent), DOCS), "lm-documents")
-    blocks = source.mapInArrow(_events(frequent, bits), BLOCK)
-    parts = written(blocks.groupBy("part").applyInArrow(_gather, PART), "lm-parts")
+    parts = _bucketed(source.mapInArrow(_events(frequent, bits), BLOCK).groupBy("part").applyInArrow(_gather(frequent), PART), bits)
 
-    # training counts of the frequent cells: at most share x (share + 2)
+    # training counts of the cells of two frequent words: at most share x (share + 1)
     known = (rows.filter("code IS NOT NULL").select(F.explode(F.arrays_zip("code", "cnt")).alias("z"))
              .groupBy(F.col("z.code").alias("code")).agg(F.sum("z.cnt").alias("c")).collect())
     f_count = np.zeros(n_contexts * n_words, np.int64)
     for r in known:
         f_count[r["code"]] = r["c"]
     f_context, f_word = np.divmod(np.arange(len(f_count)), n_words)
-    stats = dict(parts.mapInArrow(_statistics, "x int, t long").groupBy("x").agg(F.sum("t")).collect())
-    customers = np.bincount(f_context, weights=f_count, minlength=n_contexts)
-    for x in range(n_contexts):
-        customers[x] += stats.get(x, 0)
-    types = stats.get(-5, 0) + int((np.bincount(f_word, weights=f_count, minlength=n_words) > 0).sum())
-    totals = Totals(customers, types, _discount(stats.get(-1, 0) + int((f_count == 1).sum()), stats.get(-2, 0) + int((f_count == 2).sum())),
-                    _discount(stats.get(-3, 0), stats.get(-4, 0)))
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(totals)
-        got = dict(parts.mapInArrow(_sums(sent, burn), "x int, t long").groupBy("x").agg(F.sum("t")).collect())
-        for f_tables, f_root, _ in sweeps(f_word, f_context, f_count, n_words, totals, burn, [1 << 20, 1]):
+    per_word = lambda v: np.bincount(f_word, weights=v, minlength=n_words)[:len(frequent.words)]
+
+    def offered(columns: list[np.ndarray], named: bool) -> DataFrame:
+        mine = _offers(DRIVER, frequent.words, bits, columns, None, named)
+        return spark.createDataFrame([tuple(r.get(c) for c in _MAIL.names) for r in mine], MAIL)
+
+    def answered(mail: DataFrame) -> tuple[DataFrame, list[int], list[dict]]:
+        """The answers, their stats added up, and those to the driver."""
+        mail = written(mail, "lm-mail")
+        sums = dict(mail.filter(F.col("part") == INDEX).select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col")).collect())
+        return mail, [sums.get(k, 0) for k in range(max(sums, default=-1) + 1)], [r.asDict() for r in mail.filter(F.col("part") == DRIVER).collect()]
+
+    def heard(mail: DataFrame, *columns: str) -> DataFrame:
+        """The parts with the answers to them."""
+        by_part = mail.filter("part >= 0").groupBy("part").agg(F.collect_list(F.struct("at", "n", "blob")).alias("mail"))
+        return parts.select("part", *columns).join(by_part, "part")
+
+    def p0_of(mine: list[dict], n_columns: int, totals: Totals) -> np.ndarray:
+        return _p0(*_heard(mine, n_columns)[:2], totals) if mine else np.ones(n_words)
+
+    first = parts.select("part", "n_words", "n_cells", "words", "cells").mapInArrow(_first_offers(bits, n_contexts), MAIL)
+    mail, stats, mine = answered(first.unionByName(offered([per_word(np.minimum(f_count, 1)), per_word(f_count)], True)).groupBy("at").applyInArrow(_meet(not rounds), MAIL))
+    index = mail.filter(F.col("part") == INDEX)
+    root_customers, root_tables, once, twice, types, c_once, c_twice = (stats + [0] * 7)[:7]
+    customers = np.bincount(f_context, weights=f_count, minlength=n_contexts) + (stats[7:] or np.zeros(n_contexts))
+    totals = Totals(customers, types, _discount(c_once + int((f_count == 1).sum()), c_twice + int((f_count == 2).sum())), _discount(once, twice))
+    totals.root_customers, totals.root_tables = float(root_customers), float(root_tables)
+    for k in range(rounds):
+        sent, p0, last = spark.sparkContext.broadcast(totals), p0_of(mine, 2, totals), k == rounds - 1
+        for f_tables, _, _ in sweeps(f_word, f_context, f_count, n_words, totals, burn, [1 << 20, k, 1], p0):
             pass
+        offers = heard(mail, "n_words", "n_cells", "words", "cells").mapInArrow(_seat_part(sent, bits, burn, k), MAIL)
+        mail, stats, mine = answered(index.unionByName(offers).unionByName(offered([per_word(f_tables)], False))
+                                     .groupBy("at").applyInArrow(_reseat(sent, k, last), MAIL))
         after = Totals(customers, types, totals.d1, totals.d0)
-        after.tables = np.bincount(f_context, weights=f_tables, minlength=n_contexts) + [got.get(x, 0) for x in range(n_contexts)]
-        after.root_customers, after.root_tables = float(after.tables.sum()), float(f_root.sum() + got.get(-1, 0))
+        after.tables = np.bincount(f_context, weights=f_tables, minlength=n_contexts) + (stats[2:] or np.zeros(n_contexts))
+        after.root_customers, after.root_tables = (float(v) for v in (stats + [0, 0])[:2])
         totals = after
     sent = spark.sparkContext.broadcast(totals)
     f_seen = np.bincount(f_word, weights=f_count, minlength=n_words)
-    f_tables = (np.log10(np.maximum(predictive(f_word, f_context, f_count, n_words, totals, burn, samples, [1 << 20, 2]), 1e-300)),
+    if mine:
+        f_seen = _heard(mine, 3)[2]
+    f_tables = (np.log10(np.maximum(predictive(f_word, f_context, f_count, n_words, totals, burn, samples, [1 << 20, 2], p0_of(mine, 3, totals)), 1e-300)),
                 np.log10((f_seen + 0.1) / (n_train + 0.1 * (types + 1))))
     of_frequent = rows.mapInArrow(_score_frequent(spark.sparkContext.broadcast(f_tables), n_words),
                                   "rid long, doc_id long, held_out boolean, n_tokens long, f_logp double, f_base double, f_known long")
-    of_parts = (parts.mapInArrow(_score_part(sent, n_train, burn, samples), "run long, n long, blob binary")
+    of_parts = (heard(mail, "n_cells", "n_events", "cells", "events").mapInArrow(_score_part(sent, n_train, burn, samples), "run long, n long, blob binary")
                 .groupBy("run").applyInArrow(_add_runs, "rid long, logp double, base double, known long"))
     zero = F.lit(0.0)
     return of_frequent.join(of_parts, "rid", "left").select(
