@@ -177,6 +177,42 @@ def test_similar_finds_near_copies(spark, small_docs):
     assert all(r["left_id"] < 8 or dict(rows)[r["left_id"]][:40] == dict(rows)[r["right_id"]][:40] for r in pairs)
 
 
+def test_similar_across_lengths(spark):
+    """Near texts whose walks end on either side of a power of two."""
+    rnd = random.Random(8)
+    text = "".join(chr(rnd.randrange(97, 123)) for _ in range(640))
+    rows = [(1, text[:470]), (2, text[:560])]
+    levels = [{x.split(":")[0] for x in fp.split("-")} for fp in fingerprints.fingerprint([t for _, t in rows])]
+    assert not levels[0] & levels[1]
+    prints = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(r["left_id"], r["right_id"]) for r in fingerprints.similar(prints).collect()] == [(1, 2)]
+
+
+def test_classes_follow_chains(spark, small_docs, odd_docs, odd_rows):
+    """Each text is near the next; the first and the last are unlike."""
+    rnd = random.Random(8)
+    text = list((max((t for _, t in small_docs), key=len) * 2)[:3000])
+    rows = []
+    for i in range(12):
+        rows.append((i, "".join(text)))
+        a = 3000 - 250 * (i + 1)
+        text[a:a + 250] = [chr(rnd.randrange(97, 123)) for _ in range(250)]
+    rows += [(100 + i, "%03d" % i) for i in range(200)]  # short texts
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.classed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(12)] == [0] * 12 and min(got[i] for i in range(100, 300)) == 100
+    odd = fingerprints.classed(odd_docs).collect()
+    assert len(odd) == len(odd_rows)
+    of = {r["doc_id"]: r["class_id"] for r in odd if r["doc_id"] is not None}
+    assert of[1] == of[2] == 1 and of[7] == of[8] == 7 and of[4] == of[5] == of[-7] == -7
+
+
+def test_all_likeness(small_docs):
+    texts = [t or "" for _, t in small_docs[:25]] + ["", "abc", "abd", "the quick brown"]
+    prints = fingerprints.fingerprint(texts + [t[:len(t) * 3 // 4] for t in texts])
+    got = fingerprints._all_likeness(prints, prints)
+    assert all(got[i, j] == pytest.approx(fingerprints.likeness(x, y)) for i, x in enumerate(prints) for j, y in enumerate(prints) if x != y)
+
+
 @pytest.mark.parametrize("a,b,low,high", [("", "", 1, 1), ("", "abc", 0, 0), ("abc" * 50, "abc" * 50, 1, 1)])
 def test_likeness_of_edges(a, b, low, high):
     x, y = fingerprints.fingerprint([a, b])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +35,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession, wait: float = 0) -> None:
+    """Let Spark's cleaner free shuffles and broadcasts out of use: it learns
+    from the garbage collector which are. The gateway tells the JVM in a
+    thread of its own what Python has let go; ``wait`` gives it time."""
+    gc.collect()
+    time.sleep(wait)
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that no later step reads, and let
-    Spark's cleaner free the shuffles and broadcasts that led to them: it
-    learns from the garbage collector which are out of use."""
+    """Delete tables made by ``written`` that no later step reads, and free
+    the shuffles and broadcasts that led to them."""
     for df in tables:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        freed(tables[0].sparkSession)
 
 
 def remainder(id_col: str, parts: int):

@@ -15,15 +15,20 @@ an edit put out of step may stay so for long, if seldom; a fingerprint
 therefore has ``WALKS`` independent walks, and the best pair counts.
 
 ``similar`` finds near documents from fingerprints: bands of sampled symbols
-make candidates (each row of a band bucket against the bucket's smallest
-id, so no bucket makes all its pairs) and the sampled Hamming likeness
-verifies them.
+make buckets, and no place past a text's end takes part in one. Each row of a
+bucket is first verified (by the sampled Hamming likeness) against the
+bucket's smallest id; in buckets whose members are then not all connected,
+every two that are not connected are verified too, in blocks of ``BLOCK``
+rows that meet block by block. So any two near documents that share a bucket
+are linked, directly or over other links, and ``classed`` derives a class id.
 
 Scale: one range-partitioned shuffle of the texts in descending id order, in
 as many ranges as shuffle partitions; the first document of each range also
 goes to the range before it, so each document meets its successor in a
 stream, a slice of texts in memory at a time. Walks are vectorised over the
-texts of a slice. Only range bounds reach the driver.
+texts of a slice. Only range bounds reach the driver. Bands travel as two
+numbers each; fingerprints only join those that share a bucket. A bucket of n
+unlike texts costs n^2 / 2 comparisons, dealt by block.
 
 Defined results: NULL text is empty; an empty text's fingerprint has no
 symbols, equal to another empty one (likeness 1) and unlike any other (0);
@@ -41,12 +46,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import partitions, renamed, with_package
+from tillroll.llm.common import freed, partitions, renamed, with_package, written
+from tillroll.llm.components import components
 
 SAMPLES = 128
 WALKS = 3
 PERIOD, CLASSES = 8192, 64  # the shared random bits repeat after PERIOD steps; characters fall into CLASSES
 SLICE = 1_500_000           # characters of a slice of the stream
+BLOCK = 512                 # rows of a bucket that meet in one place
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,42 +247,190 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                    "edited_fingerprint string, near_edited double, near_next double")
 
 
+@functools.lru_cache(256)
+def _bands(level: int, bands: int, rows: int) -> list[np.ndarray]:
+    """Places of each band among the samples of a level, in turn among those
+    that its texts have and the first half of these."""
+    rng = np.random.default_rng([17, level])
+    room = max(1, min(SAMPLES, 1 << level) // 2)
+    pools = [max(1, room >> (n & 1)) for n in range(bands)]
+    return [np.sort(rng.choice(pool, min(rows, pool), replace=False)) for pool in pools]
+
+
+def _parsed(fp: str) -> list[tuple[int, np.ndarray]]:
+    return [(int(one.split(":")[0]), np.frombuffer(bytes.fromhex(one.split(":")[1]), np.uint8)) for one in fp.split("-")]
+
+
+def _band_keys(bands: int, rows: int):
+    """(k, key) for each band of each walk, at the two levels that a text
+    takes part in: a near text may be of the next level."""
+    def run(batches):
+        for b in batches:
+            ks = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = [_parsed(fp) for fp in b.column(1).to_pylist()]
+            for walk in range(WALKS):
+                at = {}
+                for i, t in enumerate(texts):
+                    level, symbols = t[walk]
+                    at.setdefault(level, []).append((i, symbols))
+                    at.setdefault(level + 1, []).append((i, symbols[_kept(level, level + 1)[:len(symbols)]]))
+                out_k, out_key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for level, mine in at.items():
+                    who, size = ks[[i for i, _ in mine]], np.array([len(x) for _, x in mine])
+                    table = np.zeros((len(mine), SAMPLES // 2), np.uint64)
+                    for row, (_, x) in zip(table, mine, strict=True):
+                        row[:len(x)] = x[:SAMPLES // 2]
+                    for n, places in enumerate(_bands(level, bands, rows)):
+                        whole = size > places[-1]  # no place past the end
+                        key = np.full(int(whole.sum()), (walk * 64 + level) * 65_536 + n + 1, np.uint64)
+                        for place in places:
+                            key = _mix((key + table[whole, place] + np.uint64(1)) * MIX)
+                        out_k.append(who[whole])
+                        out_key.append(key.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k)), pa.array(np.concatenate(out_key))], ["k", "key"])
+    return run
+
+
+def _shared(batches):
+    """Of rows (k, key) in order of key those whose key another row has too."""
+    names, held = ["k", "key"], None  # the last row waits for the next one
+
+    def batch(k, key):
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(key)], names)
+
+    for b in batches:
+        k, key = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        if not len(k):
+            continue
+        before = False
+        if held is not None:
+            k, key, before = np.insert(k, 0, held[0]), np.insert(key, 0, held[1]), held[2]
+        same = key[1:] == key[:-1]
+        keep = np.concatenate(([before], same)) | np.concatenate((same, [False]))
+        held = (k[-1], key[-1], bool(same[-1]) if len(same) else before)
+        yield batch(k[:-1][keep[:-1]], key[:-1][keep[:-1]])
+    if held is not None and held[2]:
+        yield batch(np.array([held[0]]), np.array([held[1]]))
+
+
+def _all_likeness(left: list[str], right: list[str]) -> np.ndarray:
+    """``likeness`` of each of ``left`` with each of ``right``."""
+    best = np.zeros((len(left), len(right)))
+    a, b = [_parsed(x) for x in left], [_parsed(x) for x in right]
+    for walk in range(WALKS):
+        for la in {t[walk][0] for t in a}:
+            for lb in {t[walk][0] for t in b}:
+                top, sides = max(la, lb), []
+                for texts, level, fill in ((a, la, 256), (b, lb, 257)):
+                    who = [i for i, t in enumerate(texts) if t[walk][0] == level]
+                    symbols = [texts[i][walk][1] for i in who]
+                    if level < top:
+                        symbols = [x[_kept(level, top)[:len(x)]] for x in symbols]
+                    sides.append((who, symbols, fill))
+                size = [np.array([len(x) for x in s]) for _, s, _ in sides]
+                wide = int(max(size[0].max(), size[1].max()))
+                tables = []
+                for (who, symbols, fill) in sides:
+                    table = np.full((len(who), wide), fill, np.int16)
+                    for row, x in zip(table, symbols, strict=True):
+                        row[:len(x)] = x
+                    tables.append(table)
+                for i, row, n in zip(sides[0][0], tables[0], size[0], strict=True):
+                    most = np.maximum(np.maximum(n, size[1]), 1)
+                    best[i, sides[1][0]] = np.maximum(best[i, sides[1][0]], (tables[1] == row).sum(axis=1) / most)
+    return best
+
+
+LINKS = "a long, b long, likeness double"
+
+
+def _verified(at_least: float):
+    def run(batches):
+        for b in batches:
+            near = np.array([likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+            keep = pa.array(near >= at_least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], ["a", "b", "likeness"]).filter(keep)
+    return run
+
+
+def _blocks_meet(at_least: float):
+    """Near members of two blocks of a bucket (i, j), or of one with itself,
+    that are not yet connected."""
+    def run(key, rows):
+        i, j = key[1].as_py(), key[2].as_py()
+        rows = rows.sort_by([("id", "ascending"), ("k", "ascending")]).to_pylist()
+        left, right = ([r for r in rows if r["block"] == x] for x in (i, j))
+        out = []
+        if left and right:
+            near = _all_likeness([r["fp"] for r in left], [r["fp"] for r in right])
+            of = [np.array([r["c"] for r in side]) for side in (left, right)]
+            near[of[0][:, None] == of[1][None, :]] = -1
+            for x, y in zip(*np.nonzero(near >= at_least), strict=True):
+                one, other = sorted((left[x], right[y]), key=lambda r: (r["id"] is None, r["id"] or 0, r["k"]))
+                if i != j or x < y:
+                    out.append({"a": one["k"], "b": other["k"], "likeness": float(near[x, y])})
+        return pa.Table.from_pylist(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())]))
+    return run
+
+
+def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> DataFrame:
+    """a, b, likeness: links between classes (k, id, fp) that connect any two
+    near ones which share a bucket."""
+    n = partitions(classes.sparkSession)
+    members = written(classes.select("k", "fp").mapInArrow(_band_keys(bands, rows), "k long, key long")
+                      .repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "k long, key long"), "op7-members")
+    freed(classes.sparkSession, 3)
+    members = members.join(classes.select("k", "id"), "k")
+    fps = classes.select("k", "fp")
+    heads = members.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("head"))
+    pairs = members.join(heads, "key").select(F.col("head.k").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct()
+    sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
+             .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
+    stars = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
+    of = written(components(stars, "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c")), "op7-of")
+    members = members.join(of, "k", "left").select("key", "k", "id", F.coalesce("c", "k").alias("c"))
+    # buckets not yet connected; of those with the same members one
+    open_ = (members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"),
+                                        F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same")).filter("low <> high")
+             .groupBy("n", "same").agg(F.min("key").alias("key")))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = members.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = (mine.select("key", "k", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .join(fps, "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+    more = (dealt.select("key", "i", "j", "k", "id", "c", "block", "fp").groupBy("key", "i", "j")
+            .applyInArrow(_blocks_meet(at_least), LINKS).dropDuplicates(["a", "b"]))
+    return stars.unionByName(written(more, "op7-more"))
+
+
 def similar(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", bands: int = 16, rows: int = 4,
             at_least: float = 0.6) -> DataFrame:
     """Near documents: left_id, right_id, likeness. Equal fingerprints are
-    one class; class representatives that agree in a band of ``rows``
-    sampled symbols at the two levels that a text takes part in meet their
-    bucket's smallest id and are verified."""
+    one class, linked to its smallest id; links between classes are those of
+    their smallest ids. Any two near documents that share a bucket are
+    connected by links."""
     source = with_package(renamed(prints, id=id_col, fp=print_col)).filter(F.col("fp").isNotNull() & F.col("id").isNotNull())
-    classes = source.groupBy("fp").agg(F.min("id").alias("id"))
+    classes = written(source.groupBy("fp").agg(F.min(F.col("id").cast("long")).alias("id")).withColumn("k", F.xxhash64("fp")), "op7-classes")
     copies = (source.withColumnRenamed("id", "right_id").join(classes.withColumnRenamed("id", "left_id"), "fp")
               .filter("left_id <> right_id").select("left_id", "right_id", F.lit(1.0).alias("likeness")))
-
-    def keys(batches):
-        rng = np.random.default_rng(17)
-        # a text has at least about half of SAMPLES at its own level, a quarter at the next
-        chosen = [[sorted(rng.choice(SAMPLES // pool, rows, replace=False).tolist()) for _ in range(bands)] for pool in (2, 4)]
-        for b in batches:
-            ids, fps, out = [], [], []
-            for i, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for walk, one in enumerate(fp.split("-")):
-                    level, symbols = int(one.split(":")[0]), np.frombuffer(bytes.fromhex(one.split(":")[1]), np.uint8)
-                    for up in (0, 1):  # a near text may be of the next level
-                        s = symbols[_kept(level, level + 1)[:len(symbols)]] if up else symbols
-                        for n, c in enumerate(chosen[up]):
-                            picked = [int(s[x]) if x < len(s) else 0 for x in c]  # 0: past the end
-                            ids.append(i), fps.append(fp), out.append(f"{walk}/{level + up}/{n}/{bytes(picked).hex()}")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.string()), pa.array(out, pa.string())], ["id", "fp", "key"])
-
-    def verify(batches):
-        for b in batches:
-            near = [likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], ["left_id", "right_id", "likeness"])
-
-    banded = classes.select(F.col("id").cast("long"), "fp").mapInArrow(keys, "id long, fp string, key string")
-    leaders = banded.groupBy("key").agg(F.min_by(F.struct("id", "fp"), "id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = (banded.join(leaders, "key").filter(F.col("id") != F.col("head.id"))
-             .select(F.col("head.id").alias("left_id"), F.col("id").alias("right_id"), F.col("head.fp").alias("a"), F.col("fp").alias("b"))
-             .dropDuplicates(["left_id", "right_id"]))
-    found = pairs.mapInArrow(verify, "left_id long, right_id long, likeness double").filter(F.col("likeness") >= at_least)
+    ids = classes.select("k", "id")
+    found = (_links(classes, bands, rows, at_least).join(ids.toDF("a", "left_id"), "a").join(ids.toDF("b", "right_id"), "b")
+             .select("left_id", "right_id", "likeness"))
     return found.unionByName(copies)
+
+
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 16, rows: int = 4, at_least: float = 0.6) -> DataFrame:
+    """``fingerprints`` with ``class_id``: the smallest doc_id among the
+    documents that links of ``similar`` and equal fingerprints connect (NULL
+    if none of them has an id)."""
+    prints = written(fingerprints(docs, id_col, text_col), "op7-prints")
+    freed(prints.sparkSession, 3)  # the shuffle of the texts
+    classes = (prints.groupBy(F.xxhash64("fingerprint").alias("k"))
+               .agg(F.first("fingerprint").alias("fp"), F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    classes = written(classes, "op7-classes")
+    freed(prints.sparkSession, 3)
+    of = components(_links(classes, bands, rows, at_least), "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c"))
+    whole = classes.select("k", "id", "n").join(of, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    low = whole.groupBy("c").agg(F.min("id").alias("class_id"), F.sum("n").alias("all")).filter("all > 1")
+    of_k = written(whole.join(low, "c").select("k", "class_id"), "op7-class-ids")  # the others are alone
+    out = prints.withColumn("k", F.xxhash64("fingerprint")).join(of_k, "k", "left")
+    return out.select(*prints.columns, F.coalesce("class_id", "doc_id").alias("class_id"))

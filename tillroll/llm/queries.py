@@ -80,7 +80,7 @@ def op6_token_records(spark, sf_dir):
 
 @query
 def op7_document_fingerprints(spark, sf_dir):
-    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints.classed(table(spark, sf_dir, "documents"))
 
 
 @query
