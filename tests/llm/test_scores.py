@@ -137,6 +137,24 @@ def test_feistel_matches_a_plain_one(spark):
         str(datetime.date(1800, 1, 1) + datetime.timedelta(a * 5411 + b)), f"{l // 256}.{l % 256}.{r // 256}.{r % 256}", card]
 
 
+def test_other_dates_telephones_and_secrets(spark):
+    texts = ["at 1984-02-29T10:00:00Z.", "1984/02/29", "02/29/1984", "29/02/1984", "29.02.1984", "29 Feb 1984", "February 29, 1984", "2-9-1984",
+             "706 555 3138", "(706) 555 3138", "secret=abcdefabcdefabcdef", "API_KEY: 'abcdefabcdefabcdef'"]
+    out = pseudonymised(spark, texts)
+    assert all(a != b for a, b in zip(texts, out, strict=True))
+    iso = re.fullmatch(r"at (\d{4}-\d\d-\d\d)T10:00:00Z\.", out[0]).group(1)
+    y, m, d = iso.split("-")
+    names = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+    assert out[1:3] == [f"{y}/{m}/{d}", f"{m}/{d}/{y}"] and out[4] == f"{d}.{m}.{y}"
+    assert out[5:7] == [f"{d} {names[int(m) - 1][:3]} {y}", f"{names[int(m) - 1]} {d}, {y}"]
+    assert re.fullmatch(r"\d{1,2}-\d{1,2}-\d{4}", out[7]) and re.fullmatch(r"\d{3} \d{3} \d{4}", out[8]) and re.fullmatch(r"\(\d{3}\) \d{3} \d{4}", out[9])
+    assert pseudonymised(spark, ["13/32/1984", "30 Feb 1984", "31.04.1984", "1984-02-29Tx"]) == ["13/32/1984", "30 Feb 1984", "31.04.1984", "1984-02-29Tx"]
+    many = [f"{d}/{m:02d}/{y}" for y in (1990, 1991) for m in range(1, 13) for d in range(1, 29)]
+    got = pseudonymised(spark, many)
+    assert len(set(got)) == len(many)
+    assert all((int(a.split("/")[0]) > 12) == (int(b.split("/")[0]) > 12) for a, b in zip(many, got, strict=True))
+
+
 def test_pseudonyms_of_odd_rows(odd_docs, no_docs):
     out = pseudonyms.pseudonymise(odd_docs, "k1")
     assert out.columns == odd_docs.columns

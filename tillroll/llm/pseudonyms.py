@@ -2,7 +2,7 @@
 
 One pattern finds candidates in whole texts: e-mail addresses, IPv4
 addresses, telephone numbers, payment card numbers, social security numbers,
-account numbers (IBAN), ISO dates and hexadecimal secrets. Numbers and dates
+account numbers (IBAN), dates and hexadecimal secrets. Numbers and dates
 are validated (Luhn digit, octets up to 255, mod-97, calendar); what fails
 stays as it is. A valid value is permuted within its format by a keyed
 Feistel network, so equal values get equal pseudonyms in every document and
@@ -14,11 +14,18 @@ octets), and pseudonyms of cards, addresses, IBANs and dates are valid again:
     phone     the digits of the subscriber (all but a leading +country code)
     SSN       all nine digits
     IBAN      the digits after the check digits; new check digits
-    ISO date  the day's number in a cycle of 400 years (1800-2199), 27 x 5411
+    date      the day's number in a cycle of 400 years (1800-2199), 27 x 5411
     e-mail    letters and digits of the local part and the domain's labels but the
               last, each class by itself
     secret    the hexadecimal digits behind a key word (token, secret, ...)
 
+Dates are year-month-day (with - or /, also before the T of a time),
+month/day/year and, where that is no date, day/month/year (with / or -),
+day.month.year, and with an English month's name before or behind the day.
+A day has the same pseudonym in each of them; day/month/year dates (their
+day is over 12) move on until their day is over 12 again, so that no two
+dates get one text. A name keeps its case and whether it is cut short.
+
 A value is a sequence of digits in mixed or single base split in two halves;
 a round adds to one half a keyed hash (SHA-256 of key, format, round and the
 other half) modulo that half's size, so each round, and with it the whole,
@@ -38,21 +45,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_KEYWORD = r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)"
+
 # One alternative per format; the order decides where two could begin at one place.
 PATTERN = (
     r"(?i:[a-z0-9][a-z0-9._%+-]{0,63}@(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24})"
     r"|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-    r"|(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z]|-[0-9])"
+    r"|(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?!-[0-9]|(?![Tt][0-9]{2}[:0-9])[0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z/])[0-9]{4}/[0-9]{2}/[0-9]{2}(?!/[0-9]|(?![Tt][0-9]{2}[:0-9])[0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9A-Za-z]|/[0-9])"
+    r"|(?<![0-9A-Za-z-])[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+    r"|(?<![0-9A-Za-z.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?![0-9A-Za-z]|\.[0-9])"
+    rf"|(?i:(?<![0-9a-z])[0-9]{{1,2}}[ -]{_MONTH}(?:\.?,? |-)[0-9]{{4}}(?![0-9a-z]))"
+    rf"|(?i:(?<![0-9a-z]){_MONTH}\.? [0-9]{{1,2}},? [0-9]{{4}}(?![0-9a-z]))"
     r"|(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
     r"|(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])"
-    r"|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"
+    r"|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-    r"|(?i:(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[=:]\s{0,4}[\"']?[0-9a-f]{16,128}(?![0-9a-z]))"
+    rf"|(?i:(?<![a-z0-9]){_KEYWORD}[\"']?\s{{0,4}}[=:]\s{{0,4}}[\"']?[0-9a-f]{{16,128}}(?![0-9a-z]))"
 )
-#: A cheap look before the pattern: every format but e-mail has two digits close together.
-HINT = r"@|[0-9].{0,3}[0-9]"
+#: A cheap look before the pattern: every format but e-mail and secrets has two digits close together.
+HINT = rf"@|[0-9].{{0,3}}[0-9]|(?i:{_KEYWORD})"
 ROUNDS = 8
 
 
@@ -119,11 +136,51 @@ def _ip(key: str) -> str:
     return f"if({valid}, {_let('h', halves, out)}, m)"
 
 
+def _moved(key: str, n: str) -> str:
+    """The pseudonym of a day's number."""
+    return _let("h", _feistel(key, "date", f"{n} div 5411", f"{n} % 5411", "27L", "5411L"), "h.l * 5411 + h.r")  # 27 x 5411 days in 400 years
+
+
+def _day(key: str, iso: str, out: str, otherwise: str = "m", later: bool = False) -> str:
+    """``out``, over the new date ``t``, if ``iso`` is a date; ``later``:
+    moved on until the day is over 12."""
+    date = "date_add(date'1800-01-01', cast({} as int))".format
+    new = _moved(key, "n")
+    if later:  # the chance that none of 64 has such a day is below 1e-24
+        new = (f"aggregate(sequence(1, 64), named_struct('n', cast({new} as bigint)), (s, i) -> if(day({date('s.n')}) > 12, s, "
+               f"named_struct('n', cast({_moved(key, 's.n').replace('(s, i)', '(s2, i2)').replace('s.l', 's2.l').replace('s.r', 's2.r').replace('i %', 'i2 %').replace('cast(i as', 'cast(i2 as')} as bigint)))).n")
+    return _let("n", f"datediff(try_to_date({iso}, 'yyyy-MM-dd'), date'1800-01-01')",
+                f"if(n between 0 and 146096, {_let('t', date(new), out)}, {otherwise})")
+
+
 def _date(key: str) -> str:
-    day = "datediff(try_to_date(m, 'yyyy-MM-dd'), date'1800-01-01')"
-    halves = _feistel(key, "date", "n div 5411", "n % 5411", "27L", "5411L")  # 27 x 5411 days in 400 years
-    inner = _let("h", halves, "date_format(date_add(date'1800-01-01', cast(h.l * 5411 + h.r as int)), 'yyyy-MM-dd')")
-    return _let("n", day, f"if(n between 0 and 146096, {inner}, m)")
+    return _day(key, "replace(m, '/', '-')", "concat_ws(substr(m, 5, 1), date_format(t, 'yyyy'), date_format(t, 'MM'), date_format(t, 'dd'))")
+
+
+def _numbers_date(key: str) -> str:
+    """Day and month in either order before the year; a number of one digit
+    has as many as it needs, one of two has two."""
+    two = "lpad({}, 2, '0')".format
+    number = lambda what, i: f"if(length(p[{i}]) = 2, {two(f'cast({what}(t) as string)')}, cast({what}(t) as string))"
+    sign = "regexp_extract(m, '[./-]', 0)"
+    day_first = dict(iso=f"concat_ws('-', p[2], {two('p[1]')}, {two('p[0]')})", out=f"concat_ws({sign}, {number('day', 0)}, {number('month', 1)}, date_format(t, 'yyyy'))")
+    month_first = dict(iso=f"concat_ws('-', p[2], {two('p[0]')}, {two('p[1]')})", out=f"concat_ws({sign}, {number('month', 0)}, {number('day', 1)}, date_format(t, 'yyyy'))")
+    return _let("p", "split(m, '[./-]')", f"if({sign} = '.', {_day(key, **day_first)}, "
+                + _day(key, **month_first, otherwise=_day(key, **day_first, later=True)) + ")")
+
+
+def _named_date(key: str) -> str:
+    names = "array(" + ", ".join(f"'{m}'" for m in MONTHS) + ")"
+    month = f"lpad(cast(array_position(transform({names}, x -> substr(x, 1, 3)), lower(substr(w, 1, 3))) as string), 2, '0')"
+    iso = f"concat_ws('-', regexp_extract(m, '[0-9]{{4}}$', 0), {month}, lpad(d, 2, '0'))"
+    # a name longer than its first letters (june, not sept) is whole
+    whole = _let("x", f"element_at({names}, month(t))", f"if(array_contains({names}, lower(w)) and lower(w) <> 'may', x, substr(x, 1, 3))")
+    name = _let("z", whole, "CASE WHEN w = upper(w) THEN upper(z) WHEN w = lower(w) THEN z ELSE initcap(z) END")
+    day = "lpad(cast(day(t) as string), greatest(length(d), length(cast(day(t) as string))), '0')"
+    out = (f"concat(if(m rlike '^[0-9]', concat({day}, substr(m, length(d) + 1, 1), {name}), "
+           f"concat({name}, regexp_extract(m, '^[A-Za-z]+([^0-9]+)', 1), {day})), "
+           "regexp_extract(m, '([^0-9A-Za-z]+)[0-9]{4}$', 1), date_format(t, 'yyyy'))")
+    return _let("w", "regexp_extract(m, '[A-Za-z]+', 0)", _let("d", "regexp_extract(m, '[0-9]+', 0)", _day(key, iso, out)))
 
 
 def _phone(key: str) -> str:
@@ -198,11 +255,13 @@ def pseudonym_sql(key: str) -> str:
     """SQL expression over ``m``, one finding of PATTERN."""
     return f"""CASE WHEN m rlike '@' THEN {_email(key)}
       WHEN m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN {_ip(key)}
-      WHEN m rlike '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' THEN {_date(key)}
+      WHEN m rlike '^[0-9]{{4}}(-[0-9]{{2}}-|/[0-9]{{2}}/)[0-9]{{2}}$' THEN {_date(key)}
+      WHEN m rlike '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$' THEN {_numbers_date(key)}
       WHEN m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {_ssn(key)}
       WHEN m rlike '[=:]' THEN {_secret(key)}
       WHEN m rlike '^[A-Z]{{2}}[0-9]{{2}}' THEN {_iban(key)}
-      WHEN m rlike '^[+(]' or m rlike '^[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}$' THEN {_phone(key)}
+      WHEN m rlike '^([0-9]{{1,2}}[ -])?[A-Za-z]{{3}}' THEN {_named_date(key)}
+      WHEN m rlike '^[+(]' or m rlike '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' THEN {_phone(key)}
       ELSE {_card(key)} END"""
 
 
