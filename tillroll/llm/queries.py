@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tillroll.llm import fingerprints, lm, ngram_join, packing, piece_bpe, pseudonyms, quality, records, token_counts, vector_search
-from tillroll.llm.common import fresh_folder, remainder, table, tokenizer_path
+from tillroll.llm import (
+    conversation_repair, fill_middle, fingerprints, lm, ngram_join, packing, piece_bpe, pseudonyms, quality, records, simhash, token_counts,
+    vector_search)
+from tillroll.llm.common import fresh_folder, remainder, table, tokenizer_path, written
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -113,3 +115,45 @@ def op9_lm_scoring(spark, sf_dir):
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"),
                                      cache=fresh_folder(spark, "token-count-cache"), limit=4096)
+
+
+@query
+def op11_fill_in_middle(spark, sf_dir):
+    stored = written(fill_middle.store(table(spark, sf_dir, "documents")), "fill-middle-frames")
+    return fill_middle.fill_middle(fill_middle.plan(stored, seed=42, rate=50, spm=80), outputs=("output_sha256", "restored_sha256"))
+
+
+ORACLE["op11_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM documents),
+u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         list_transform(range(0, 4), lambda k: CAST('0x' || substr(hx, CAST(8 * k + 1 AS INTEGER), 8) AS BIGINT)) AS h FROM d),
+c AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS c1,
+         greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS c2 FROM u),
+p AS (
+  SELECT doc_id, text, n,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:c1], '') AS a, array_to_string(units[c1 + 1:c2], '') AS b, array_to_string(units[c2 + 1:n], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b
+              ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(conversation_repair.damage(conversations))
+    return conversation_repair.report(repaired, conversations)
+
+
+@query
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
