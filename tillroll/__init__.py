@@ -7,4 +7,6 @@ Layers: ``sources`` (typed reads, landing tables, test-data adapter),
 ``streaming`` (incremental refresh of the daily marts).
 """
 
+__version__ = "0.3.0"
+
 __all__ = ["session"]

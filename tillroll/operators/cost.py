@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import year_month
 from tillroll.functions.numeric import money, ratio
+from tillroll.operators._sales import measure
 
 
 def pnl_monthly(sales: DataFrame, purchases: DataFrame, labor: DataFrame) -> DataFrame:
-    rev = sales.groupBy(year_month("date").alias("ym")).agg(F.round(F.sum("line_total"), 2).alias("_r"))
+    rev = sales.groupBy(year_month("date").alias("ym")).agg(measure(sales, "_rev")).withColumn("_r", F.round("_rev", 2)).drop("_rev")
     cogs = purchases.groupBy(year_month("date").alias("ym")).agg(F.round(F.sum("total_cost"), 2).alias("_c"))
     lab = labor.groupBy(year_month("date").alias("ym")).agg(
         F.round(F.sum("labor_cost"), 2).alias("_l"), F.round(F.sum("hours_worked"), 1).alias("_h"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.calendar import iso_weekday, weekday_name
 from tillroll.functions.numeric import money, ratio
 from tillroll.functions.windows import grand_total
+from tillroll.operators._sales import measures
 
 
 def covers_capacity(reservations: DataFrame, seats: int = 65) -> DataFrame:
@@ -28,7 +29,7 @@ def covers_capacity(reservations: DataFrame, seats: int = 65) -> DataFrame:
 
 
 def _per_reservation(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("reservation_id").agg(F.sum("line_total").alias("_rev"), F.count(F.lit(1)).alias("_lines"))
+    return sales.groupBy("reservation_id").agg(*measures(sales, "_rev", "_lines"))
 
 
 def covers_revenue_per_cover(reservations: DataFrame, sales: DataFrame, fanout: bool = False) -> DataFrame:
@@ -51,8 +52,7 @@ def covers_by_channel(reservations: DataFrame) -> DataFrame:
 
 def covers_hourly(sales: DataFrame) -> DataFrame:
     a = sales.groupBy("service", "hour").agg(
-        F.countDistinct("order_id").alias("checks"), F.sum("line_total").alias("_rev"),
-        F.count("line_total").alias("_n"))
+        F.countDistinct("order_id").alias("checks"), *measures(sales, "_rev", "_n"))
     return a.select("service", "hour", "checks", money("_rev").alias("revenue"),
                     ratio("_rev", "_n", 2).alias("avg_line_value")).orderBy("service", "hour")
 
@@ -61,7 +61,7 @@ def covers_peak_windows(sales: DataFrame) -> DataFrame:
     """(weekday, hour) cells ranked by revenue with their share of total.
     At most 7 x 24 cells, so the rank window over all cells is bounded."""
     a = sales.groupBy(weekday_name("date").alias("day_of_week"), "hour").agg(
-        F.countDistinct("order_id").alias("checks"), F.sum("line_total").alias("_rev"))
+        F.countDistinct("order_id").alias("checks"), *measures(sales, "_rev"))
     total = grand_total(a, "_rev")
     out = a.select("day_of_week", "hour", "checks", money("_rev").alias("revenue"),
                    ratio("_rev", total, 1, 100).alias("revenue_share_pct"))

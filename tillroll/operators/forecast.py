@@ -6,8 +6,12 @@ values as an array (bounded by the calendar, never by the fact volume). The
 recurrence is a fold over that array; a grid of smoothing parameters is a
 literal array, folded for each entry, and the least sum of squared one-step
 errors wins (the first among equals). Three rounds then halve the step
-around the best triple. No UDF, so nothing has to reach Python workers, and
-an SQL engine can repeat the same floating-point steps.
+around the best triple. From there a compass search fits the parameters: it
+tries a step up and down along each of them, moves to the best trial that is
+better, halves the step where none is, and stops when the step is below
+``TOLERANCE``; it is a fold over a state struct, bounded by ``ROUNDS``. No
+UDF, so nothing has to reach Python workers, and an SQL engine can repeat
+the same floating-point steps.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from tillroll.functions.windows import fill_month_gaps
 GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
 STEPS = (0.1, 0.05, 0.025)
 BOUNDS = (0.01, 0.99)
+TOLERANCE, ROUNDS = 1e-5, 80  # of the compass search
 DIGITS = 6
 
 FILLS = ("zero", "interpolate", "error")
@@ -89,15 +94,40 @@ def _literal(values) -> Column:
 
 
 def _around(best: Column, step: float) -> Column:
-    inside = lambda x: F.least(F.greatest(x, F.lit(BOUNDS[0])), F.lit(BOUNDS[1]))
-    return F.transform(_literal((-step, 0.0, step)), lambda d: F.struct(*[inside(best[k] + d[k]).alias(k) for k in "abg"]))
+    return F.transform(_literal((-step, 0.0, step)), lambda d: F.struct(*[_inside(best[k] + d[k]).alias(k) for k in "abg"]))
+
+
+def _inside(x: Column) -> Column:
+    return F.least(F.greatest(x, F.lit(BOUNDS[0])), F.lit(BOUNDS[1]))
+
+
+def _compass(y: Column, start: Column, best: Column, tolerance: float, rounds: int) -> Column:
+    """(e, a, b, g, step) from the best triple on: never a larger error."""
+    def trials(st):
+        moved = []
+        for k in "abg":
+            for sign in (1.0, -1.0):
+                moved.append(F.struct(*[(_inside(st[x] + F.lit(sign) * st["step"]) if x == k else st[x]).alias(x) for x in "abg"]))
+        return F.array(*moved)
+
+    def one(st, _):
+        def after(t):
+            better = t["e"] < st["e"]
+            return F.struct(*[F.when(better, t[x]).otherwise(st[x]).alias(x) for x in "eabg"],
+                            F.when(better, st["step"]).otherwise(st["step"] / 2.0).alias("step"))
+        # a list of one binds the best trial, so that it is found once
+        tried = F.transform(F.array(_best(y, start, trials(st))), after)[0]
+        return F.when(st["step"] < tolerance, st).otherwise(tried)
+
+    init = F.struct(*[best[x].alias(x) for x in "eabg"], F.lit(STEPS[-1]).alias("step"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), init, one)
 
 
 def ts_holt_winters(df: DataFrame, series_col: str, time_col: str, value_col: str, m: int = 12, h: int = 6,
-                    min_points: int = 24, fill: str = "zero") -> DataFrame:
+                    min_points: int = 24, fill: str = "zero", tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """Actual, fitted and ``h`` forecast rows per series (kind column), with
-    the smoothing parameters and the root mean squared error they reach. A
-    series shorter than two seasons (or ``min_points``) keeps its actual
+    the fitted smoothing parameters and the root mean squared error they
+    reach, beside that of the search before (never smaller). A series shorter than two seasons (or ``min_points``) keeps its actual
     rows and has one more row of kind ``insufficient_history``."""
     s = monthly_series(df, series_col, time_col, value_col, fill)
     rows = s.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("period_month", "value"))).alias("r"))
@@ -110,6 +140,7 @@ def ts_holt_winters(df: DataFrame, series_col: str, time_col: str, value_col: st
     fit = fit.withColumn("best", _best(y, start, _literal(GRID)))
     for step in STEPS:
         fit = fit.withColumn("best", _best(y, start, _around(F.col("best"), step)))
+    fit = fit.withColumn("search_sse", F.col("best.e")).withColumn("best", _compass(y, start, F.col("best"), tolerance, rounds))
     best = F.col("best")
     fit = fit.withColumn("end", _fold(y, start, best["a"], best["b"], best["g"], True))
     last = F.element_at("at", -1)
@@ -118,11 +149,12 @@ def ts_holt_winters(df: DataFrame, series_col: str, time_col: str, value_col: st
         (F.col("end.l") + k * F.col("end.t") + F.element_at(F.col("end.s"), (k - 1) % m + 1)).alias("value")))
     pairs = lambda values, kind: F.transform(F.arrays_zip(F.col("at").alias("at"), values.alias("v")), lambda z: F.struct(
         z["at"].alias("at"), F.lit(kind).alias("kind"), z["v"].alias("value")))
-    names = ["series_id", "period_month", "kind", "value", "alpha", "beta", "gamma", "rmse"]
-    fitted = fit.select("series_id", F.explode(F.concat(pairs(y, "actual"), pairs(F.col("end.f"), "fitted"), ahead)).alias("x"), "best", F.size("y").alias("n"))
-    fitted = fitted.select("series_id", "x.at", "x.kind", F.round("x.value", DIGITS), *[F.round(best[k], DIGITS) for k in "abg"], F.round(F.sqrt(best["e"] / F.col("n")), DIGITS))
+    names = ["series_id", "period_month", "kind", "value", "alpha", "beta", "gamma", "rmse", "search_rmse"]
+    fitted = fit.select("series_id", F.explode(F.concat(pairs(y, "actual"), pairs(F.col("end.f"), "fitted"), ahead)).alias("x"), "best", "search_sse", F.size("y").alias("n"))
+    fitted = fitted.select("series_id", "x.at", "x.kind", F.round("x.value", DIGITS), *[F.round(best[k], DIGITS) for k in "abg"], F.round(F.sqrt(best["e"] / F.col("n")), DIGITS),
+                           F.round(F.sqrt(F.col("search_sse") / F.col("n")), DIGITS))
     none = F.lit(None).cast("double")
     short = rows.filter(~enough).select("series_id", F.explode(F.concat(pairs(y, "actual"), F.array(F.struct(
         last.alias("at"), F.lit("insufficient_history").alias("kind"), none.alias("value"))))).alias("x"))
-    short = short.select("series_id", "x.at", "x.kind", F.round("x.value", DIGITS), none, none, none, none)
+    short = short.select("series_id", "x.at", "x.kind", F.round("x.value", DIGITS), *[none] * 5)
     return fitted.toDF(*names).unionByName(short.toDF(*names))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import money, ratio
-from tillroll.functions.ranking import global_row_number
+from tillroll.functions.selection import cut, order_code, share_rank
 from tillroll.functions.windows import grand_total
 
 
@@ -41,20 +41,28 @@ def guest_cohorts(guests: DataFrame) -> DataFrame:
 
 
 def guest_pareto(guests: DataFrame, share: float = 0.20) -> DataFrame:
-    """Top ``share`` of guests by lifetime value vs the rest. Ranks come from
-    a distributed global row number (ties broken by guest id); the cut is
-    ROUND(n * share) computed exactly in decimal."""
-    base = guests.select("guest_id", "lifetime_value")
-    ranked = global_row_number(base, [F.desc("lifetime_value"), F.asc("guest_id")], "rk")
-    # totals read the checkpointed ranking, not the guest table again
-    n = ranked.agg(F.count(F.lit(1))).scalar()
-    cut = F.round(n * F.lit(Decimal(str(share))))
+    """Top ``share`` of guests by lifetime value vs the rest. The value at
+    rank ROUND(n * share) is found by digit histograms over (value, count)
+    (``functions.selection``): no sort, no checkpoint, and no job before the
+    result is asked for. Guests tied at the cut have equal values, so the
+    sums do not depend on who of them is in; ``selection.split_top`` names
+    them."""
+    code = order_code(guests, "lifetime_value")
+    counted = (guests.groupBy("lifetime_value").agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("s", (F.col("lifetime_value") * F.col("n")).cast("decimal(38,4)")))
+    scale = getattr(guests.schema["lifetime_value"].dataType, "scale", 0)
+    at = cut(counted, code, share_rank(share))
+    value = (F.col("_cut").cast("decimal(38,0)") / F.lit(Decimal(10) ** scale)).cast("decimal(38,4)")
+    top = F.coalesce(F.col("s_above") + F.when(F.col("take") > 0, F.coalesce(value * F.col("take"), F.lit(0))).otherwise(0),
+                     F.when(F.col("take") > 0, value * F.col("take"))).cast("decimal(38,4)")
     pct = int(round(share * 100))
-    seg = F.when(F.col("rk") <= cut, F.lit(f"Top {pct}% of guests")).otherwise(F.lit(f"Bottom {100 - pct}% of guests"))
-    a = ranked.groupBy(seg.alias("segment")).agg(F.count(F.lit(1)).alias("guests"), F.sum("lifetime_value").alias("_ltv"))
-    total = ranked.agg(F.sum("lifetime_value")).scalar()
-    return a.select("segment", "guests", money("_ltv").alias("revenue"),
-                    ratio("_ltv", total, 1, 100).alias("revenue_share_pct"))
+    # a segment without any known value has no revenue
+    rest = F.when(F.col("n_known") > F.col("want"), F.col("s_total") - F.coalesce(top, F.lit(0)))
+    sides = F.array(F.struct(F.lit(f"Top {pct}% of guests").alias("segment"), F.col("want").alias("guests"), top.alias("_ltv")),
+                    F.struct(F.lit(f"Bottom {100 - pct}% of guests").alias("segment"), (F.col("n_total") - F.col("want")).alias("guests"),
+                             rest.cast("decimal(38,4)").alias("_ltv")))
+    a = at.select("s_total", F.explode(sides).alias("g")).filter("g.guests > 0")
+    return a.select("g.segment", "g.guests", money("g._ltv").alias("revenue"), ratio("g._ltv", "s_total", 1, 100).alias("revenue_share_pct"))
 
 
 def guest_segment_ratio(guests: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """HR staging layer (H1-H4): trim, safe casts, derived flags.
 
-Landing tables hold strings; every conversion is a ``try_*`` so one bad
-value becomes NULL instead of failing the job under ANSI mode. The as-of
+Landing tables hold strings (ids, counts and scores typed or as text);
+every conversion is a ``try_*`` so one bad value becomes NULL instead of
+failing the job under ANSI mode. The as-of
 date is a parameter, never the system clock.
 """
 
@@ -19,10 +20,18 @@ def _date(c: str):
     return F.try_to_date(F.col(c))
 
 
+def _whole(c: str, kind: str = "int"):
+    return F.col(c).try_cast(kind).alias(c)
+
+
+def _id():
+    return _whole("employee_id", "bigint")
+
+
 def stg_employees(raw: DataFrame, as_of: str | dt.date) -> DataFrame:
     hire, term = _date("hire_date"), _date("termination_date")
     return raw.select(
-        "employee_id", F.trim("name").alias("name"), F.trim("role").alias("role"),
+        _id(), F.trim("name").alias("name"), F.trim("role").alias("role"),
         F.trim("department").alias("department"), hire.alias("hire_date"), term.alias("termination_date"),
         F.trim("termination_type").alias("termination_type"),
         F.round(F.col("hourly_rate").try_cast("decimal(18,4)"), 2).cast("double").alias("hourly_rate"),
@@ -37,7 +46,7 @@ def stg_exits(raw: DataFrame) -> DataFrame:
     d = _date("exit_date")
     manager = F.col("manager_id") if "manager_id" in raw.columns else F.lit(None).cast("string")  # NULL in exports without it
     return raw.select(
-        "employee_id", d.alias("exit_date"), F.trim("exit_reason").alias("exit_reason"),
+        _id(), d.alias("exit_date"), F.trim("exit_reason").alias("exit_reason"),
         F.col("exit_survey_score").try_cast("int").alias("exit_survey_score"),
         F.trim("eligible_for_rehire").alias("eligible_for_rehire"),
         manager.try_cast("decimal(38,2)").try_cast("bigint").alias("manager_id"),
@@ -50,10 +59,10 @@ def stg_exits(raw: DataFrame) -> DataFrame:
 def stg_attendance(raw: DataFrame, overtime_flag_hours: int = 15) -> DataFrame:
     m = _date("month")
     return raw.select(
-        "employee_id", m.alias("month"), F.year(m).alias("year"), F.month(m).alias("month_num"),
-        "days_worked", "days_absent", "overtime_hours", "late_arrivals",
-        ratio("days_absent", F.col("days_worked") + F.col("days_absent"), 4).alias("absence_rate"),
-        F.when(F.col("overtime_hours") >= overtime_flag_hours, 1).otherwise(0).cast("int").alias("high_overtime_flag"),
+        _id(), m.alias("month"), F.year(m).alias("year"), F.month(m).alias("month_num"),
+        *[_whole(c) for c in ("days_worked", "days_absent", "overtime_hours", "late_arrivals")],
+        ratio(_whole("days_absent"), _whole("days_worked") + _whole("days_absent"), 4).alias("absence_rate"),
+        F.when(_whole("overtime_hours") >= overtime_flag_hours, 1).otherwise(0).cast("int").alias("high_overtime_flag"),
     )
 
 
@@ -64,7 +73,7 @@ def stg_reviews(raw: DataFrame) -> DataFrame:
     review_date = (F.when(p.ilike("%-H1"), F.try_to_date(F.concat(year4, F.lit("-06-30"))))
                    .when(p.ilike("%-H2"), F.try_to_date(F.concat(year4, F.lit("-12-31")))))
     return raw.select(
-        "employee_id", F.trim(p).alias("review_period"), F.col("score").try_cast("double").alias("score"),
+        _id(), F.trim(p).alias("review_period"), F.col("score").try_cast("double").alias("score"),
         F.trim("manager_notes_tag").alias("manager_notes_tag"),
         F.when(F.upper("promoted") == "TRUE", 1).otherwise(0).cast("int").alias("promoted"),
         review_date.alias("review_date"), F.left(p, F.lit(4)).try_cast("int").alias("review_year"),

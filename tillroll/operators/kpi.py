@@ -18,8 +18,8 @@ def _per_service(sales: DataFrame, fanout: bool = False) -> DataFrame:
     revenue split, from one scan. Guests count each reservation's party once,
     or once per sales line with ``fanout`` (the reference's SUM over lines)."""
     if fanout:
-        a = checks_and_seatings(sales, ["date", "service"], {"total_guests": F.sum("party_size")})
-        return a.withColumn("total_guests", F.col("total_guests").cast("bigint"))
+        a = checks_and_seatings(sales, ["date", "service"], ("_party_lines",))
+        return a.withColumn("total_guests", F.col("_party_lines").cast("bigint"))
     return checks_and_seatings(sales, ["date", "service"], guests=True)
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import fix, money, ratio
 from tillroll.functions.windows import grand_total
-from tillroll.operators._sales import alcohol_rev, food_rev
+from tillroll.operators._sales import measures
 
 
-def _weighted(attr: str, n: str = "_n"):
+def _weighted(attr: str, n: str = "_lines"):
     """(sum of attr over lines, count of lines with attr) after a left join."""
     has = F.col(attr).isNotNull()
     return (F.when(has, F.col(attr) * F.col(n)).alias(f"_s_{attr}"),
@@ -28,12 +28,12 @@ def menu_category_margin(sales: DataFrame, menu: DataFrame) -> DataFrame:
     """Revenue, units, average COGS %, estimated gross profit and share of
     total by (category, alcohol flag); dim joined on (item, category)."""
     pre = sales.groupBy("item", "category", "is_alcohol").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("qty").alias("_units"), F.sum("line_total").alias("_rev"))
+        *measures(sales, "_lines", "_qty", "_rev"))
     j = pre.join(menu.select("item", "category", "cogs_pct"), ["item", "category"], "left")
     s, c = _weighted("cogs_pct")
-    a = (j.select("category", "is_alcohol", "_n", "_units", "_rev", s, c)
+    a = (j.select("category", "is_alcohol", "_lines", "_qty", "_rev", s, c)
          .groupBy("category", "is_alcohol")
-         .agg(F.sum("_n").alias("line_items"), F.sum("_units").alias("units_sold"), F.sum("_rev").alias("_rev"),
+         .agg(F.sum("_lines").alias("line_items"), F.sum("_qty").alias("units_sold"), F.sum("_rev").alias("_rev"),
               F.sum("_s_cogs_pct").alias("_sc"), F.sum("_c_cogs_pct").alias("_cc")))
     avg_cogs = F.try_divide(F.col("_sc").cast("double"), F.col("_cc").cast("double"))
     total = grand_total(a, "_rev")
@@ -50,14 +50,13 @@ def _item_stats(sales: DataFrame, menu: DataFrame) -> DataFrame:
     have one row per item when they meet; an item that the dim holds k times
     counts k times, as in a line-level join."""
     pre = sales.groupBy("category", "item").agg(
-        F.count(F.lit(1)).alias("_lines"), F.sum("line_total").alias("_rev"),
-        F.sum("unit_price").alias("_sp"), F.count("unit_price").alias("_cp"))
+        *measures(sales, "_lines", "_rev", "_up", "_upn"))
     dim = menu.groupBy("item").agg(F.count(F.lit(1)).alias("_k"), F.sum("gross_margin_pct").alias("_s"),
                                    F.count("gross_margin_pct").alias("_c"))
     k = F.coalesce("_k", F.lit(1))
     return pre.join(dim, "item", "left").select(
         "category", "item", "_lines", (F.col("_lines") * k).alias("_n"), (F.col("_rev") * k).alias("_rev"),
-        (F.col("_sp") * k).alias("_sp"), (F.col("_cp") * k).alias("_cp"),
+        (F.col("_up") * k).alias("_up"), (F.col("_upn") * k).alias("_upn"),
         (F.col("_s") * F.col("_lines")).alias("_s_gross_margin_pct"), (F.col("_c") * F.col("_lines")).alias("_c_gross_margin_pct"))
 
 
@@ -66,7 +65,7 @@ def menu_top_items(sales: DataFrame, menu: DataFrame, k: int = 15) -> DataFrame:
     avg_gm = F.try_divide(F.col("_s_gross_margin_pct").cast("double"), F.col("_c_gross_margin_pct").cast("double"))
     out = st.select(
         "category", "item", F.col("_n").alias("times_ordered"), money("_rev").alias("revenue"),
-        ratio("_sp", "_cp", 2).alias("avg_selling_price"),
+        ratio("_up", "_upn", 2).alias("avg_selling_price"),
         ratio("_s_gross_margin_pct", "_c_gross_margin_pct", 1).alias("gross_margin_pct"),
         fix(F.col("_rev").cast("double") * avg_gm / F.lit(100.0), 2).alias("est_profit_contribution"))
     return out.orderBy(F.desc("revenue"), "category", "item").limit(k)
@@ -88,7 +87,7 @@ def menu_worst_items(sales: DataFrame, menu: DataFrame, k: int = 10) -> DataFram
 
 def menu_alcohol_share(sales: DataFrame) -> DataFrame:
     a = sales.groupBy(F.year("date").alias("year")).agg(
-        F.sum(alcohol_rev()).alias("_alc"), F.sum(food_rev()).alias("_food"), F.sum("line_total").alias("_rev"))
+        *measures(sales, "_alc", "_food", "_rev"))
     return a.select("year", ratio("_alc", "_rev", 1, 100).alias("alcohol_pct"),
                     ratio("_food", "_rev", 1, 100).alias("food_pct")).orderBy("year")
 
@@ -96,9 +95,7 @@ def menu_alcohol_share(sales: DataFrame) -> DataFrame:
 def menu_discounts(sales: DataFrame) -> DataFrame:
     """Discounted lines and revenue lost = list value - net line totals."""
     a = sales.groupBy("category").agg(
-        F.count_if(F.col("discount_pct") > 0).alias("discounted_lines"),
-        F.count(F.lit(1)).alias("total_lines"),
-        F.sum(F.col("unit_price") * F.col("qty")).alias("_list"), F.sum("line_total").alias("_rev"))
-    return a.select("category", "discounted_lines", "total_lines",
-                    ratio("discounted_lines", "total_lines", 1, 100).alias("discount_rate_pct"),
+        *measures(sales, "_cut_lines", "_lines", "_list", "_rev"))
+    return a.select("category", F.col("_cut_lines").alias("discounted_lines"), F.col("_lines").alias("total_lines"),
+                    ratio("_cut_lines", "_lines", 1, 100).alias("discount_rate_pct"),
                     money(F.col("_list") - F.col("_rev")).alias("revenue_lost")).orderBy(F.desc("revenue_lost"))

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.operators._sales import measure, measures
+
 
 def dq_table_profile(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Row count and date range per table: one single-pass aggregate each."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.min(col).alias("earliest"), F.max(col).alias("latest"))
+    parts = [df.agg(measure(df, "_lines").alias("rows"), F.min(col).alias("earliest"), F.max(col).alias("latest"))
              .select(F.lit(name).alias("tbl"), "rows", "earliest", "latest")
              for name, (df, col) in tables.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -30,7 +32,7 @@ def dq_orphan_keys(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str)
 
 
 def dq_price_band(sales: DataFrame, low: float = 0, high: float = 500) -> DataFrame:
-    a = sales.groupBy("category", "item").agg(F.min("unit_price").alias("_lo"), F.max("unit_price").alias("_hi"))
+    a = sales.groupBy("category", "item").agg(*measures(sales, "_lo", "_hi"))
     a = a.filter((F.col("_lo") <= low) | (F.col("_hi") > high))
     return a.select("category", "item", F.col("_lo").cast("double").alias("min_price"),
                     F.col("_hi").cast("double").alias("max_price")).orderBy(F.desc("max_price"), "category", "item")
@@ -38,7 +40,7 @@ def dq_price_band(sales: DataFrame, low: float = 0, high: float = 500) -> DataFr
 
 def dq_frequent_keys(df: DataFrame, key: str = "order_id", threshold: int = 50, limit: int = 20) -> DataFrame:
     """Keys with more than ``threshold`` rows, most frequent first."""
-    a = df.groupBy(key).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > threshold)
+    a = df.groupBy(key).agg(measure(df, "_lines").alias("occurrences")).filter(F.col("occurrences") > threshold)
     return a.orderBy(F.desc("occurrences"), F.asc_nulls_last(key)).limit(limit)
 
 

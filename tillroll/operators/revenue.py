@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.calendar import iso_weekday, weekday_name, year_month
 from tillroll.functions.numeric import money, ratio
-from tillroll.operators._sales import order_grain
+from tillroll.operators._sales import measure, order_grain
 
 
 def _period_summary(sales: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct checks and seatings plus additive sums per period. Lines are
     first collapsed to (keys, order, reservation), map-side; the distinct
     counts then expand rows of that grain, several times fewer than lines."""
-    orders = order_grain(sales, keys, [F.sum(F.col("line_total") * F.col("discount_pct")).alias("_disc")])
+    orders = order_grain(sales, keys, ("_disc",))
     return orders.groupBy(*keys).agg(
         F.countDistinct("order_id").alias("checks"), F.countDistinct("reservation_id").alias("covers"),
         *[F.sum(c).alias(c) for c in ("_rev", "_alc", "_food", "_n", "_disc")])
@@ -90,7 +90,7 @@ def rev_month_yoy(sales: DataFrame) -> DataFrame:
     month, on the monthly aggregate: one pass, at most 12 partitions of a
     few dozen rows."""
     m = (sales.groupBy(F.year("date").alias("year"), F.month("date").alias("month"))
-         .agg(F.sum("line_total").alias("_rev")))
+         .agg(measure(sales, "_rev")))
     w = Window.partitionBy("month").orderBy("year")
     prev = F.when(F.lag("year").over(w) == F.col("year") - 1, F.lag("_rev").over(w))
     return m.select("year", "month", money("_rev").alias("revenue"), money(prev).alias("prev_year_revenue"),

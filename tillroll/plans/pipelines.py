@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import hr_marts, hr_reports, hr_staging, marts, quality
+from tillroll.operators import hr_marts, hr_reports, hr_staging, marts, quality, working
 from tillroll.operators.forecast import ts_holt_winters
 from tillroll.session import shared_dir
 from tillroll.sources import io, schemas
@@ -32,16 +32,27 @@ def run_dir(spark: SparkSession, run_id: str | None = None) -> str:
 
 
 def build_restaurant_marts(spark: SparkSession, sales: DataFrame, out: str) -> dict[str, str]:
-    """Write the five restaurant marts; returns name -> path."""
+    """Write the five restaurant marts; returns name -> path. One scan of
+    the sales: the cube of all marts is written once, split by mart, and
+    each mart is published from its part."""
+    at = f"{out}/cube"
+    io.write_mart(marts.mart_cube(sales), at, ["mart"])
+    cube = spark.read.parquet(at)
     paths = {}
-    for name, fn in marts.MARTS.items():
-        p = f"{out}/marts/{name}"
-        io.write_mart(fn(sales), p, RESTAURANT_PARTITIONS.get(name))
-        io.register_view(io.read_mart(spark, p), name)
-        paths[name] = p
+    for name in marts.MARTS:
+        paths[name] = io.publish_mart(marts.mart_of(cube, name), f"{out}/marts/{name}", RESTAURANT_PARTITIONS.get(name))
+        io.register_view(io.read_mart(spark, paths[name]), name)
     return paths
 
 
+def build_working(spark: SparkSession, sales: DataFrame, out: str, category: str = "Dolci") -> dict[str, DataFrame]:
+    """Order-grain and item-grain working tables of the sales, written once
+    by one scan; returns them and ``both``."""
+    at = io.publish_mart(working.working_tables(sales, category), f"{out}/marts/sales_working", ["grain"])
+    both = spark.read.parquet(at)
+    return {"both": both, "orders": working.orders_of(both), "items": working.items_of(both)}
+
+
 def read_marts(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
     return {name: io.read_mart(spark, p) for name, p in paths.items()}
 
@@ -91,10 +102,8 @@ def build_hr_marts(spark: SparkSession, raw: dict[str, DataFrame], as_of: str |
         built = {k: v for k, v in built.items() if k not in NEED_ATTENDANCE}
     paths = {}
     for name, df in built.items():
-        p = f"{out}/marts/{name}"
-        io.write_mart(df, p)
-        io.register_view(io.read_mart(spark, p), name)  # reports and users read marts by name
-        paths[name] = p
+        paths[name] = io.publish_mart(df, f"{out}/marts/{name}")
+        io.register_view(io.read_mart(spark, paths[name]), name)  # reports and users read marts by name
     return paths
 
 

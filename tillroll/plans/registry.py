@@ -19,4 +19,4 @@ def register(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from tillroll.plans import restaurant_queries, hr_queries, retail_queries  # noqa: F401
+    from tillroll.plans import hr_queries, landing_queries, restaurant_queries, retail_queries  # noqa: F401

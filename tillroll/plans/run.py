@@ -17,7 +17,7 @@ import datetime as dt
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import cost, covers, guests, kpi, marts, menu, quality, retail, revenue, servers
+from tillroll.operators import cost, covers, guests, kpi, marts, menu, quality, retail, revenue, servers, working
 from tillroll.plans import pipelines
 from tillroll.sources import io, schemas
 
@@ -104,26 +104,28 @@ RESTAURANT_SCHEMAS = {
 }
 
 
-def restaurant_reports(t: dict) -> dict:
-    """Every restaurant analysis as a lazy DataFrame over the given tables."""
-    s, r, p, lab, g, m, st = (t[k] for k in ("sales", "reservations", "purchases", "labor", "guests", "menu", "staff"))
+def restaurant_reports(t: dict, w: dict) -> dict:
+    """Every restaurant analysis as a lazy DataFrame: what the sales are
+    asked goes to the coarsest working table (``w``) that can answer it."""
+    r, p, lab, g, m, st = (t[k] for k in ("reservations", "purchases", "labor", "guests", "menu", "staff"))
+    s, i = w["orders"], w["items"]
     daily = kpi.kpi_daily(s, lab, p)
     return {
         "dq_table_profile": quality.dq_table_profile({"sales_transactions": (s, "date"), "reservations": (r, "date"),
                                                       "inventory_purchases": (p, "date"), "labor_hours": (lab, "date")}),
-        "dq_null_counts": quality.dq_null_counts(s, ["order_id", "date", "line_total", "category", "server_id", "is_alcohol"]),
+        "dq_null_counts": working.null_counts(w["both"]),
         "dq_orphan_keys": quality.dq_orphan_keys(s, "server_id", st, "employee_id"),
-        "dq_price_band": quality.dq_price_band(s), "dq_frequent_keys": quality.dq_frequent_keys(s),
+        "dq_price_band": quality.dq_price_band(i), "dq_frequent_keys": quality.dq_frequent_keys(s),
         "rev_annual_pnl": revenue.rev_annual_pnl(s), "rev_monthly_trend": revenue.rev_monthly_trend(s),
         "rev_by_service_share": revenue.rev_by_service_share(s), "rev_by_weekday": revenue.rev_by_weekday(s),
-        "rev_month_yoy": revenue.rev_month_yoy(s),
-        "menu_category_margin": menu.menu_category_margin(s, m), "menu_top_items": menu.menu_top_items(s, m),
-        "menu_worst_items": menu.menu_worst_items(s, m), "menu_alcohol_share": menu.menu_alcohol_share(s),
-        "menu_discounts": menu.menu_discounts(s),
+        "rev_month_yoy": revenue.rev_month_yoy(i),
+        "menu_category_margin": menu.menu_category_margin(i, m), "menu_top_items": menu.menu_top_items(i, m),
+        "menu_worst_items": menu.menu_worst_items(i, m), "menu_alcohol_share": menu.menu_alcohol_share(i),
+        "menu_discounts": menu.menu_discounts(i),
         "covers_capacity": covers.covers_capacity(r), "covers_revenue_per_cover": covers.covers_revenue_per_cover(r, s),
         "covers_by_channel": covers.covers_by_channel(r), "covers_hourly": covers.covers_hourly(s),
         "covers_peak_windows": covers.covers_peak_windows(s),
-        "pnl_monthly": cost.pnl_monthly(s, p, lab), "cost_by_supplier": cost.cost_by_supplier(p),
+        "pnl_monthly": cost.pnl_monthly(i, p, lab), "cost_by_supplier": cost.cost_by_supplier(p),
         "cost_inflation": cost.cost_inflation(p), "labor_by_role": cost.labor_by_role(lab),
         "server_revenue": servers.server_revenue(s, st, r), "server_attach_rate": servers.server_attach_rate(s, st),
         "guest_segments": guests.guest_segments(g), "guest_by_town": guests.guest_by_town(g),
@@ -134,18 +136,21 @@ def restaurant_reports(t: dict) -> dict:
 
 
 def run_restaurant(spark: SparkSession, paths: dict[str, str], out: str | None = None,
-                   ytd_years=None, ytd_cutoff: str | None = None) -> dict[str, str]:
-    """Land the seven restaurant tables, write the five marts, reconcile
-    them, and write every analysis result; returns name -> path."""
+                   ytd_years=None, ytd_cutoff: str | None = None, attach_category: str = "Dolci") -> dict[str, str]:
+    """Land the seven restaurant tables, write the working tables and the
+    five marts, reconcile them, and write every analysis result; returns
+    name -> path. The sales lines are read twice: for the working tables and
+    for the marts."""
     out = out or pipelines.run_dir(spark)
     written: dict[str, str] = {}
     t = {k: land(spark, k, v, RESTAURANT_SCHEMAS[k], out, written) for k, v in paths.items()}
     made = pipelines.build_restaurant_marts(spark, t["sales"], out)
     written |= made
-    reports = restaurant_reports(t)
-    reports["dq_mart_reconcile"] = marts.dq_mart_reconcile(t["sales"], pipelines.read_marts(spark, made))
+    w = pipelines.build_working(spark, t["sales"], out, attach_category)
+    reports = restaurant_reports(t, w)
+    reports["dq_mart_reconcile"] = marts.dq_mart_reconcile(w["orders"], pipelines.read_marts(spark, made))
     if ytd_years:
-        reports["rev_ytd_compare"] = revenue.rev_ytd_compare(t["sales"], ytd_years, ytd_cutoff or "12-31")
+        reports["rev_ytd_compare"] = revenue.rev_ytd_compare(w["orders"], ytd_years, ytd_cutoff or "12-31")
     reports["guest_pareto"] = guests.guest_pareto(t["guests"])
     for name, df in reports.items():
         p = f"{out}/reports/{name}"

@@ -64,6 +64,14 @@ RAW_PERFORMANCE_REVIEWS = _st(
     ("employee_id", _L), ("review_period", _S), ("score", T.DoubleType()), ("promoted", _S),
     ("manager_notes_tag", _S))
 
+
+
+def as_strings(schema: T.StructType) -> T.StructType:
+    """The same columns as delivered text: a landing that rejects no value;
+    staging types them."""
+    return T.StructType([T.StructField(f.name, _S, True) for f in schema.fields])
+
+
 # Retail exports.
 STORE_INVENTORY = _st(
     ("store_id", _S), ("store_name", _S), ("borough", _S), ("owner", _S), ("category", _S), ("product", _S),
