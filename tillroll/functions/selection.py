@@ -27,14 +27,18 @@ _DIGITS = [f"_d{j}" for j in range(len(_SHIFTS))]
 
 
 def order_code(df: DataFrame, col: str) -> Column:
-    """A long that orders like the column: integers as they are, decimals of
-    up to 18 digits by their unscaled value."""
+    """A long that orders like the column: integers as they are, decimals by
+    their unscaled value, which must fit 64 bits."""
     kind = df.schema[col].dataType
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.col(col).cast("long")
-    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
-        return (F.col(col).cast(f"decimal(38,{kind.scale})") * F.lit(Decimal(10) ** kind.scale)).cast("decimal(38,0)").cast("long")
-    raise TypeError(f"{col}: no exact order code for {kind.simpleString()}; cast it to a decimal of at most 18 digits")
+    if isinstance(kind, T.DecimalType):
+        unscaled = (F.col(col).cast(f"decimal(38,{kind.scale})") * F.lit(Decimal(10) ** kind.scale)).cast("decimal(38,0)")
+        if kind.precision <= 18:
+            return unscaled.cast("long")
+        fits = unscaled.isNull() | (F.abs(unscaled) < F.lit(Decimal(1 << 63)))
+        return F.when(fits, unscaled.try_cast("long")).otherwise(F.raise_error(F.lit(f"{col}: a value of more than 64 bits")).cast("long"))
+    raise TypeError(f"{col}: no exact order code for {kind.simpleString()}; cast it to a decimal")
 
 
 def _with_digits(df: DataFrame, code: Column) -> DataFrame:
@@ -59,8 +63,7 @@ def cut(counted: DataFrame, code: Column, rank) -> DataFrame:
     value at the given rank from the top (NULL ranks last); take, how many
     of its rows are among the first; want, the rank; n_total, s_total of all
     rows, n_known of those with a value, n_above, s_above of those above the
-    cut. ``rank`` is a column over the
-    total ``n``."""
+    cut. ``rank`` gives the rank as a column, from the total."""
     base = _with_digits(counted, code)
     picked = None
     for j, digit in enumerate(_DIGITS):

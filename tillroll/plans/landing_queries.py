@@ -68,8 +68,10 @@ def q_src_csv_landing(spark, d):
 SELECT CASE WHEN short THEN array_to_string(f[:4], ',') WHEN long THEN array_to_string(f, ',') || ',extra' ELSE array_to_string(f, ',') END AS line
 FROM written WHERE short OR long OR odd"""))
 def q_src_csv_quarantine(spark, d):
-    """Rows that did not parse, as delivered."""
-    return io.corrupt_rows(io.read_csv(spark, write_employee_export(spark, d), schemas.RAW_EMPLOYEES)).select(F.col(io.CORRUPT).alias("line"))
+    """Rows that did not parse, as delivered, out of the written quarantine."""
+    path = shared_dir(spark, f"quarantine-{uuid.uuid4().hex}")
+    io.write_mart(io.corrupt_rows(io.read_csv(spark, write_employee_export(spark, d), schemas.RAW_EMPLOYEES)), path)
+    return io.read_mart(spark, path).select(F.col(io.CORRUPT).alias("line"))
 
 
 @register("src_landing_counts", _export_sql("""
