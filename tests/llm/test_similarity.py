@@ -217,3 +217,94 @@ def test_all_likeness(small_docs):
 def test_likeness_of_edges(a, b, low, high):
     x, y = fingerprints.fingerprint([a, b])
     assert low <= fingerprints.likeness(x, y) <= high
+
+
+def test_edited_prints_go_on_from_the_cut(small_docs):
+    texts = [t or "" for _, t in small_docs[:50]] + ["", "a", "ab", "abc", "", "x" * 9000, "日本語 é"] + [t or "" for _, t in small_docs[50:60]]
+    own, changed = fingerprints.both_prints(texts)
+    assert own == fingerprints.fingerprint(texts)
+    assert changed == fingerprints.fingerprint([fingerprints.edited(t, f) for t, f in zip(texts, texts[1:], strict=False)])
+
+
+def prints_of(spark, rows):
+    return fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def all_pairs_classes(got, at_least):
+    root = {d: d for d, _ in got}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+    for i, (a, x) in enumerate(got):
+        for b, y in got[:i]:
+            if x == y or fingerprints.likeness(x, y) >= at_least:
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {d: top(d) for d in root}
+
+
+@pytest.mark.parametrize("block", [3, fingerprints.BLOCK])
+def test_classes_against_all_pairs(spark, small_docs, monkeypatch, block):
+    """Recall of the banding: of the pairs that are alike by all pairs at
+    least nine in ten share a class; buckets over BLOCK meet in blocks."""
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rnd = random.Random(2)
+    rows = [(i, t) for i, (_, t) in enumerate(small_docs[:90])]
+    for k in range(12):  # edits of a text each
+        base = rows[5 * k][1] or "empty"
+        rows += [(1000 + 10 * k + j, "".join(rnd.choice("etaoin ") if rnd.random() < 0.004 * j else c for c in base)) for j in range(1, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: (r["class_id"], r["fingerprint"]) for r in fingerprints.classed(df).collect()}
+    want = all_pairs_classes([(d, fp) for d, (_, fp) in found.items()], 0.6)
+    pairs = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+    together = sum(found[a][0] == found[b][0] for a, b in pairs)
+    assert len(pairs) > 30 and together >= 0.9 * len(pairs)
+    assert all(want[a] == want[b] for a in found for b in found if found[a][0] == found[b][0])
+
+
+def test_recall_against_edit_distance(spark):
+    """Texts within one edit in fifty characters of each other, by the true
+    edit distance, fall into one class nine times in ten."""
+    rnd = random.Random(6)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+    rows, near = [], []
+    for k in range(25):
+        text = "".join(chr(rnd.randrange(97, 123)) if rnd.random() < 0.8 else " " for _ in range(400))
+        other = list(text)
+        for _ in range(rnd.randint(1, 4)):
+            at = rnd.randrange(len(other))
+            kind = rnd.randrange(3)
+            other[at:at + (kind != 0)] = [] if kind == 1 else [chr(rnd.randrange(97, 123))]
+        rows += [(2 * k, text), (2 * k + 1, "".join(other))]
+        if distance(text, "".join(other)) <= 8:
+            near.append(k)
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.classed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 25 and sum(got[2 * k] == got[2 * k + 1] for k in near) >= 0.9 * len(near)
+    assert all(got[a] // 2 == a // 2 for a in got)
+
+
+def test_two_texts_under_one_id_keep_both_links(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b, c = words[:60], words[100:160], words[200:260]
+    rows = [(4, " ".join(a)), (4, " ".join(b)), (4, " ".join(b)), (10, " ".join([*b[:58], "x"])), (11, " ".join([*a[:58], "y"])),
+            (12, " ".join(b)), (3, " ".join(c)), (4, " ".join(c)), (20, " ".join(words[300:350]))]
+    for shuffled in (rows, rows[::-1]):
+        df = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(3)
+        got = sorted((tuple(r) for r in ngram_join.ngram_components(df).collect()), key=str)
+        assert {(d, k) for d, _, k in got} == {(4, 3), (10, 3), (11, 3), (12, 3), (3, 3), (20, 20)}
+
+
+def test_sizes_as_spark_spells_them(spark, odd_docs):
+    from tillroll.llm import common
+    assert [common.byte_size(x) for x in ("8388608", "64MB", "8m", " 2 k", "1g", "7b", "3KiB")] == [8388608, 64 << 20, 8 << 20, 2048, 1 << 30, 7, 3072]
+    with common.setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "64MB"):
+        common.with_package(odd_docs)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,33 +27,40 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return session.shared_dir(spark, f"{what}-{uuid.uuid4().hex}")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    so that a lost executor costs a reread and not a recomputation."""
+    so that a lost executor costs a reread and not a recomputation. Spark
+    removes the shuffle files of the write when it has ended."""
     path = fresh_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def freed(spark: SparkSession, wait: float = 0) -> None:
-    """Let Spark's cleaner free shuffles and broadcasts out of use: it learns
-    from the garbage collector which are. The gateway tells the JVM in a
-    thread of its own what Python has let go; ``wait`` gives it time."""
-    gc.collect()
-    time.sleep(wait)
-    spark._jvm.System.gc()
-
-
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that no later step reads, and free
-    the shuffles and broadcasts that led to them."""
+    """Delete tables made by ``written`` that no later step reads."""
     for df in tables:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        freed(tables[0].sparkSession)
 
 
 def remainder(id_col: str, parts: int):
@@ -73,11 +80,17 @@ def with_package(df: DataFrame) -> DataFrame:
     in batches that bound their memory, however long the texts are."""
     spark = df.sparkSession
     session.ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+    if byte_size(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > ARROW_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df
 
 
+def byte_size(text: str) -> int:
+    """Bytes of a size as Spark's settings spell it: 8388608, 8m, 64MB, 1g."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", str(text).lower()).groups()
+    return int(number) << (10 * " kmgtp".index(unit or " "))
+
+
 def renamed(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, under the given new names: ``renamed(df,
     _id="doc_id")``. Extra columns of the input, whatever their names,

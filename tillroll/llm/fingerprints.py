@@ -17,16 +17,18 @@ therefore has ``WALKS`` independent walks, and the best pair counts.
 ``similar`` finds near documents from fingerprints: bands of sampled symbols
 make buckets, and no place past a text's end takes part in one. Each row of a
 bucket is first verified (by the sampled Hamming likeness) against the
-bucket's smallest id; in buckets whose members are then not all connected,
-every two that are not connected are verified too, in blocks of ``BLOCK``
-rows that meet block by block. So any two near documents that share a bucket
+bucket's smallest id, then, while its members are not all connected, those
+of other classes against another leader, ``LEADERS`` times in all. In buckets
+that are open even then every two members of different classes are verified
+too, in blocks of ``BLOCK`` rows that meet block by block. So any two near documents that share a bucket
 are linked, directly or over other links, and ``classed`` derives a class id.
 
 Scale: one range-partitioned shuffle of the texts in descending id order, in
 as many ranges as shuffle partitions; the first document of each range also
 goes to the range before it, so each document meets its successor in a
-stream, a slice of texts in memory at a time. Walks are vectorised over the
-texts of a slice. Only range bounds reach the driver. Bands travel as two
+stream, a slice of texts in memory at a time. Walks
+are vectorised over the texts of a slice, and an edited text's walks go on
+where its own reached the edit. Only range bounds reach the driver. Bands travel as two
 numbers each; fingerprints only join those that share a bucket. A bucket of n
 unlike texts costs n^2 / 2 comparisons, dealt by block.
 
@@ -43,17 +45,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import freed, partitions, renamed, with_package, written
+from tillroll.llm.common import partitions, renamed, with_package, written
 from tillroll.llm.components import components
 
 SAMPLES = 128
 WALKS = 3
 PERIOD, CLASSES = 8192, 64  # the shared random bits repeat after PERIOD steps; characters fall into CLASSES
-SLICE = 1_500_000           # characters of a slice of the stream
-BLOCK = 512                 # rows of a bucket that meet in one place
+SLICE = 3_000_000           # characters of a slice of the stream
+CHUNK, FEW = 256, 40        # steps of a block of characters; so few walks go on one by one
+BLOCK = 2048                # rows of a bucket that meet in one place
+LEADERS = 3                 # rounds of leaders before the rest of a bucket meets
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,58 +88,116 @@ def positions(level: int) -> np.ndarray:
     return np.concatenate(found).astype(np.int64)
 
 
+@functools.lru_cache(1)
+def _advance() -> np.ndarray:
+    """Steps from one character to the next, for walk, class and step."""
+    return np.concatenate([1 + _stays(w).astype(np.int64) for w in range(WALKS)])
+
+
 def _classes(flat: np.ndarray, walk: int) -> np.ndarray:
     return (_mix(flat * MIX + np.uint64(walk)) >> np.uint64(58)).astype(np.int32)
 
 
-def _walks(classes: np.ndarray, start: np.ndarray, length: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
-    """The step at which each walk reaches each character, and all steps of
-    each walk. Texts advance together, longest first; the last few finish
-    one by one."""
-    stays, steps = _stays(walk), np.zeros(len(classes), np.int64)
-    end = np.zeros(len(start), np.int64)
+def _cells(flat: np.ndarray, walk: int) -> np.ndarray:
+    """Row of ``_advance`` for each character."""
+    return (_classes(flat, walk) + np.int32(walk * CLASSES)) * np.int32(PERIOD)
+
+
+def _walks(flat: np.ndarray, start: np.ndarray, length: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step at which each walk reaches each character [walk, place], and
+    all steps of each walk [walk, text]; ``begin`` holds the first steps. All
+    walks of all texts advance together, longest texts first, over blocks of
+    characters laid out by step; the last few finish one by one."""
+    n = len(start)
+    cells = np.stack([_cells(flat, w) for w in range(WALKS)])
+    steps = np.zeros(cells.shape, np.int64)
     order = np.argsort(-length, kind="stable")
-    at, size, j = start[order].copy(), length[order], np.zeros(len(order), np.int64)
+    text, walk = np.repeat(order, WALKS), np.tile(np.arange(WALKS), n)
+    at, size, j = walk * len(flat) + start[text], length[text], begin[walk, text].astype(np.int64)
+    advance, mask = _advance(), PERIOD - 1
+    cells, reached = cells.reshape(-1), steps.reshape(-1)
     active, i = int(np.searchsorted(-size, 0)), 0
-    while active > 40:
-        p = at[:active] + i
-        steps[p] = j[:active]
-        j[:active] += 1 + stays[(classes[p] << 13) | (j[:active] & (PERIOD - 1))]
-        i += 1
-        while active and size[active - 1] <= i:
-            active -= 1
-    if active:
-        table = stays.tobytes()
-        for t in range(active):
-            now, a, n = int(j[t]), int(at[t]), int(size[t])
-            out = []
-            for c in classes[a + i:a + n].tolist():
-                out.append(now)
-                now += 1 + table[c << 13 | now & 8191]
-            steps[a + i:a + n] = out
-            j[t] = now
-    end[order] = j
+    while active > FEW:
+        width = int(min(CHUNK, size[active - 1] - i))
+        places = at[:active] + (i + np.arange(width))[:, None]
+        block = cells[places].astype(np.int64)
+        seen = np.empty((width, active), np.int64)
+        now, cell, more = j[:active], np.empty(active, np.int64), np.empty(active, np.int64)
+        for k in range(width):
+            seen[k] = now
+            np.bitwise_and(now, mask, out=cell)
+            np.bitwise_or(cell, block[k], out=cell)
+            np.take(advance, cell, out=more, mode="clip")
+            np.add(now, more, out=now)
+        reached[places] = seen
+        i += width
+        active = int(np.searchsorted(-size, -i))
+    table = advance.tolist() if active else []
+    for r in range(active):
+        now, a, e = int(j[r]), int(at[r]) + i, int(at[r] + size[r])
+        out = []
+        for c in cells[a:e].tolist():
+            out.append(now)
+            now += table[c | now & mask]
+        reached[a:e] = out
+        j[r] = now
+    end = np.empty((WALKS, n), np.int64)
+    end[walk, text] = j
     return steps, end
 
 
+def _print(flat: np.ndarray, steps: list[np.ndarray], end: list[int]) -> str:
+    """``level:symbols`` of each walk of a text, given its characters, the
+    step that reaches each, and all steps."""
+    out, n = [], len(flat)
+    for reached, e in zip(steps, end, strict=True):
+        level = max(0, (e - 1).bit_length())
+        sampled = positions(level)
+        at = np.searchsorted(reached, sampled[:np.searchsorted(sampled, e)], "right") - 1
+        three = (flat[at] * np.uint64(0x100000001B3) + flat[np.minimum(at + 1, n - 1)] * np.uint64(0x10001) + flat[np.minimum(at + 2, n - 1)]) if n else flat[:0]
+        out.append(f"{level}:{(_mix(three * MIX) >> np.uint64(56)).astype(np.uint8).tobytes().hex()}")
+    return "-".join(out)
+
+
+class Walked:
+    """Walks over a list of texts, each from its own first steps (0)."""
+
+    def __init__(self, texts: list[str], begin: np.ndarray | None = None):
+        raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+        self.length = np.array([len(x) for x in raw], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.length)))[:-1].astype(np.int64)
+        self.flat = np.concatenate(raw).astype(np.uint64) if raw else np.zeros(0, np.uint64)
+        self.steps, self.end = _walks(self.flat, self.start, self.length, np.zeros((WALKS, len(texts)), np.int64) if begin is None else begin)
+
+    def text(self, t: int) -> tuple[np.ndarray, list[np.ndarray], list[int]]:
+        a, e = int(self.start[t]), int(self.start[t] + self.length[t])
+        return self.flat[a:e], [s[a:e] for s in self.steps], self.end[:, t].tolist()
+
+    def state(self, t: int, n: int) -> np.ndarray:
+        """The step of each walk at which it would read character n."""
+        return self.end[:, t] if n == self.length[t] else self.steps[:, self.start[t] + n]
+
+
 def fingerprint(texts: list[str]) -> list[str]:
     """``level:symbols`` of each walk, joined by ``-``, of whole texts; two
     hexadecimal digits a symbol."""
-    raw = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
-    length = np.array([len(x) for x in raw], np.int64)
-    start = np.concatenate(([0], np.cumsum(length)))[:-1]
-    flat = np.concatenate(raw).astype(np.uint64) if raw else np.zeros(0, np.uint64)
-    out: list[list[str]] = [[] for _ in texts]
-    for walk in range(WALKS):
-        steps, end = _walks(_classes(flat, walk), start, length, walk)
-        for mine, a, n, e in zip(out, start.tolist(), length.tolist(), end.tolist(), strict=True):
-            level = max(0, (e - 1).bit_length())
-            sampled = positions(level)
-            at = a + np.searchsorted(steps[a:a + n], sampled[:np.searchsorted(sampled, e)], "right") - 1
-            last = a + n - 1
-            three = (flat[at] * np.uint64(0x100000001B3) + flat[np.minimum(at + 1, last)] * np.uint64(0x10001) + flat[np.minimum(at + 2, last)]) if n else flat[:0]
-            mine.append(f"{level}:{(_mix(three * MIX) >> np.uint64(56)).astype(np.uint8).tobytes().hex()}")
-    return ["-".join(x) for x in out]
+    walked = Walked(texts)
+    return [_print(*walked.text(t)) for t in range(len(texts))]
+
+
+def both_prints(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Fingerprints of all texts, and of all but the last as edited by the
+    next one. An edited text begins as its own does, so its walks go on from
+    there over the new third only."""
+    own = Walked(texts)
+    cut = [int(n - n // 3) for n in own.length[:-1]]
+    begin = np.array([own.state(t, n) for t, n in enumerate(cut)], np.int64).reshape(len(cut), WALKS).T
+    tails = Walked([f[:len(t) // 3] for t, f in zip(texts, texts[1:], strict=False)], begin)
+    changed = []
+    for t, n in enumerate(cut):
+        (flat, steps, _), (more, after, end) = own.text(t), tails.text(t)
+        changed.append(_print(np.concatenate((flat[:n], more)), [np.concatenate((x[:n], y)) for x, y in zip(steps, after, strict=True)], end))
+    return [_print(*own.text(t)) for t in range(len(texts))], changed
 
 
 @functools.lru_cache(256)
@@ -177,8 +239,7 @@ def _stream():
     def emit(rows):  # rows: documents with their successors, in order; all but the last are new
         own = [t for _, t in rows]
         changed = [edited(t, f) for t, f in zip(own, own[1:], strict=False)]
-        prints = fingerprint(own + changed)
-        own_p, changed_p = prints[:len(own)], prints[len(own):]
+        own_p, changed_p = both_prints(own)
         cols = [[d for d, _ in rows[:-1]], [len(t) for t in own[:-1]],
                 [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], own_p[:-1], changed_p,
                 [likeness(x, y) for x, y in zip(own_p, changed_p, strict=False)],
@@ -228,23 +289,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # ranges in descending order of id: 0 holds the largest, NULL ids are in the last
     placed = source.withColumn("k", F.when(F.col("doc_id").isNull(), F.lit(len(bounds)))
                                .otherwise(F.lit(len(bounds)) - _range_number(bounds)))
-    first = dict(placed.groupBy("k").agg(F.max("doc_id").alias("d")).collect())  # one row a range
-    if not first:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                                     "edited_fingerprint string, near_edited double, near_next double")
-    ranges = sorted(first)
-    before = {k: ranges[i - 1] for i, k in enumerate(ranges)}  # the first range follows the last
-    heads = F.lit(None).cast("int")
-    for k, d in first.items():
-        mine = F.col("k") == k
-        mine = mine & (F.col("doc_id") == d if d is not None else F.lit(True))
-        heads = F.when(mine, F.lit(before[k])).otherwise(heads)
+    # the first document of a range also goes to the range before it; the first range follows the last
+    last = placed.select("k").distinct().withColumn("before", F.lag("k").over(Window.orderBy("k"))).withColumn(
+        "before", F.coalesce("before", F.max("k").over(Window.partitionBy())))  # one row a range
+    heads = placed.groupBy("k").agg(F.max("doc_id").alias("head")).join(last, "k")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head"))
     copies = F.array_compact(F.array(F.struct(F.col("k").alias("k"), F.lit(False).alias("extra")),
-                                     F.when(heads.isNotNull(), F.struct(heads.alias("k"), F.lit(True).alias("extra")))))
-    dealt = placed.select("doc_id", "text", F.explode(copies).alias("to")).select("to.k", "to.extra", "doc_id", "text")
+                                     F.when(is_head, F.struct(F.col("before").alias("k"), F.lit(True).alias("extra")))))
+    dealt = placed.join(F.broadcast(heads), "k").select("doc_id", "text", F.explode(copies).alias("to")).select("to.k", "to.extra", "doc_id", "text")
     ordered = dealt.repartitionByRange(n, "k").sortWithinPartitions("k", "extra", F.col("doc_id").desc_nulls_last(), "text")
-    return ordered.mapInArrow(_stream(), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-                                                   "edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(
+        _stream(), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 @functools.lru_cache(256)
@@ -379,27 +434,44 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> DataFr
     n = partitions(classes.sparkSession)
     members = written(classes.select("k", "fp").mapInArrow(_band_keys(bands, rows), "k long, key long")
                       .repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "k long, key long"), "op7-members")
-    freed(classes.sparkSession, 3)
     members = members.join(classes.select("k", "id"), "k")
     fps = classes.select("k", "fp")
     heads = members.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("head"))
     pairs = members.join(heads, "key").select(F.col("head.k").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct()
     sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
              .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
-    stars = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
-    of = written(components(stars, "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c")), "op7-of")
+    links = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
+    of = components(links, "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c"))
     members = members.join(of, "k", "left").select("key", "k", "id", F.coalesce("c", "k").alias("c"))
-    # buckets not yet connected; of those with the same members one
-    open_ = (members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"),
-                                        F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same")).filter("low <> high")
-             .groupBy("n", "same").agg(F.min("key").alias("key")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = members.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    for turn in range(1, LEADERS):
+        # another leader of each bucket that is not yet connected, met by the members of other classes
+        members = written(_open(members), f"op7-open-{turn}")
+        leader = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "c")).alias("l")).select("key", "l.k", "l.c").toDF("key", "a", "ca")
+        pairs = members.join(leader, "key").filter("c <> ca").select("a", F.col("k").alias("b"), "ca", F.col("c").alias("cb")).dropDuplicates(["a", "b"])
+        sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
+                 .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
+        found = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
+        links = links.unionByName(found)
+        merged = components(found.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb")
+        members = (members.join(merged.select(F.col("id").alias("c"), "component"), "c", "left")
+                   .select("key", "k", "id", F.coalesce("component", "c").alias("c")))
+    members = _open(members)
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = (mine.select("key", "k", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
              .join(fps, "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
     more = (dealt.select("key", "i", "j", "k", "id", "c", "block", "fp").groupBy("key", "i", "j")
             .applyInArrow(_blocks_meet(at_least), LINKS).dropDuplicates(["a", "b"]))
-    return stars.unionByName(written(more, "op7-more"))
+    return links.unionByName(written(more, "op7-more"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members (key, k, id, c) of the buckets that hold several classes; of
+    buckets with the same members one."""
+    keys = (members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"),
+                                       F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same")).filter("low <> high")
+            .groupBy("n", "same").agg(F.min("key").alias("key")).select("key"))
+    return members.join(keys, "key")
 
 
 def similar(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", bands: int = 16, rows: int = 4,
@@ -423,11 +495,9 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     documents that links of ``similar`` and equal fingerprints connect (NULL
     if none of them has an id)."""
     prints = written(fingerprints(docs, id_col, text_col), "op7-prints")
-    freed(prints.sparkSession, 3)  # the shuffle of the texts
     classes = (prints.groupBy(F.xxhash64("fingerprint").alias("k"))
                .agg(F.first("fingerprint").alias("fp"), F.min("doc_id").alias("id"), F.count("*").alias("n")))
     classes = written(classes, "op7-classes")
-    freed(prints.sparkSession, 3)
     of = components(_links(classes, bands, rows, at_least), "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c"))
     whole = classes.select("k", "id", "n").join(of, "k", "left").withColumn("c", F.coalesce("c", "k"))
     low = whole.groupBy("c").agg(F.min("id").alias("class_id"), F.sum("n").alias("all")).filter("all > 1")
