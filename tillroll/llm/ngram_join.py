@@ -4,7 +4,8 @@ Documents whose shingle sets have a Jaccard similarity of at least
 ``percent`` / 100 are linked; the result is each document's component.
 
 1. Sets. Every whole text becomes its distinct five-word shingles. Equal
-   sets are one class, and only class representatives go on.
+   sets are one class, and only class representatives go on, under a key of
+   the class's own (several texts under one id are several classes).
 2. Groups. Representatives that share a pair of min-hashes meet their key's
    smallest id; the exact similarity decides who joins that leader's star,
    so every member of a star is linked with its leader. The others stay
@@ -143,6 +144,16 @@ _HEAD = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64())
                    ("keys", pa.list_(pa.int64())), ("bits", pa.binary()), ("segment", pa.int32()), ("blob", pa.binary())])
 
 
+def _digest(s: np.ndarray) -> list[int]:
+    return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
+
+
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join: either side grows with the corpus, and the hashed
+    relation of a broadcast join is built on the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _heads(batches):
     """A head per document and, at the end, the task's part of the sketch."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -153,10 +164,10 @@ def _heads(batches):
             some = True
             row = {"doc_id": ids[i], "n": len(s)}
             if len(s):
-                digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                digest = _digest(s)
                 low = [shingles.mix(s * m).min() for m in _MINHASH]
                 keys = [int(np.int64(np.uint64(low[2 * k]) ^ shingles.mix(np.array([low[2 * k + 1] + np.uint64(k)]))[0])) for k in range(KEYS)]
-                row |= {"d1": int(digest[0]), "d2": int(digest[1]), "keys": keys, "bits": parity(s)}
+                row |= {"d1": digest[0], "d2": digest[1], "keys": keys, "bits": parity(s)}
                 np.add.at(counts, _slots(s, SKETCH_BITS), 1)
             rows.append(row)
         if rows:
@@ -172,10 +183,11 @@ def _prefixes(sketch, percent: int):
         counts = _sketch(sketch.value, np.uint32, 1 << SKETCH_BITS)
         for b in batches:
             ids = b.column(0)
-            rows, tokens, sizes = [], [], []
+            rows, tokens, sizes, digests = [], [], [], []
             for i, s in _sets(b, 1):
                 if not len(s):
                     continue
+                digests.append(_digest(s)[0])
                 most = len(s) - -(-percent * len(s) // 100) + 1
                 order = np.lexsort((s, counts[_slots(s, SKETCH_BITS)]))[:most]
                 rows.append(i)
@@ -184,7 +196,8 @@ def _prefixes(sketch, percent: int):
             if rows:
                 flat = pa.array(np.concatenate(tokens).view(np.int64), pa.int64())
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.ListArray.from_arrays(offsets, flat)], ["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+                                                 ["of", "d1", "tokens"])
     return run
 
 
@@ -208,11 +221,13 @@ def _sets_of(wanted):
             if not hit.any():
                 continue
             part = b.filter(pa.array(hit))
-            rows, blobs = [], []
+            rows, blobs, digests = [], [], []
             for i, s in _sets(part, 1):
                 rows.append(i)
                 blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(blobs, pa.binary())], ["id", "tokens"])
+                digests.append(_digest(s)[0])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(digests, pa.int64()), pa.array(blobs, pa.binary())],
+                                             ["of", "d1", "tokens"])
     return run
 
 
@@ -261,21 +276,23 @@ def _unions(key, rows):
 class Join:
     """One run of the join over (id, text)."""
 
-    def __init__(self, docs: DataFrame, percent: int):
-        self.spark, self.docs, self.percent = docs.sparkSession, docs, percent
+    def __init__(self, docs: DataFrame, percent: int, reps: DataFrame | None = None):
+        self.spark, self.docs, self.percent, self.reps = docs.sparkSession, docs, percent, reps
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, tokens) of the given documents, and a few others."""
-        wanted = _collect_sketch(ids.mapInArrow(_filter_parts, "segment int, blob binary"), np.uint8)
+        """(id, tokens) of the given classes, read from the document that
+        stands for each."""
+        held = _met(self.reps.select("id", "of", "d1"), ids, "id", "left_semi")
+        wanted = _collect_sketch(held.select("of").mapInArrow(_filter_parts, "segment int, blob binary"), np.uint8)
         sent = self.spark.sparkContext.broadcast(wanted)
-        found = written(self.docs.mapInArrow(_sets_of(sent), "id long, tokens binary").join(ids, "id", "left_semi")
-                        .dropDuplicates(["id"]), "join-sets")
+        found = written(_met(self.docs.mapInArrow(_sets_of(sent), "of long, d1 long, tokens binary"), held, ["of", "d1"])
+                        .select("id", "tokens").dropDuplicates(["id"]), "join-sets")
         sent.destroy()
         return found
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (id, head) that are linked."""
-        rows = (pairs.join(sets, "id").join(sets.toDF("head", "head_tokens"), "head")
+        rows = (_met(_met(pairs, sets, "id"), sets.toDF("head", "head_tokens"), "head")
                 .select("id", "head", "tokens", "head_tokens"))
         return rows.mapInArrow(_overlap(self.percent, True), "id long, head long")
 
@@ -286,7 +303,7 @@ class Join:
     def bounded_pairs(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
         """The same for single pairs (id, head)."""
         heads = reps.select(F.col("id").alias("head"), F.array("id").alias("ids"), F.array("n").alias("ns"), F.array("bits").alias("maps"))
-        return self.bounded(pairs.join(reps.select("id", "n", "bits"), "id").join(heads, "head")
+        return self.bounded(_met(_met(pairs, reps.select("id", "n", "bits"), "id"), heads, "head")
                             .withColumns({"several": F.lit(False), "own": F.lit(False)}).drop("head"))
 
     @staticmethod
@@ -297,7 +314,7 @@ class Join:
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id per row."""
     source = with_package(renamed(docs, id=id_col, text=text_col)).select(F.col("id").cast("long"), "text")
-    spark, job = docs.sparkSession, Join(source, percent)
+    spark = docs.sparkSession
     heads = written(source.mapInArrow(_heads, HEAD), "join-heads")
     rows = heads.filter("segment IS NULL")
     sketch = spark.sparkContext.broadcast(_collect_sketch(heads.filter("segment IS NOT NULL").select("segment", "blob"), np.uint32))
@@ -306,83 +323,93 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # classes of equal sets
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    member = written(full.join(classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep", *[
-        F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "bits")]), "join-members")
-    reps = member.filter("doc_id = rep").select(F.col("doc_id").alias("id"), "n", "keys", "bits")
+    classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("of"))
+    # a class goes by its smallest doc_id; of several texts under that id all but one class go by a hash of the set
+    first = classes.groupBy("of").agg(F.min(F.struct("d1", "d2", "n")).alias("first"))
+    own = F.struct("d1", "d2", "n") == F.col("first")
+    by_hash = F.lit(-(1 << 63)) + F.pmod(F.xxhash64("d1", "d2", "n"), F.lit(1 << 62))
+    classes = _met(classes, first, "of").select("d1", "d2", "n", "of", F.when(own, F.col("of")).otherwise(by_hash).alias("rep"))
+    member = written(_met(full, classes, ["d1", "d2", "n"]).select("doc_id", "n", "rep", "of", "d1", *[
+        F.when(F.col("doc_id") == F.col("of"), F.col(c)).alias(c) for c in ("keys", "bits")]), "join-members")
+    reps = written(member.filter("doc_id = of").select(F.col("rep").alias("id"), "of", "d1", "n", "keys", "bits").dropDuplicates(["id"]), "join-reps")
+    job = Join(source, percent, reps)
     dropped(heads)
 
     # groups around leaders
     keyed = reps.select("id", F.explode("keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
-    offered = written(keyed.join(leaders, "key").groupBy("id").agg(F.min("head").alias("head")), "join-offers")
+    offered = written(_met(keyed, leaders, "key").groupBy("id").agg(F.min("head").alias("head")), "join-offers")
     tried = written(job.bounded_pairs(offered.filter("id <> head"), reps), "join-tried")
     star = written(job.verified(tried, job.sets(job.ends(tried))), "join-stars")
     # a star's number is its leader; a loose group of similar documents has a number by hash
     led = star.select("head").distinct().withColumn("leads", F.lit(True))
-    alone = (offered.join(star.select("id"), "id", "left_anti").join(led, offered["id"] == led["head"], "left_anti"))
+    alone = _met(_met(offered, star.select("id"), "id", "left_anti"), led.select(F.col("head").alias("id")), "id", "left_anti")
     met_at = alone.groupBy("head").agg(F.count("*").alias("met"))
-    similar = (alone.join(met_at, "head").select("id", (-1 - F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("id"), F.ceil(F.col("met") / PART))), F.lit(1 << 62))).alias("s")))
-    grouped = written(reps.select("id", "n").join(star, "id", "left").join(similar, "id", "left")
-                      .select("id", "n", F.coalesce("head", "s", "id").alias("g"), (F.col("head").isNull() & F.col("s").isNotNull()).alias("loose")), "join-groups")
+    similar = (_met(alone, met_at, "head").select("id", (-1 - F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("id"), F.ceil(F.col("met") / PART))), F.lit(1 << 62))).alias("s")))
+    grouped = written(_met(_met(reps.select("id", "of", "d1", "n"), star, "id", "left"), similar, "id", "left")
+                      .select("of", "d1", "id", "n", F.coalesce("head", "s", "id").alias("g"), (F.col("head").isNull() & F.col("s").isNotNull()).alias("loose")), "join-groups")
 
     # the matrix of rare tokens against groups
-    prefix = source.filter("id IS NOT NULL").mapInArrow(_prefixes(sketch, percent), "id long, tokens array<long>")
-    matrix = written(prefix.join(grouped, "id").select("id", "n", "g", "loose", "tokens"), "join-matrix")
+    prefix = source.filter("id IS NOT NULL").mapInArrow(_prefixes(sketch, percent), "of long, d1 long, tokens array<long>")
+    matrix = written(_met(prefix, grouped, ["of", "d1"]).select("id", "n", "g", "loose", "tokens"), "join-matrix")
     sketch.destroy()
     cells = matrix.select("id", "n", "g", "loose", F.explode("tokens").alias("token"))
     shared = (cells.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("loose").alias("loose"))
               .filter("lo < hi OR (loose AND a < b)").select("token"))
-    cells = written(cells.join(shared, "token"), "join-cells")
+    cells = written(_met(cells, shared, "token"), "join-cells")
     dropped(matrix)
     held = cells.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "head")
-    met = (cells.join(held, "token").filter("g > head OR (g = head AND loose)").filter(f"100 * most >= {percent} * n AND {percent} * least <= 100 * n")
+    met = (_met(cells, held, "token").filter("g > head OR (g = head AND loose)").filter(f"100 * most >= {percent} * n AND {percent} * least <= 100 * n")
            .select("id", "head").distinct())
     met = written(met, "join-met")
     dropped(cells)
     sizes = grouped.groupBy("g").agg(F.count("*").alias("members"), F.max(F.when(F.col("id") != F.col("g"), 1).otherwise(0)).alias("others"), F.max("loose").alias("loose")).filter("NOT loose")
     # a star shows its leader, any other group all its members
     heads_met = met.select(F.col("head").alias("g")).distinct()
-    shown = (grouped.filter("loose").select("g", "id").join(heads_met, "g", "left_semi")
-             .union(heads_met.join(grouped.filter("loose").select("g").distinct(), "g", "left_anti").select("g", F.col("g").alias("id"))))
-    shown = (shown.join(reps.select("id", "n", "bits"), "id").groupBy("g").agg(F.collect_list(F.struct("id", "n", "bits")).alias("m"))
-             .join(sizes.select("g", (F.col("others") == 1).alias("several")), "g", "left")
+    shown = (_met(grouped.filter("loose").select("g", "id"), heads_met, "g", "left_semi")
+             .union(_met(heads_met, grouped.filter("loose").select("g").distinct(), "g", "left_anti").select("g", F.col("g").alias("id"))))
+    shown = _met(shown, reps.select("id", "n", "bits"), "id").groupBy("g").agg(F.collect_list(F.struct("id", "n", "bits")).alias("m"))
+    shown = (_met(shown, sizes.select("g", (F.col("others") == 1).alias("several")), "g", "left")
              .select(F.col("g").alias("head"), F.coalesce("several", F.lit(False)).alias("several"), F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.bits").alias("maps")))
-    asked = met.join(grouped.select("id", "g"), "id").join(reps.select("id", "n", "bits"), "id").join(shown, "head").select(
+    asked = _met(_met(_met(met, grouped.select("id", "g"), "id"), reps.select("id", "n", "bits"), "id"), shown, "head").select(
         "id", "n", "bits", (F.col("g") == F.col("head")).alias("own"), "several", "ids", "ns", "maps")
     near = written(job.bounded(asked).distinct(), "join-near")
 
     # leaders first, then the parts of groups that may hold a partner
     sets = job.sets(job.ends(near))
     linked = written(job.verified(near, sets), "join-linked")
-    parted = (grouped.join(sizes.filter("others = 1"), "g")
+    parted = (_met(grouped, sizes.filter("others = 1"), "g")
               .select(F.col("g").alias("head"), F.col("id").alias("member"),
                       F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / PART)).cast("long").alias("part")))
-    waiting = written(near.join(linked, ["id", "head"], "left_anti").join(sizes.filter("others = 1").select(F.col("g").alias("head")), "head", "left_semi"), "join-waiting")
+    waiting = written(_met(_met(near, linked, ["id", "head"], "left_anti"), sizes.filter("others = 1").select(F.col("g").alias("head")), "head", "left_semi"),
+                      "join-waiting")
     links = star.union(linked)
     if not waiting.isEmpty():
-        inside = parted.join(waiting.select("head").distinct(), "head", "left_semi")
+        inside = _met(parted, waiting.select("head").distinct(), "head", "left_semi")
         inside = written(inside, "join-inside")
         sets = job.sets(inside.select(F.col("member").alias("id")).union(waiting.select("id")).distinct())
-        unions = (inside.join(sets.withColumnRenamed("id", "member"), "member").groupBy("head", "part")
+        unions = (_met(inside, sets.withColumnRenamed("id", "member"), "member").groupBy("head", "part")
                   .applyInArrow(_unions, "g long, part long, head_tokens binary"))
-        asked = (waiting.join(unions.withColumnRenamed("g", "head"), "head").join(sets, "id")
+        asked = (_met(_met(waiting, unions.withColumnRenamed("g", "head"), "head"), sets, "id")
                  .select("id", "head", "part", "tokens", "head_tokens"))
         opened = asked.mapInArrow(_overlap(percent, False), "id long, head long, part long")
-        pairs = opened.join(inside, ["head", "part"]).select("id", F.col("member").alias("head")).filter("id <> head").distinct()
+        pairs = _met(opened, inside, ["head", "part"]).select("id", F.col("member").alias("head")).filter("id <> head").distinct()
         pairs = written(job.bounded_pairs(pairs, reps), "join-opened")
         links = links.union(job.verified(pairs, sets))
     roots = components(links, "id", "head")
     # rows with one id and several texts link their classes
-    of_rep = member.select("doc_id", "rep").join(roots, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("root"))
-    twice = of_rep.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+    twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("doc_id", "a")
     if not twice.isEmpty():
-        roots = components(links.union(of_rep.join(twice, "doc_id").select("a", "root")).union(member.join(twice, "doc_id").select("doc_id", "rep")), "id", "head")
-        of_rep = member.select("doc_id", "rep").join(roots, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("root"))
-    found = of_rep.groupBy("doc_id").agg(F.min("root").alias("root"))
-    out = written(sizes_of.join(found, "doc_id", "left")
+        roots = components(links.union(_met(member.select("doc_id", "rep"), twice, "doc_id").select("a", "rep")), "id", "head")
+    roots = written(roots, "join-roots")
+    # a component's number is the smallest doc_id of its classes
+    named = _met(reps.select("id", "of"), roots, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low = named.groupBy("component").agg(F.min("of").alias("low"))
+    of_class = _met(named, low, "component").select(F.col("id").alias("rep"), "low")
+    found = _met(member.select("doc_id", "rep"), of_class, "rep").groupBy("doc_id").agg(F.min("low").alias("root"))
+    out = written(_met(sizes_of, found, "doc_id", "left")
                   .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")), "join-result")
-    dropped(member, sizes_of, grouped, met, near, linked, star, tried, offered)
+    dropped(member, reps, roots, sizes_of, grouped, met, near, linked, star, tried, offered)
     return out
 
 
