@@ -14,9 +14,10 @@ class, chosen by a hash of the id, each text up to ``sample_chars``
 characters of it at evenly spaced places. Every text is scored whole. Labels
 of a fold given by crc32(id as text) mod ``folds`` = 0 are never read.
 
-Scale: only the sample's texts reach the driver (a broadcast join on at most
-2 x ``rows_per_class`` ids); scoring is a map over the documents without a
-shuffle; the model is two dictionaries and a few numbers.
+Scale: excerpts are cut where the documents are read (a broadcast join on at
+most 2 x ``rows_per_class`` ids) and meet in one task, at most 48 MB of
+text; the driver gets two dictionaries and a few numbers. Scoring is a map
+over the documents without a shuffle.
 
 Defined results: NULL text scores as empty; an empty text gets the share of
 good labels; without labels of both classes every score is that share (0.5
@@ -81,7 +82,9 @@ class Sizes:
                                         write_dict_id=False).compress
 
     def features(self, text: str) -> tuple[float, ...]:
-        raw = text.encode("utf-8", "surrogatepass")
+        return self.measured(text.encode("utf-8", "surrogatepass"))
+
+    def measured(self, raw: bytes) -> tuple[float, ...]:
         good, bad = ([len(c(raw[a:a + self.window])) for a in range(0, len(raw), self.window)] for c in self.compress)
         # frames of some bytes each are not the text's
         g, b, n = max(1, sum(good) - 8 * len(good)), max(1, sum(bad) - 8 * len(bad)), len(raw)
@@ -117,14 +120,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def _excerpt(text: str, most: int) -> str:
-    """Up to ``most`` characters from evenly spaced places of a text."""
-    if len(text) <= most:
-        return text
-    part = most // 8
-    return "".join(text[a:a + part] for a in np.linspace(0, len(text) - part, 8).astype(int))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           folds: int = 5, rows_per_class: int = 1500, sample_chars: int = 16_000, window: int = 2048) -> Model:
     marked = renamed(labels, id=id_col, y=label_col).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1))
@@ -139,25 +134,52 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for y in (0, 1):
         part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = renamed(docs, id=id_col, text=text_col).filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).collect()
-    rows = sorted((int(r["id"]), _excerpt(r["text"], sample_chars), int(r["y"])) for r in rows if r["text"])
-    # every other row, by class, builds the dictionaries; the others calibrate
-    built, kept = [], []
-    for y in (0, 1):
-        mine = [r for r in rows if r[2] == y]
-        built += mine[::2]
-        kept += mine[1::2] or mine
-    if not all(any(r[2] == y for r in built) for y in (0, 1)):
+    texts = with_package(renamed(docs, id=id_col, text=text_col)).filter("text IS NOT NULL AND text <> ''")
+    # of a long text up to ``sample_chars`` characters from eight evenly spaced places
+    part, n = sample_chars // 8, F.length("text")
+    places = [F.substring("text", F.floor(F.lit(k / 7) * (n - part)).cast("int") + 1, F.lit(part)) for k in range(8)]
+    excerpt = F.when(n <= sample_chars, F.col("text")).otherwise(F.concat(*places))
+    rows = (texts.join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), excerpt.alias("text"), F.col("y").cast("int").alias("y"))
+            .groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")))
+    # the sample is bounded, so one task takes it
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(_trained(empty), "good binary, bad binary, center array<double>, spread array<double>, weights array<double>").collect()
+    if not found:
         return empty
-    pieces = {y: [p for _, t, q in built if q == y for p in (t.encode()[a:a + window] for a in range(0, len(t.encode()), window)) if p] for y in (0, 1)}
-    model = dataclasses.replace(empty, good=_dictionary(pieces[1]), bad=_dictionary(pieces[0]))
-    measure = Sizes(model).features
-    x, y = np.array([measure(t) for _, t, _ in kept]), np.array([q for _, _, q in kept], float)
-    center, spread = x.mean(0), x.std(0) + 1e-9
-    # the sample has as many of either class as it can; weights restore the share of all labelled rows
-    weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    return dataclasses.replace(model, center=center, spread=spread, weights=_logistic((x - center) / spread, y, weight))
+    r = found[0]
+    return dataclasses.replace(empty, good=bytes(r["good"]), bad=bytes(r["bad"]), center=np.array(r["center"]), spread=np.array(r["spread"]),
+                               weights=np.array(r["weights"]))
+
+
+def _trained(empty: Model):
+    """Rows (id, text, y) of the sample -> the model, if both classes have a
+    text."""
+    schema = pa.schema([("good", pa.binary()), ("bad", pa.binary()), ("center", pa.list_(pa.float64())), ("spread", pa.list_(pa.float64())),
+                        ("weights", pa.list_(pa.float64()))])
+
+    def run(table):
+        # texts stay in the Arrow table: rows are places in it, in order of id
+        text, marks = table.column("text").combine_chunks(), table.column("y").to_numpy()
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        raw = lambda i: text[int(i)].as_buffer().to_pybytes()
+        # every other row, by class, builds the dictionaries; the others calibrate
+        mine = {y: order[marks[order] == y] for y in (0, 1)}
+        if not all(len(mine[y]) for y in (0, 1)):
+            return schema.empty_table()
+        window, prior = empty.window, empty.prior
+
+        def pieces(y):
+            return [t[a:a + window] for t in map(raw, mine[y][::2]) for a in range(0, len(t), window)]
+        model = dataclasses.replace(empty, good=_dictionary(pieces(1)), bad=_dictionary(pieces(0)))
+        kept = np.concatenate([mine[y][1::2] if len(mine[y]) > 1 else mine[y] for y in (0, 1)])
+        measure = Sizes(model).measured
+        x, y = np.array([measure(raw(i)) for i in kept]), marks[kept].astype(float)
+        center, spread = x.mean(0), x.std(0) + 1e-9
+        # the sample has as many of either class as it can; weights restore the share of all labelled rows
+        weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
+        weights = _logistic((x - center) / spread, y, weight)
+        return pa.Table.from_pylist([{"good": model.good, "bad": model.bad, "center": center.tolist(), "spread": spread.tolist(),
+                                      "weights": weights.tolist()}], schema=schema)
+    return run
 
 
 def _score(model: Model):
