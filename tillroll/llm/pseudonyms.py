@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One pattern finds candidates in whole texts: e-mail addresses, IPv4
+One pattern finds candidates in whole texts: e-mail addresses, IPv4 and IPv6
 addresses, telephone numbers, payment card numbers, social security numbers,
-account numbers (IBAN), dates and hexadecimal secrets. Numbers and dates
+account numbers (IBAN), dates and secrets behind a key word. Numbers and dates
 are validated (Luhn digit, octets up to 255, mod-97, calendar); what fails
 stays as it is. A valid value is permuted within its format by a keyed
 Feistel network, so equal values get equal pseudonyms in every document and
@@ -12,12 +12,15 @@ octets), and pseudonyms of cards, addresses, IBANs and dates are valid again:
     card      all digits but the last are permuted, the last is a new Luhn digit
     IPv4      octets as digits of two halves in base 256
     phone     the digits of the subscriber (all but a leading +country code)
-    SSN       all nine digits
+    IPv6      the hexadecimal digits, group by group
+    SSN       all nine digits, to a number that can be given out
     IBAN      the digits after the check digits; new check digits
     date      the day's number in a cycle of 400 years (1800-2199), 27 x 5411
     e-mail    letters and digits of the local part and the domain's labels but the
               last, each class by itself
-    secret    the hexadecimal digits behind a key word (token, secret, ...)
+    secret    behind a key word (token, secret, ...): 16 or more hexadecimal digits
+              among themselves; else, of 8 or more characters with a digit,
+              letters and digits each by themselves
 
 Dates are year-month-day (with - or /, also before the T of a time),
 month/day/year and, where that is no date, day/month/year (with / or -),
@@ -32,6 +35,10 @@ other half) modulo that half's size, so each round, and with it the whole,
 is a bijection of the format. The text between the findings is kept byte for
 byte: the text is split at the pattern and joined again with the pseudonyms.
 
+The key is part of the SQL expressions, so plans and event logs show it: set
+``spark.sql.redaction.string.regex`` to its pattern, or keep them as safe as
+the key.
+
 Scale: a narrow map; no shuffle, no Python. Findings are handled one by one
 within their row, never collected.
 
@@ -51,7 +58,8 @@ _KEYWORD = r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)"
 
 # One alternative per format; the order decides where two could begin at one place.
 PATTERN = (
-    r"(?i:[a-z0-9][a-z0-9._%+-]{0,63}@(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24})"
+    # runs are possessive and begin at a run's first character: no length is capped, none is read twice
+    r"(?i:(?<![a-z0-9._%+-])[a-z0-9._%+-]++@[a-z0-9-]++(?:\.[a-z0-9-]++)++)"
     r"|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
     r"|(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?!-[0-9]|(?![Tt][0-9]{2}[:0-9])[0-9A-Za-z])"
     r"|(?<![0-9A-Za-z/])[0-9]{4}/[0-9]{2}/[0-9]{2}(?!/[0-9]|(?![Tt][0-9]{2}[:0-9])[0-9A-Za-z])"
@@ -61,15 +69,18 @@ PATTERN = (
     rf"|(?i:(?<![0-9a-z])[0-9]{{1,2}}[ -]{_MONTH}(?:\.?,? |-)[0-9]{{4}}(?![0-9a-z]))"
     rf"|(?i:(?<![0-9a-z]){_MONTH}\.? [0-9]{{1,2}},? [0-9]{{4}}(?![0-9a-z]))"
     r"|(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
+    r"|(?<![0-9A-Za-z]|[0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9A-Za-z]| [0-9])"
+    r"|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"
+    r"|(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Za-z:])"
     r"|(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
     r"|(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-    rf"|(?i:(?<![a-z0-9]){_KEYWORD}[\"']?\s{{0,4}}[=:]\s{{0,4}}[\"']?[0-9a-f]{{16,128}}(?![0-9a-z]))"
+    rf"|(?i:(?<![a-z0-9]){_KEYWORD}[\"']?\s{{0,4}}[=:]\s{{0,4}}[\"']?(?:[0-9a-f]{{16,}}+(?![0-9a-z+/_=-])|(?=[a-z+/_=-]*+[0-9])[0-9a-z+/_=-]{{8,}}+))"
 )
-#: A cheap look before the pattern: every format but e-mail and secrets has two digits close together.
-HINT = rf"@|[0-9].{{0,3}}[0-9]|(?i:{_KEYWORD})"
+#: A cheap look before the pattern: every format but e-mail, IPv6 and secrets has two digits close together.
+HINT = rf"@|[0-9].{{0,3}}[0-9]|[0-9A-Fa-f]:|(?i:{_KEYWORD})"
 ROUNDS = 8
 
 
@@ -231,24 +242,46 @@ def _alphabet(key: str, what: str, x: str, letters: str) -> str:
     return f"if(length({x}) = 0, '', {_let('w', joined, case)})"
 
 
+def _chunks(x: str, size: int, body: str) -> str:
+    """``body`` over ``part``, each run of ``size`` characters of a string:
+    the work on a long value grows with its length only."""
+    return f"array_join(transform(sequence(1, length({x}), {size}), z -> {_let('part', f'substr({x}, z, {size})', body)}), '')"
+
+
+def _by_class(key: str, what: str) -> str:
+    """``part`` with letters permuted among letters and digits among digits."""
+    letters = _let("v", "regexp_replace(part, '[^A-Za-z]', '')", _alphabet(key, what, "v", "abcdefghijklmnopqrstuvwxyz"))
+    digits = _let("d", _only_digits("part"), f"if(length(d) = 0, '', {_alphabet(key, f'{what}-digits', 'd', '0123456789')})")
+    return _let("f", letters, _let("q", digits, _refill(_refill("part", "[A-Za-z]", "f"), "[0-9]", "q")))
+
+
 def _email(key: str) -> str:
     """Letters among letters and digits among digits; the separators and the
     last label of the domain stay."""
-    head = "regexp_extract(m, '^(.*)[.][A-Za-z]+$', 1)"
-    letters = _let("v", "regexp_replace(e, '[^A-Za-z]', '')", _alphabet(key, "email", "v", "abcdefghijklmnopqrstuvwxyz"))
-    digits = _let("d", _only_digits("e"), f"if(length(d) = 0, '', {_alphabet(key, 'email-digits', 'd', '0123456789')})")
-    return _let("e", head, "concat(" + _let("f", letters, _let("q", digits, _refill(_refill("e", "[A-Za-z]", "f"), "[0-9]", "q")))
-                + ", substr(m, length(e) + 1))")
+    head = "regexp_extract(m, '^(.*)[.][^.]+$', 1)"
+    return _let("e", head, f"concat({_chunks('e', 64, _by_class(key, 'email'))}, substr(m, length(e) + 1))")
 
 
 def _secret(key: str) -> str:
-    tail = r"regexp_extract(m, '[0-9A-Fa-f]+$', 0)"
-    return _let("e", tail, f"concat(substr(m, 1, length(m) - length(e)), {_alphabet(key, 'secret', 'e', '0123456789abcdef')})")
+    """Hexadecimal digits among themselves; in any other secret letters among
+    letters and digits among digits."""
+    tail = r"regexp_extract(m, '[=:]\\s{0,4}[\"\']?(.*)$', 1)"
+    hexes = _chunks("e", 128, _alphabet(key, "secret", "part", "0123456789abcdef"))
+    new = f"if(e rlike '^[0-9A-Fa-f]{{16,}}$', {hexes}, {_chunks('e', 64, _by_class(key, 'secret-mixed'))})"
+    return _let("e", tail, f"concat(substr(m, 1, length(m) - length(e)), {new})")
 
 
 def _ssn(key: str) -> str:
-    ok = "not m rlike '^(000|666|9)' and not m rlike '^...-00' and not m rlike '0000$'"
-    return f"if({ok}, {_let('p', _digits(key, 'ssn', _only_digits('m')), _refill('m', '[0-9]', 'p'))}, m)"
+    """All nine digits, moved on until they are a number that can be given
+    out again (an eighth are not: none of 64 in a row has a chance below 1e-57)."""
+    ok = "not {0} rlike '^(000|666|9)' and substr({0}, 4, 2) <> '00' and substr({0}, 6) <> '0000'".format
+    walked = f"aggregate(sequence(1, 64), {_digits(key, 'ssn', 'n')}, (a, j) -> if({ok('a')}, a, {_digits(key, 'ssn', 'a')}))"
+    return _let("n", _only_digits("m"), f"if({ok('n')}, {_let('p', walked, _refill('m', '[0-9]', 'p'))}, m)")
+
+
+def _ip6(key: str) -> str:
+    """The hexadecimal digits; groups keep their lengths."""
+    return _let("e", "regexp_replace(m, ':', '')", _refill("m", "[0-9A-Fa-f]", _alphabet(key, "ip6", "e", "0123456789abcdef")))
 
 
 def pseudonym_sql(key: str) -> str:
@@ -257,7 +290,8 @@ def pseudonym_sql(key: str) -> str:
       WHEN m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN {_ip(key)}
       WHEN m rlike '^[0-9]{{4}}(-[0-9]{{2}}-|/[0-9]{{2}}/)[0-9]{{2}}$' THEN {_date(key)}
       WHEN m rlike '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$' THEN {_numbers_date(key)}
-      WHEN m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' THEN {_ssn(key)}
+      WHEN m rlike '^[0-9]{{3}}[ -][0-9]{{2}}[ -][0-9]{{4}}$' THEN {_ssn(key)}
+      WHEN m rlike '^[0-9A-Fa-f:]+:[0-9A-Fa-f:]+$' THEN {_ip6(key)}
       WHEN m rlike '[=:]' THEN {_secret(key)}
       WHEN m rlike '^[A-Z]{{2}}[0-9]{{2}}' THEN {_iban(key)}
       WHEN m rlike '^([0-9]{{1,2}}[ -])?[A-Za-z]{{3}}' THEN {_named_date(key)}
