@@ -154,6 +154,63 @@ def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.report(repaired, conversations)
 
 
+# Costs and edits from the last row to the first, a state machine of its own; rows of one turn in order of role and text.
+ORACLE["op12_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+-- CRC-32, bit by bit
+crc AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda j: CAST(ascii(substr(k, CAST(j AS INTEGER), 1)) AS BIGINT)),
+      lambda c, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+      CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS m FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, copy,
+         CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN m = 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc WHERE m <> 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM placed),
+talk AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({'r': r, 'go': coalesce(fault IN ('blank', 'duplicate'), false), 'cut': CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'role': role, 'text': text}
+              ORDER BY i DESC) AS todo
+  FROM judged GROUP BY conv_id),
+-- least (cost, edits) to the end from each state before the rows read so far, last row first; z: nothing yet, s, u, a
+best AS (
+  SELECT conv_id, todo, {'c': 0, 'e': '', 'o': CAST([] AS VARCHAR[])} AS z, {'c': 6, 'e': 'II', 'o': ['user:', 'assistant:']} AS s,
+         {'c': 3, 'e': 'I', 'o': ['assistant:']} AS u, {'c': 0, 'e': '', 'o': CAST([] AS VARCHAR[])} AS a FROM talk
+  UNION ALL
+  SELECT conv_id, todo, list_sort([bz, {'c': nu.c + 3, 'e': 'I' || nu.e, 'o': ['user:'] || nu.o}])[1], list_sort([bs, {'c': nu.c + 3, 'e': 'I' || nu.e, 'o': ['user:'] || nu.o}])[1],
+         nu, list_sort([ba, {'c': bu.c + 3, 'e': 'I' || bu.e, 'o': ['user:'] || bu.o}])[1]
+  FROM (SELECT *, list_sort([bu, {'c': ba.c + 3, 'e': 'I' || ba.e, 'o': ['assistant:'] || ba.o}])[1] AS nu
+    FROM (SELECT conv_id, todo[2:] AS todo,
+        list_sort([{'c': z.c + 4, 'e': 'D' || z.e, 'o': z.o}]
+          || CASE WHEN x.go THEN [] ELSE [{'c': u.c + 3 + x.cut, 'e': 'R' || u.e, 'o': ['user:' || x.text] || u.o}] END
+          || CASE WHEN x.go OR x.r <> 's' THEN [] ELSE [{'c': s.c + x.cut, 'e': 'K' || s.e, 'o': [x.role || ':' || x.text] || s.o}] END
+          || CASE WHEN x.go OR x.r <> 'u' THEN [] ELSE [{'c': u.c + x.cut, 'e': 'K' || u.e, 'o': [x.role || ':' || x.text] || u.o}] END)[1] AS bz,
+        list_sort([{'c': s.c + 4, 'e': 'D' || s.e, 'o': s.o}]
+          || CASE WHEN x.go THEN [] ELSE [{'c': u.c + 3 + x.cut, 'e': 'R' || u.e, 'o': ['user:' || x.text] || u.o}] END
+          || CASE WHEN x.go OR x.r <> 'u' THEN [] ELSE [{'c': u.c + x.cut, 'e': 'K' || u.e, 'o': [x.role || ':' || x.text] || u.o}] END)[1] AS bs,
+        list_sort([{'c': u.c + 4, 'e': 'D' || u.e, 'o': u.o}]
+          || CASE WHEN x.go THEN [] ELSE [{'c': a.c + 3 + x.cut, 'e': 'R' || a.e, 'o': ['assistant:' || x.text] || a.o}] END
+          || CASE WHEN x.go OR x.r <> 'a' THEN [] ELSE [{'c': a.c + x.cut, 'e': 'K' || a.e, 'o': [x.role || ':' || x.text] || a.o}] END)[1] AS bu,
+        list_sort([{'c': a.c + 4, 'e': 'D' || a.e, 'o': a.o}]
+          || CASE WHEN x.go THEN [] ELSE [{'c': u.c + 3 + x.cut, 'e': 'R' || u.e, 'o': ['user:' || x.text] || u.o}] END
+          || CASE WHEN x.go OR x.r <> 'u' THEN [] ELSE [{'c': u.c + x.cut, 'e': 'K' || u.e, 'o': [x.role || ':' || x.text] || u.o}] END)[1] AS ba
+      FROM (SELECT *, todo[1] AS x FROM best WHERE len(todo) > 0))))
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(z.c, 0) AS BIGINT) AS cost, coalesce(z.e, '') AS audit, sha256(array_to_string(coalesce(z.o, []), chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN talk ON talk.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id AND len(best.todo) = 0
+"""
+
+
 @query
 def op13_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
