@@ -248,51 +248,47 @@ def _chunks(x: str, size: int, body: str) -> str:
     return f"array_join(transform(sequence(1, length({x}), {size}), z -> {_let('part', f'substr({x}, z, {size})', body)}), '')"
 
 
-def _by_class(key: str, what: str) -> str:
-    """``part`` with letters permuted among letters and digits among digits."""
-    letters = _let("v", "regexp_replace(part, '[^A-Za-z]', '')", _alphabet(key, what, "v", "abcdefghijklmnopqrstuvwxyz"))
-    digits = _let("d", _only_digits("part"), f"if(length(d) = 0, '', {_alphabet(key, f'{what}-digits', 'd', '0123456789')})")
-    return _let("f", letters, _let("q", digits, _refill(_refill("part", "[A-Za-z]", "f"), "[0-9]", "q")))
+def _by_class(key: str) -> str:
+    """An address but the last label of its domain, or a secret that is not
+    hexadecimal: letters among letters and digits among digits; the
+    separators stay."""
+    letters = _let("v", "regexp_replace(part, '[^A-Za-z]', '')", _alphabet(key, "email", "v", "abcdefghijklmnopqrstuvwxyz"))
+    digits = _let("d", _only_digits("part"), f"if(length(d) = 0, '', {_alphabet(key, 'email-digits', 'd', '0123456789')})")
+    part = _let("f", letters, _let("q", digits, _refill(_refill("part", "[A-Za-z]", "f"), "[0-9]", "q")))
+    rest = "if(m rlike '@', regexp_extract(m, '^(.*)[.][^.]+$', 1), substr(m, length(g) + 1))"
+    return _let("g", LEAD, _let("e", rest, f"concat(g, {_chunks('e', 64, part)}, substr(m, length(g) + length(e) + 1))"))
 
 
-def _email(key: str) -> str:
-    """Letters among letters and digits among digits; the separators and the
-    last label of the domain stay."""
-    head = "regexp_extract(m, '^(.*)[.][^.]+$', 1)"
-    return _let("e", head, f"concat({_chunks('e', 64, _by_class(key, 'email'))}, substr(m, length(e) + 1))")
+#: What stands before a secret, nothing where there is no key word.
+LEAD = r"regexp_extract(m, '^[^=:@]*[A-Za-z][\"\']?\\s{0,4}[=:]\\s{0,4}[\"\']?', 0)"
 
 
-def _secret(key: str) -> str:
-    """Hexadecimal digits among themselves; in any other secret letters among
-    letters and digits among digits."""
-    tail = r"regexp_extract(m, '[=:]\\s{0,4}[\"\']?(.*)$', 1)"
-    hexes = _chunks("e", 128, _alphabet(key, "secret", "part", "0123456789abcdef"))
-    new = f"if(e rlike '^[0-9A-Fa-f]{{16,}}$', {hexes}, {_chunks('e', 64, _by_class(key, 'secret-mixed'))})"
-    return _let("e", tail, f"concat(substr(m, 1, length(m) - length(e)), {new})")
+def _hexes(key: str) -> str:
+    """A hexadecimal secret, or an IPv6 address, whose groups keep their
+    lengths: the hexadecimal digits among themselves."""
+    new = _chunks("d", 128, _alphabet(key, "secret", "part", "0123456789abcdef"))
+    lead = f"if(m rlike '^[0-9A-Fa-f:]+$', '', {LEAD})"
+    filled = _let("w", new, f"if(e rlike ':', {_refill('e', '[0-9A-Fa-f]', 'w')}, w)")
+    return _let("g", lead, _let("e", "substr(m, length(g) + 1)", _let("d", "regexp_replace(e, ':', '')", f"concat(g, {filled})")))
 
 
 def _ssn(key: str) -> str:
     """All nine digits, moved on until they are a number that can be given
     out again (an eighth are not: none of 64 in a row has a chance below 1e-57)."""
     ok = "not {0} rlike '^(000|666|9)' and substr({0}, 4, 2) <> '00' and substr({0}, 6) <> '0000'".format
-    walked = f"aggregate(sequence(1, 64), {_digits(key, 'ssn', 'n')}, (a, j) -> if({ok('a')}, a, {_digits(key, 'ssn', 'a')}))"
+    walked = f"aggregate(sequence(1, 64), '', (a, j) -> if(a <> '' and {ok('a')}, a, {_let('x', "if(a = '', n, a)", _digits(key, 'ssn', 'x'))}))"
     return _let("n", _only_digits("m"), f"if({ok('n')}, {_let('p', walked, _refill('m', '[0-9]', 'p'))}, m)")
 
 
-def _ip6(key: str) -> str:
-    """The hexadecimal digits; groups keep their lengths."""
-    return _let("e", "regexp_replace(m, ':', '')", _refill("m", "[0-9A-Fa-f]", _alphabet(key, "ip6", "e", "0123456789abcdef")))
-
-
 def pseudonym_sql(key: str) -> str:
     """SQL expression over ``m``, one finding of PATTERN."""
-    return f"""CASE WHEN m rlike '@' THEN {_email(key)}
+    hexadecimal = "m rlike '^[0-9A-Fa-f:]+:[0-9A-Fa-f:]+$' or m rlike '[=:]\\\\s{0,4}[\"\\']?[0-9A-Fa-f]{16,}$'"
+    return f"""CASE WHEN {hexadecimal} THEN {_hexes(key)}
+      WHEN m rlike '[@=:]' THEN {_by_class(key)}
       WHEN m rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' THEN {_ip(key)}
       WHEN m rlike '^[0-9]{{4}}(-[0-9]{{2}}-|/[0-9]{{2}}/)[0-9]{{2}}$' THEN {_date(key)}
       WHEN m rlike '^[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}$' THEN {_numbers_date(key)}
       WHEN m rlike '^[0-9]{{3}}[ -][0-9]{{2}}[ -][0-9]{{4}}$' THEN {_ssn(key)}
-      WHEN m rlike '^[0-9A-Fa-f:]+:[0-9A-Fa-f:]+$' THEN {_ip6(key)}
-      WHEN m rlike '[=:]' THEN {_secret(key)}
       WHEN m rlike '^[A-Z]{{2}}[0-9]{{2}}' THEN {_iban(key)}
       WHEN m rlike '^([0-9]{{1,2}}[ -])?[A-Za-z]{{3}}' THEN {_named_date(key)}
       WHEN m rlike '^[+(]' or m rlike '^[0-9]{{3}}[ .-][0-9]{{3}}[ .-][0-9]{{4}}$' THEN {_phone(key)}
