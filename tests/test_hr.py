@@ -127,3 +127,14 @@ def test_flight_risk_left_keeps_staff_without_reviews(spark):
     inner = hr_marts.hr_flight_risk(emps(spark), reviews(spark), attendance(spark), "2024-01-01")
     left = hr_marts.hr_flight_risk(emps(spark), reviews(spark), attendance(spark), "2024-01-01", how="left")
     assert inner.count() == 1 and left.count() == 3
+
+
+def test_ot_burnout_corr_without_spread_is_null(spark):
+    def corr(*rows):
+        df = spark.createDataFrame(rows, "avg_team_ot_hours double, burnout_rate double")
+        return tuple(hr_reports.hr_ot_burnout_corr(df).first())
+
+    assert corr((14.5, 0.1), (14.5, 0.2)) == (2, None)  # raised DIVIDE_BY_ZERO
+    assert corr((14.5, 0.1), (14.6, 0.1), (14.7, 0.1)) == (3, None)
+    assert corr((14.5, 0.1)) == (1, None) and corr() == (0, None)
+    assert corr((1.0, 0.1), (2.0, 0.3), (3.0, 0.2), (9.0, None), (None, 0.9)) == (4, 0.5)  # of the pairs alone
