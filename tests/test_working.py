@@ -9,7 +9,7 @@ from tests.conftest import SF_SMALL
 from tests.test_restaurant import tiny_menu, tiny_res, tiny_sales, tiny_staff
 from tillroll.operators import covers, kpi, marts, menu, quality, revenue, servers, working
 from tillroll.plans import pipelines
-from tillroll.sources import io
+from tillroll.sources import io, testdata
 from tillroll.sources.testdata import TestTables
 
 
@@ -147,3 +147,19 @@ def test_readers_keep_their_version_and_old_ones_go(spark, tmp_path):
         io.publish_mart(spark.range(k).selectExpr("id AS n", "2025 AS year"), path, ["year"])
     assert io.read_mart(spark, path).count() == 5
     assert len([d for d in os.listdir(path) if d.startswith("v")]) == 2
+
+
+def dealt(df):
+    """Tasks to which an executed plan deals lines and orders, by count."""
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {int(n) for n in re.findall(r"hashpartitioning\([lo]_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)}
+
+
+def test_item_performance_of_many_lines_takes_more_tasks(spark, monkeypatch):
+    whole = marts.mart_item_performance(TestTables(spark, SF_SMALL).sales())
+    assert dealt(whole) == set()  # few lines: left to AQE
+    monkeypatch.setattr(testdata, "TASK_LINES", 500)
+    many = marts.mart_item_performance(TestTables(spark, SF_SMALL + "/.").sales())
+    assert dealt(many) == {-(-TestTables(spark, SF_SMALL).t("lineitem").count() // 500)}
+    assert same(many, whole)
