@@ -163,3 +163,14 @@ def test_item_performance_of_many_lines_takes_more_tasks(spark, monkeypatch):
     many = marts.mart_item_performance(TestTables(spark, SF_SMALL + "/.").sales())
     assert dealt(many) == {-(-TestTables(spark, SF_SMALL).t("lineitem").count() // 500)}
     assert same(many, whole)
+
+
+def test_duplicate_rows_of_many_lines_take_more_tasks(spark, monkeypatch):
+    import __spark_entry__
+
+    query = __spark_entry__.queries()["dq_duplicate_rows"]
+    whole = query(spark, SF_SMALL)
+    monkeypatch.setattr(testdata, "TASK_LINES", 500)
+    many = query(spark, SF_SMALL + "/./.")
+    assert dealt(many) == {-(-TestTables(spark, SF_SMALL).t("lineitem").count() // 500)}
+    assert same(many, whole)
