@@ -174,3 +174,12 @@ def test_duplicate_rows_of_many_lines_take_more_tasks(spark, monkeypatch):
     many = query(spark, SF_SMALL + "/./.")
     assert dealt(many) == {-(-TestTables(spark, SF_SMALL).t("lineitem").count() // 500)}
     assert same(many, whole)
+
+
+def test_reconciling_groups_by_no_order(spark):
+    sales = tiny_sales(spark)
+    got = marts.dq_mart_reconcile(sales)
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", got._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("order_id" in k or "reservation_id" in k for k in keys)
+    lines = marts.mart_cube(sales, counts=False)
+    assert same(lines, marts.mart_cube(sales).select(*lines.columns))

@@ -90,24 +90,34 @@ MARTS = {
 FACT = "fact"  # the cube's row with the total over all lines
 
 
-def mart_cube(sales: DataFrame) -> DataFrame:
+def mart_cube(sales: DataFrame, counts: bool = True) -> DataFrame:
     """Rows of all marts, told apart by ``mart``, before rounding: keys,
     checks, covers and measures; and one row ``fact`` with the total of the
-    fact, its own grouping set. One scan of the fact."""
+    fact, its own grouping set. One scan of the fact.
+
+    Only the two distinct counts need order and reservation ids in the
+    grouping. For readers of the measures alone (``counts`` False) lines
+    collapse to the marts' own grains at once; the rows and measures are the
+    same."""
     specs = _specs()
     keys = {k: c for spec in specs.values() for k, c in spec.keys.items()}
     sums = ["_rev", *dict.fromkeys(s for spec in specs.values() for s in spec.sums)]
-    cols = [*keys, "order_id", "reservation_id"]
-    sets = [(name, [*spec.keys, "order_id"]) for name, spec in specs.items()]
-    sets += [("daily_summary", [*specs["daily_summary"].keys, "reservation_id"]), (FACT, [])]
+    ids = ["order_id", "reservation_id"] if counts else []
+    cols = [*keys, *ids]
+    sets = [(name, [*spec.keys, *ids[:1]]) for name, spec in specs.items()]
+    if counts:
+        sets.append(("daily_summary", [*specs["daily_summary"].keys, "reservation_id"]))
+    sets.append((FACT, []))
     used = [c for c in ("line_total", "qty", "unit_price") if c in sales.columns]
-    lines = sales.select("order_id", "reservation_id", *used, *[c.alias(k) for k, c in keys.items()])
+    lines = sales.select(*ids, *used, *[c.alias(k) for k, c in keys.items()])
     g = lines.groupingSets([s for _, s in sets], *cols).agg(*measures(lines, *sums), F.grouping_id().alias("_gid"))
     # grouping_id: one bit per column that is rolled up, the first column highest
     number = [sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in chosen) for _, chosen in sets]
     name = F.lit(FACT)
     for (mart, _), gid in zip(sets, number, strict=True):
         name = F.when(F.col("_gid") == gid, mart).otherwise(name)
+    if not counts:
+        return g.select(name.alias("mart"), *keys, *sums)
     by_reservation = F.col("_gid") == number[-2]
     g = g.withColumn("mart", name)
     return g.groupBy("mart", *keys).agg(
@@ -128,7 +138,7 @@ def dq_mart_reconcile(sales: DataFrame, marts: dict[str, DataFrame] | None = Non
     ``sales`` is then the fact or its order-grain working table. Without,
     marts and total come from one scan (``mart_cube``)."""
     if marts is None:
-        cube = mart_cube(sales)
+        cube = mart_cube(sales, counts=False)
         a = cube.groupBy("mart").agg(F.count(F.lit(1)).alias("mart_rows"), F.sum(F.round("_rev", 2)).alias("_rounded"), F.sum("_rev").alias("_sum"))
         fact = F.max(F.when(F.col("mart") == FACT, F.col("_sum"))).over(Window.partitionBy())  # six rows
         u = a.withColumn("_fact", fact).filter(F.col("mart") != FACT).withColumn("_rev", F.col("_rounded"))
