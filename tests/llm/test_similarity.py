@@ -308,3 +308,20 @@ def test_sizes_as_spark_spells_them(spark, odd_docs):
     assert [common.byte_size(x) for x in ("8388608", "64MB", "8m", " 2 k", "1g", "7b", "3KiB")] == [8388608, 64 << 20, 8 << 20, 2048, 1 << 30, 7, 3072]
     with common.setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", "64MB"):
         common.with_package(odd_docs)
+
+
+def test_classes_join_each_near_copy_once(spark, monkeypatch):
+    """Near copies meet several leaders; the classes need one link of each."""
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:9 * i] + [f"other{i}"] + words[9 * i + 1:])) for i in range(40)] + [(99, "something else")]
+    given, real = [], fingerprints.components
+
+    def counted(links, left, right):
+        given.append((links.select(left, right).distinct().count(), links.select(left).union(links.select(right)).distinct().count()))
+        return real(links, left, right)
+
+    monkeypatch.setattr(fingerprints, "components", counted)
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.classed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(40)} | {99: 99}
+    assert given[0][0] > given[0][1]  # the leaders' links: several a copy
+    assert given[-1][0] <= given[-1][1]

@@ -428,9 +428,10 @@ def _blocks_meet(at_least: float):
     return run
 
 
-def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> DataFrame:
+def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[DataFrame, DataFrame]:
     """a, b, likeness: links between classes (k, id, fp) that connect any two
-    near ones which share a bucket."""
+    near ones which share a bucket; and a, b: the same connections, with one
+    row for each class that the first leaders' links connect."""
     n = partitions(classes.sparkSession)
     members = written(classes.select("k", "fp").mapInArrow(_band_keys(bands, rows), "k long, key long")
                       .repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "k long, key long"), "op7-members")
@@ -441,8 +442,8 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> DataFr
     sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
              .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
     links = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
-    of = components(links, "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c"))
-    members = members.join(of, "k", "left").select("key", "k", "id", F.coalesce("c", "k").alias("c"))
+    joined = components(links, "a", "b").toDF("a", "b")
+    members = members.join(joined.toDF("k", "c"), "k", "left").select("key", "k", "id", F.coalesce("c", "k").alias("c"))
     for turn in range(1, LEADERS):
         # another leader of each bucket that is not yet connected, met by the members of other classes
         members = written(_open(members), f"op7-open-{turn}")
@@ -451,7 +452,7 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> DataFr
         sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
                  .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
         found = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
-        links = links.unionByName(found)
+        links, joined = links.unionByName(found), joined.unionByName(found.select("a", "b"))
         merged = components(found.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb")
         members = (members.join(merged.select(F.col("id").alias("c"), "component"), "c", "left")
                    .select("key", "k", "id", F.coalesce("component", "c").alias("c")))
@@ -462,7 +463,8 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> DataFr
              .join(fps, "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
     more = (dealt.select("key", "i", "j", "k", "id", "c", "block", "fp").groupBy("key", "i", "j")
             .applyInArrow(_blocks_meet(at_least), LINKS).dropDuplicates(["a", "b"]))
-    return links.unionByName(written(more, "op7-more"))
+    more = written(more, "op7-more")
+    return links.unionByName(more), joined.unionByName(more.select("a", "b"))
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -485,7 +487,8 @@ def similar(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerp
     copies = (source.withColumnRenamed("id", "right_id").join(classes.withColumnRenamed("id", "left_id"), "fp")
               .filter("left_id <> right_id").select("left_id", "right_id", F.lit(1.0).alias("likeness")))
     ids = classes.select("k", "id")
-    found = (_links(classes, bands, rows, at_least).join(ids.toDF("a", "left_id"), "a").join(ids.toDF("b", "right_id"), "b")
+    links, _ = _links(classes, bands, rows, at_least)
+    found = (links.join(ids.toDF("a", "left_id"), "a").join(ids.toDF("b", "right_id"), "b")
              .select("left_id", "right_id", "likeness"))
     return found.unionByName(copies)
 
@@ -498,7 +501,8 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
     classes = (prints.groupBy(F.xxhash64("fingerprint").alias("k"))
                .agg(F.first("fingerprint").alias("fp"), F.min("doc_id").alias("id"), F.count("*").alias("n")))
     classes = written(classes, "op7-classes")
-    of = components(_links(classes, bands, rows, at_least), "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c"))
+    _, joined = _links(classes, bands, rows, at_least)
+    of = components(joined, "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c"))
     whole = classes.select("k", "id", "n").join(of, "k", "left").withColumn("c", F.coalesce("c", "k"))
     low = whole.groupBy("c").agg(F.min("id").alias("class_id"), F.sum("n").alias("all")).filter("all > 1")
     of_k = written(whole.join(low, "c").select("k", "class_id"), "op7-class-ids")  # the others are alone
