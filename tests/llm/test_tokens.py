@@ -174,3 +174,12 @@ def test_counts_of_words_add_up(piece_library, small_docs):
     assert words.by_words
     for t in odd_texts(3000, 4) + [t for _, t in small_docs]:
         assert words.count(t) == len(piece_library.encode(t)), repr(t)
+
+
+def test_remembered_words_stay_few(monkeypatch):
+    """A worker keeps its words from task to task, beside the JVM's heap."""
+    monkeypatch.setattr(word_bpe.WordBpe, "_word", lambda self, word: b"1234")
+    vocab = word_bpe.WordBpe(tokenizer_path("word_bpe_49k.json"))
+    for i in range(500_000):
+        vocab[str(i)]
+    assert len(vocab) + len(vocab.old) <= 300_000

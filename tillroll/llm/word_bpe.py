@@ -22,7 +22,7 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ňŊ-ſ]+")
 _LOWERABLE = re.compile(r"[\t\n\r -;=-~À-ÖØ-öø-įĲ-ňŊ-ſ]*")
 _PROSE = re.compile(r"[\t\n\r .,a-zß-öø-įĲ-ňŊ-ſ]*")
 _DOUBLED = re.compile(r"[.,][.,]")
-GENERATION = 300_000  # words remembered in each of two generations
+GENERATION = 150_000  # words remembered in each of two generations; a worker keeps them for its next tasks
 
 
 def _byte_chars() -> dict[int, str]:
