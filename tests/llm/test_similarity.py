@@ -325,3 +325,13 @@ def test_classes_join_each_near_copy_once(spark, monkeypatch):
     assert got == {i: 0 for i in range(40)} | {99: 99}
     assert given[0][0] > given[0][1]  # the leaders' links: several a copy
     assert given[-1][0] <= given[-1][1]
+
+
+def test_open_buckets_meet_their_leader_in_one_join(spark):
+    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1), (2, 2, 1), (3, 1, 1), (3, 2, 2), (3, 3, 3), (4, 3, 3), (4, 4, 4)],
+                                    "key long, k long, c long")
+    got = fingerprints._open(members, 1)
+    rows = got.collect()
+    assert {(r.key, r.n) for r in rows} == {(1, 3), (4, 2)} and len(rows) == 5  # 2 holds one class, 3 the members of 1
+    assert all(len({r.a for r in rows if r.key == key}) == 1 for key in (1, 4)) and all(r.a == r.ca for r in rows)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

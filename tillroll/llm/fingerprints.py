@@ -435,44 +435,44 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[
     n = partitions(classes.sparkSession)
     members = written(classes.select("k", "fp").mapInArrow(_band_keys(bands, rows), "k long, key long")
                       .repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "k long, key long"), "op7-members")
-    members = members.join(classes.select("k", "id"), "k")
     fps = classes.select("k", "fp")
-    heads = members.groupBy("key").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("head"))
-    pairs = members.join(heads, "key").select(F.col("head.k").alias("a"), F.col("k").alias("b")).filter("a <> b").distinct()
+    smallest = F.first("k").over(Window.partitionBy("key").orderBy(F.col("id").isNull(), "id", "k"))
+    pairs = members.join(classes.select("k", "id"), "k").select(smallest.alias("a"), F.col("k").alias("b")).filter("a <> b").distinct()
     sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
              .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
     links = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
     joined = components(links, "a", "b").toDF("a", "b")
-    members = members.join(joined.toDF("k", "c"), "k", "left").select("key", "k", "id", F.coalesce("c", "k").alias("c"))
+    members = members.join(joined.toDF("k", "c"), "k", "left").select("key", "k", F.coalesce("c", "k").alias("c"))
     for turn in range(1, LEADERS):
         # another leader of each bucket that is not yet connected, met by the members of other classes
-        members = written(_open(members), f"op7-open-{turn}")
-        leader = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "c")).alias("l")).select("key", "l.k", "l.c").toDF("key", "a", "ca")
-        pairs = members.join(leader, "key").filter("c <> ca").select("a", F.col("k").alias("b"), "ca", F.col("c").alias("cb")).dropDuplicates(["a", "b"])
+        members = written(_open(members, turn), f"op7-open-{turn}")
+        pairs = members.filter("c <> ca").select("a", F.col("k").alias("b"), "ca", F.col("c").alias("cb")).dropDuplicates(["a", "b"])
         sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
                  .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
         found = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
         links, joined = links.unionByName(found), joined.unionByName(found.select("a", "b"))
         merged = components(found.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb")
         members = (members.join(merged.select(F.col("id").alias("c"), "component"), "c", "left")
-                   .select("key", "k", "id", F.coalesce("component", "c").alias("c")))
-    members = _open(members)
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    dealt = (mine.select("key", "k", "id", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .join(fps, "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+                   .select("key", "k", F.coalesce("component", "c").alias("c")))
+    mine = (_open(members, LEADERS).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
+    dealt = (mine.select("key", "k", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .join(classes.select("k", "id", "fp"), "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
     more = (dealt.select("key", "i", "j", "k", "id", "c", "block", "fp").groupBy("key", "i", "j")
             .applyInArrow(_blocks_meet(at_least), LINKS).dropDuplicates(["a", "b"]))
     more = written(more, "op7-more")
     return links.unionByName(more), joined.unionByName(more.select("a", "b"))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """Members (key, k, id, c) of the buckets that hold several classes; of
-    buckets with the same members one."""
+def _open(members: DataFrame, turn: int) -> DataFrame:
+    """Members (key, k, c) of the buckets that hold several classes, with the
+    bucket's size n and this turn's leader a, of class ca; of buckets with
+    the same members one."""
     keys = (members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"),
-                                       F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same")).filter("low <> high")
-            .groupBy("n", "same").agg(F.min("key").alias("key")).select("key"))
+                                       F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same"),
+                                       F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "c")).alias("l")).filter("low <> high")
+            .groupBy("n", "same").agg(F.min(F.struct("key", "l")).alias("one"))
+            .select("one.key", "n", F.col("one.l.k").alias("a"), F.col("one.l.c").alias("ca")))
     return members.join(keys, "key")
 
 
