@@ -335,3 +335,18 @@ def test_open_buckets_meet_their_leader_in_one_join(spark):
     assert {(r.key, r.n) for r in rows} == {(1, 3), (4, 2)} and len(rows) == 5  # 2 holds one class, 3 the members of 1
     assert all(len({r.a for r in rows if r.key == key}) == 1 for key in (1, 4)) and all(r.a == r.ca for r in rows)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_join_leaves_no_sets_behind(spark):
+    """Shingle sets are the join's largest tables; they go once compared."""
+    from pathlib import Path
+
+    from tillroll import session
+    folder = Path(session.ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("join-*"))
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[:200] + [f"x{i}"])) for i in range(4)] + [(9, " ".join(words[100:]))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    left = [f for f in set(folder.glob("join-*")) - before if f.name.startswith(("join-sets", "join-tried", "join-met", "join-offers"))]
+    assert not [f for f in left if any(f.iterdir())]

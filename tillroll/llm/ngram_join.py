@@ -340,7 +340,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     leaders = keyed.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").drop("last")
     offered = written(_met(keyed, leaders, "key").groupBy("id").agg(F.min("head").alias("head")), "join-offers")
     tried = written(job.bounded_pairs(offered.filter("id <> head"), reps), "join-tried")
-    star = written(job.verified(tried, job.sets(job.ends(tried))), "join-stars")
+    sets = job.sets(job.ends(tried))
+    star = written(job.verified(tried, sets), "join-stars")
+    dropped(sets, tried)  # tables go as soon as no step reads them: sets take some kilobytes a document
     # a star's number is its leader; a loose group of similar documents has a number by hash
     led = star.select("head").distinct().withColumn("leads", F.lit(True))
     alone = _met(_met(offered, star.select("id"), "id", "left_anti"), led.select(F.col("head").alias("id")), "id", "left_anti")
@@ -348,15 +350,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     similar = (_met(alone, met_at, "head").select("id", (-1 - F.pmod(F.xxhash64("head", F.pmod(F.xxhash64("id"), F.ceil(F.col("met") / PART))), F.lit(1 << 62))).alias("s")))
     grouped = written(_met(_met(reps.select("id", "of", "d1", "n"), star, "id", "left"), similar, "id", "left")
                       .select("of", "d1", "id", "n", F.coalesce("head", "s", "id").alias("g"), (F.col("head").isNull() & F.col("s").isNotNull()).alias("loose")), "join-groups")
+    dropped(offered)
 
     # the matrix of rare tokens against groups
     prefix = source.filter("id IS NOT NULL").mapInArrow(_prefixes(sketch, percent), "of long, d1 long, tokens array<long>")
     matrix = written(_met(prefix, grouped, ["of", "d1"]).select("id", "n", "g", "loose", "tokens"), "join-matrix")
     sketch.destroy()
     cells = matrix.select("id", "n", "g", "loose", F.explode("tokens").alias("token"))
-    shared = (cells.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("loose").alias("loose"))
-              .filter("lo < hi OR (loose AND a < b)").select("token"))
-    cells = written(_met(cells, shared, "token"), "join-cells")
+    # one shuffle of the cells: counting tokens apart from them would write as much again
+    of_token = Window.partitionBy("token")
+    cells = (cells.withColumns({"lo": F.min("g").over(of_token), "hi": F.max("g").over(of_token), "a": F.min("id").over(of_token),
+                                "b": F.max("id").over(of_token), "any": F.max("loose").over(of_token)})
+             .filter("lo < hi OR (any AND a < b)").select("token", "id", "n", "g", "loose"))
+    cells = written(cells, "join-cells")
     dropped(matrix)
     held = cells.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("g", "head")
     met = (_met(cells, held, "token").filter("g > head OR (g = head AND loose)").filter(f"100 * most >= {percent} * n AND {percent} * least <= 100 * n")
@@ -378,6 +384,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # leaders first, then the parts of groups that may hold a partner
     sets = job.sets(job.ends(near))
     linked = written(job.verified(near, sets), "join-linked")
+    dropped(sets, met)
     parted = (_met(grouped, sizes.filter("others = 1"), "g")
               .select(F.col("g").alias("head"), F.col("id").alias("member"),
                       F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / PART)).cast("long").alias("part")))
@@ -395,7 +402,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         opened = asked.mapInArrow(_overlap(percent, False), "id long, head long, part long")
         pairs = _met(opened, inside, ["head", "part"]).select("id", F.col("member").alias("head")).filter("id <> head").distinct()
         pairs = written(job.bounded_pairs(pairs, reps), "join-opened")
-        links = links.union(job.verified(pairs, sets))
+        links = links.union(written(job.verified(pairs, sets), "join-found"))
+        dropped(sets, inside, pairs)
     roots = components(links, "id", "head")
     # rows with one id and several texts link their classes
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("doc_id", "a")
@@ -409,7 +417,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = _met(member.select("doc_id", "rep"), of_class, "rep").groupBy("doc_id").agg(F.min("low").alias("root"))
     out = written(_met(sizes_of, found, "doc_id", "left")
                   .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")), "join-result")
-    dropped(member, reps, roots, sizes_of, grouped, met, near, linked, star, tried, offered)
+    dropped(member, reps, roots, sizes_of, grouped, near, linked, star, waiting)
     return out
 
 
