@@ -176,6 +176,26 @@ def test_duplicate_rows_of_many_lines_take_more_tasks(spark, monkeypatch):
     assert same(many, whole)
 
 
+def test_duplicate_rows_of_many_lines_are_grouped_in_more_tasks(spark, monkeypatch):
+    import __spark_entry__
+
+    query = __spark_entry__.queries()["dq_duplicate_rows"]
+
+    def grouped(df):
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return {int(n) for n in re.findall(r"hashpartitioning\(order_id#[^)]*, (\d+)\)", plan)}
+    whole = query(spark, SF_SMALL)
+    monkeypatch.setattr(testdata, "TASK_LINES", 500)
+    many = query(spark, SF_SMALL + "/././.")
+    tasks = -(-TestTables(spark, SF_SMALL).t("lineitem").count() // 500)
+    assert tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert grouped(whole) == {int(spark.conf.get("spark.sql.shuffle.partitions"))} and grouped(many) == {tasks}
+    assert whole.count() and same(many, whole)
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (1, None), (None, None), (2, "a")], "n int, s string")
+    assert sorted(map(str, quality.dq_duplicate_rows(rows, tasks=7).collect())) == sorted(map(str, quality.dq_duplicate_rows(rows).collect()))
+
+
 def test_reconciling_groups_by_no_order(spark):
     sales = tiny_sales(spark)
     got = marts.dq_mart_reconcile(sales)

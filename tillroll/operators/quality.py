@@ -44,9 +44,13 @@ def dq_frequent_keys(df: DataFrame, key: str = "order_id", threshold: int = 50,
     return a.orderBy(F.desc("occurrences"), F.asc_nulls_last(key)).limit(limit)
 
 
-def dq_duplicate_rows(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Rows repeated on the full key (all columns by default)."""
+def dq_duplicate_rows(df: DataFrame, keys: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """Rows repeated on the full key (all columns by default). Nearly every
+    row is a group of its own, so the groups of one task grow with the table
+    where the number of tasks does not: ``tasks`` deals them over that many."""
     keys = keys or df.columns
+    if tasks:
+        df = df.repartition(tasks, *keys)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
 
 
