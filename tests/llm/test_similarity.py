@@ -337,6 +337,24 @@ def test_open_buckets_meet_their_leader_in_one_join(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_open_buckets_are_read_out_once(spark, monkeypatch):
+    """Later rounds meet only members of other classes than their leader's."""
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:9 * i] + [f"other{i}"] + words[9 * i + 1:])) for i in range(40)] + [(99, "something else")]
+    turns, real = [], fingerprints._open
+
+    def counted(members, turn):
+        turns.append(turn)
+        return real(members, turn)
+
+    monkeypatch.setattr(fingerprints, "_open", counted)
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.classed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert turns == [1] and got == {i: 0 for i in range(40)} | {99: 99}
+    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 2), (2, 1, 1), (2, 4, 1)], "key long, k long, c long")
+    (bucket,) = fingerprints._still_open(members, 2).collect()  # 2 holds one class
+    assert (bucket["of"], bucket["n"]) == (1, 3) and (bucket["a"], bucket["ca"]) in {(1, 1), (2, 2), (3, 2)}
+
+
 def test_join_leaves_no_sets_behind(spark):
     """Shingle sets are the join's largest tables; they go once compared."""
     from pathlib import Path

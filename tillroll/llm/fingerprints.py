@@ -443,18 +443,23 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[
     links = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
     joined = components(links, "a", "b").toDF("a", "b")
     members = members.join(joined.toDF("k", "c"), "k", "left").select("key", "k", F.coalesce("c", "k").alias("c"))
+    # the members of open buckets, read once; each round's leader meets those of other classes only
+    members = written(_open(members, 1), "op7-open")
+    met = members.filter("c <> ca")
     for turn in range(1, LEADERS):
-        # another leader of each bucket that is not yet connected, met by the members of other classes
-        members = written(_open(members, turn), f"op7-open-{turn}")
-        pairs = members.filter("c <> ca").select("a", F.col("k").alias("b"), "ca", F.col("c").alias("cb")).dropDuplicates(["a", "b"])
+        if turn > 1:
+            leaders = _still_open(members, turn)
+            met = members.drop("a", "ca").join(leaders, (members["key"] == leaders["of"]) & (members["c"] != leaders["ca"]))
+        pairs = met.select("a", F.col("k").alias("b"), "ca", F.col("c").alias("cb")).dropDuplicates(["a", "b"])
         sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
                  .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
         found = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
         links, joined = links.unionByName(found), joined.unionByName(found.select("a", "b"))
         merged = components(found.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb")
-        members = (members.join(merged.select(F.col("id").alias("c"), "component"), "c", "left")
-                   .select("key", "k", F.coalesce("component", "c").alias("c")))
-    mine = (_open(members, LEADERS).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        members = (members.select("key", "k", "n", "c").join(merged.select(F.col("id").alias("c"), "component"), "c", "left")
+                   .select("key", "k", "n", F.coalesce("component", "c").alias("c")))
+    mine = (members.join(_still_open(members, LEADERS).select(F.col("of").alias("key")), "key", "left_semi")
+            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
     dealt = (mine.select("key", "k", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
              .join(classes.select("k", "id", "fp"), "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
@@ -464,15 +469,21 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[
     return links.unionByName(more), joined.unionByName(more.select("a", "b"))
 
 
+def _still_open(members: DataFrame, turn: int) -> DataFrame:
+    """Buckets (of) that hold several classes, with this turn's leader a, of
+    class ca, their size n and a sum (same) that tells their members."""
+    return (members.groupBy(F.col("key").alias("of")).agg(
+        F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same"),
+        F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "c")).alias("l")).filter("low <> high")
+        .select("of", "n", "same", F.col("l.k").alias("a"), F.col("l.c").alias("ca")))
+
+
 def _open(members: DataFrame, turn: int) -> DataFrame:
     """Members (key, k, c) of the buckets that hold several classes, with the
     bucket's size n and this turn's leader a, of class ca; of buckets with
     the same members one."""
-    keys = (members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"),
-                                       F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same"),
-                                       F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "c")).alias("l")).filter("low <> high")
-            .groupBy("n", "same").agg(F.min(F.struct("key", "l")).alias("one"))
-            .select("one.key", "n", F.col("one.l.k").alias("a"), F.col("one.l.c").alias("ca")))
+    keys = (_still_open(members, turn).groupBy("n", "same").agg(F.min(F.struct(F.col("of").alias("key"), "a", "ca")).alias("one"))
+            .select("one.key", "n", "one.a", "one.ca"))
     return members.join(keys, "key")
 
 
