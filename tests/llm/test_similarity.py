@@ -350,9 +350,10 @@ def test_open_buckets_are_read_out_once(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "_open", counted)
     got = {r["doc_id"]: r["class_id"] for r in fingerprints.classed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert turns == [1] and got == {i: 0 for i in range(40)} | {99: 99}
-    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, 2), (2, 1, 1), (2, 4, 1)], "key long, k long, c long")
-    (bucket,) = fingerprints._still_open(members, 2).collect()  # 2 holds one class
-    assert (bucket["of"], bucket["n"]) == (1, 3) and (bucket["a"], bucket["ca"]) in {(1, 1), (2, 2), (3, 2)}
+    held = spark.createDataFrame([(1, 1, 1, (7, 1), 3), (1, 2, 2, (5, 2), 3), (2, 1, 1, (7, 1), 2), (2, 4, 1, (3, 4), 2)],
+                                 "key long, c long, now long, l struct<h long, k long>, n long")
+    got = fingerprints._next_leaders(held).collect()  # 2 holds one class by now
+    assert sorted((r["key"], r["c"], r["a"], r["ca"]) for r in got) == [(1, 1, 2, 2), (1, 2, 2, 2)]
 
 
 def test_join_leaves_no_sets_behind(spark):

@@ -404,7 +404,9 @@ def _verified(at_least: float):
         for b in batches:
             near = np.array([likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
             keep = pa.array(near >= at_least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], ["a", "b", "likeness"]).filter(keep)
+            more = range(4, b.num_columns)  # further columns pass
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64()), *map(b.column, more)],
+                                             ["a", "b", "likeness", *(b.schema.names[i] for i in more)]).filter(keep)
     return run
 
 
@@ -443,22 +445,23 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[
     links = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
     joined = components(links, "a", "b").toDF("a", "b")
     members = members.join(joined.toDF("k", "c"), "k", "left").select("key", "k", F.coalesce("c", "k").alias("c"))
-    # the members of open buckets, read once; each round's leader meets those of other classes only
+    # the members of open buckets, read out once; the rounds follow the classes that each bucket holds (c, now part
+    # of another one, now), and a leader meets the members of other classes only
     members = written(_open(members, 1), "op7-open")
-    met = members.filter("c <> ca")
-    for turn in range(1, LEADERS):
-        if turn > 1:
-            leaders = _still_open(members, turn)
-            met = members.drop("a", "ca").join(leaders, (members["key"] == leaders["of"]) & (members["c"] != leaders["ca"]))
-        pairs = met.select("a", F.col("k").alias("b"), "ca", F.col("c").alias("cb")).dropDuplicates(["a", "b"])
+    held = members.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("k", F.lit(2)), "k")).alias("l"), F.first("n").alias("n"),
+                                           F.first("a").alias("a"), F.first("ca").alias("ca"))
+    held = written(held.select("key", "c", F.col("c").alias("now"), "l", "n", "a", "ca"), "op7-held")
+    members = members.select("key", "c", "k")
+    for _ in range(1, LEADERS):
+        others = held.filter("now <> ca").select("key", "c", "now", "a", "ca")
+        pairs = members.join(others, ["key", "c"]).select("a", F.col("k").alias("b"), "ca", F.col("now").alias("cb")).dropDuplicates(["a", "b"])
         sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
-                 .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
-        found = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
-        links, joined = links.unionByName(found), joined.unionByName(found.select("a", "b"))
-        merged = components(found.join(pairs.select("a", "b", "ca", "cb"), ["a", "b"]).select("ca", "cb").distinct(), "ca", "cb")
-        members = (members.select("key", "k", "n", "c").join(merged.select(F.col("id").alias("c"), "component"), "c", "left")
-                   .select("key", "k", "n", F.coalesce("component", "c").alias("c")))
-    mine = (members.join(_still_open(members, LEADERS).select(F.col("of").alias("key")), "key", "left_semi")
+                 .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y", "ca", "cb"))
+        found = written(sides.mapInArrow(_verified(at_least), f"{LINKS}, ca long, cb long"), "op7-stars")
+        links, joined = links.unionByName(found.select("a", "b", "likeness")), joined.unionByName(found.select("a", "b"))
+        merged = components(found.select("ca", "cb").distinct(), "ca", "cb")
+        held = written(_next_leaders(held.join(merged.toDF("now", "to"), "now", "left").withColumn("now", F.coalesce("to", "now"))), "op7-held")
+    mine = (members.join(held.select("key", "c", "now", "n"), ["key", "c"]).select("key", "k", F.col("now").alias("c"), "n")
             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
     dealt = (mine.select("key", "k", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -469,21 +472,23 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[
     return links.unionByName(more), joined.unionByName(more.select("a", "b"))
 
 
-def _still_open(members: DataFrame, turn: int) -> DataFrame:
-    """Buckets (of) that hold several classes, with this turn's leader a, of
-    class ca, their size n and a sum (same) that tells their members."""
-    return (members.groupBy(F.col("key").alias("of")).agg(
-        F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same"),
-        F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "c")).alias("l")).filter("low <> high")
-        .select("of", "n", "same", F.col("l.k").alias("a"), F.col("l.c").alias("ca")))
+def _next_leaders(held: DataFrame) -> DataFrame:
+    """Classes (key, c, now, l, n) of the buckets that still hold several
+    ones, with the bucket's next leader a, of class ca: the least by l."""
+    keys = (held.groupBy("key").agg(F.min("now").alias("low"), F.max("now").alias("high"), F.min(F.struct("l", "now")).alias("one"))
+            .filter("low <> high").select("key", F.col("one.l.k").alias("a"), F.col("one.now").alias("ca")))
+    return held.select("key", "c", "now", "l", "n").join(keys, "key")
 
 
 def _open(members: DataFrame, turn: int) -> DataFrame:
     """Members (key, k, c) of the buckets that hold several classes, with the
     bucket's size n and this turn's leader a, of class ca; of buckets with
     the same members one."""
-    keys = (_still_open(members, turn).groupBy("n", "same").agg(F.min(F.struct(F.col("of").alias("key"), "a", "ca")).alias("one"))
-            .select("one.key", "n", "one.a", "one.ca"))
+    keys = (members.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high"),
+                                       F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("same"),
+                                       F.min(F.struct(F.xxhash64("k", F.lit(turn)), "k", "c")).alias("l")).filter("low <> high")
+            .groupBy("n", "same").agg(F.min(F.struct("key", "l")).alias("one"))
+            .select("one.key", "n", F.col("one.l.k").alias("a"), F.col("one.l.c").alias("ca")))
     return members.join(keys, "key")
 
 
