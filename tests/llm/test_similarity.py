@@ -369,3 +369,74 @@ def test_join_leaves_no_sets_behind(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
     left = [f for f in set(folder.glob("join-*")) - before if f.name.startswith(("join-sets", "join-tried", "join-met", "join-offers"))]
     assert not [f for f in left if any(f.iterdir())]
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Stars are told by their ends; each round writes its links."""
+    from tillroll.llm import components as module
+    tables, real = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, what: tables.append(what) or real(df, what))
+    links = spark.createDataFrame([(5, i) for i in range(6, 30)] + [(40, 41), (40, 41), (5, 6)], "a long, b long")
+    got = sorted((r["id"], r["component"]) for r in components(links, "a", "b").collect())
+    assert got == [(i, 5) for i in range(5, 30)] + [(40, 40), (41, 40)]
+    assert len(tables) == 1
+    for links in ([(1, 3), (2, 3)], [(1, 2), (2, 3)], [(i, i + 1) for i in range(20)] + [(30, i) for i in range(31, 300)]):  # not stars
+        low = min(a for a, _ in links if a < 30)
+        got = dict((r["id"], r["component"]) for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect())
+        assert got == {x: low if x < 30 else 30 for link in links for x in link}
+
+
+def meeting(rows):
+    names = ["key", "i", "j", "k", "id", "c", "block", "fp"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    table = pa.Table.from_arrays([pa.array(v, k) for v, k in zip(zip(*sorted(rows, key=lambda r: r[:3]), strict=True), kinds, strict=True)], names)
+    return [r for b in fingerprints._blocks_meet(0.6)(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+
+
+def test_rows_of_one_class_never_meet(small_docs, monkeypatch):
+    """A bucket of one large class and a few others costs as many comparisons
+    as there are pairs of different classes."""
+    compared, real = [], fingerprints.Prints.likeness
+    monkeypatch.setattr(fingerprints.Prints, "likeness", lambda self, x, y: compared.append(len(x)) or real(self, x, y))
+    base = max((t for _, t in small_docs if t), key=len)[:2000]
+    prints = fingerprints.fingerprint([base[:900 + i] + chr(97 + i % 26) + base[901 + i:] for i in range(40)])
+    rows = [(7, 0, 0, 100 + i, i or None, 1 if i < 37 else i, 0, p) for i, p in enumerate(prints)]
+    got = meeting(rows)
+    assert sum(compared) == 37 * 3 + 3
+    want = {(min(x, y), max(x, y)) for x in range(40) for y in range(37, 40) if x != y and fingerprints.likeness(prints[x], prints[y]) >= 0.6}
+    assert want and {tuple(sorted((r["a"] - 100, r["b"] - 100))) for r in got} == want and len(got) == len(want)
+    assert all(r["likeness"] == fingerprints.likeness(prints[r["a"] - 100], prints[r["b"] - 100]) and r["ca"] != r["cb"] for r in got)
+    assert all(r["b"] == 100 for r in got if 100 in (r["a"], r["b"]))  # no id comes last
+    # two blocks, each with itself and with the other
+    two = [(7, min(m, o), max(m, o), *r[3:6], m, r[7]) for r in rows for m in [r[3] % 2] for o in (0, 1)]
+    compared.clear()
+    key = lambda r: (r["a"], r["b"])
+    assert sorted(meeting(two), key=key) == sorted(got, key=key) and sum(compared) == 37 * 3 + 3
+
+
+def test_few_pairs_meet_without_further_leaders(spark, small_docs, monkeypatch):
+    """Rounds of leaders are run where they spare comparisons; either way
+    the classes are the same."""
+    rnd = random.Random(8)
+    text, rows = list((max((t for _, t in small_docs), key=len) * 2)[:3000]), []
+    for i in range(12):  # each is near the next, the first and the last are unlike
+        rows.append((i, "".join(text)))
+        a = 3000 - 250 * (i + 1)
+        text[a:a + 250] = [chr(rnd.randrange(97, 123)) for _ in range(250)]
+    docs, runs, real = spark.createDataFrame(rows, "doc_id long, text string"), [], fingerprints.components
+    monkeypatch.setattr(fingerprints, "components", lambda *a: runs.append(1) or real(*a))
+    got = []
+    for pairs in (fingerprints.PAIRS, -1):
+        monkeypatch.setattr(fingerprints, "PAIRS", pairs)
+        runs.clear()
+        got.append(({r["doc_id"]: r["class_id"] for r in fingerprints.classed(docs, at_least=0.95).collect()}, len(runs)))
+    assert got[0][0] == got[1][0] and len(got[0][0]) == 12
+    assert [n for _, n in got] == [2, 1 + fingerprints.LEADERS]
+
+
+def test_shared_keys_name_their_first_row():
+    rows = [(1, 5), (3, 5), (9, 5), (2, 6), (4, 7), (8, 7), (1, 8), (2, 9), (7, 9)]
+    for size in (1, 2, 3, 20):
+        table = pa.table({"k": pa.array([k for k, _ in rows], pa.int64()), "key": pa.array([key for _, key in rows], pa.int64())})
+        got = [tuple(r.values()) for b in fingerprints._shared(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert got == [(1, 5, 1), (3, 5, 1), (9, 5, 1), (4, 7, 4), (8, 7, 4), (2, 9, 2), (7, 9, 2)]

@@ -17,8 +17,9 @@ therefore has ``WALKS`` independent walks, and the best pair counts.
 ``similar`` finds near documents from fingerprints: bands of sampled symbols
 make buckets, and no place past a text's end takes part in one. Each row of a
 bucket is first verified (by the sampled Hamming likeness) against the
-bucket's smallest id, then, while its members are not all connected, those
-of other classes against another leader, ``LEADERS`` times in all. In buckets
+bucket's first one, then, while its members are not all connected, those
+of other classes against another leader, ``LEADERS`` times in all; where few
+pairs are left (``PAIRS``) further leaders are left out. In buckets
 that are open even then every two members of different classes are verified
 too, in blocks of ``BLOCK`` rows that meet block by block. So any two near documents that share a bucket
 are linked, directly or over other links, and ``classed`` derives a class id.
@@ -58,6 +59,8 @@ SLICE = 3_000_000           # characters of a slice of the stream
 CHUNK, FEW = 256, 40        # steps of a block of characters; so few walks go on one by one
 BLOCK = 2048                # rows of a bucket that meet in one place
 LEADERS = 3                 # rounds of leaders before the rest of a bucket meets
+PAIRS = 64                  # others that a member of an open bucket meets on average without further rounds
+AT_ONCE = 8192              # pairs of fingerprints compared together
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -347,11 +350,12 @@ def _band_keys(bands: int, rows: int):
 
 
 def _shared(batches):
-    """Of rows (k, key) in order of key those whose key another row has too."""
-    names, held = ["k", "key"], None  # the last row waits for the next one
+    """Of rows (k, key) in order of key and k those whose key another row has
+    too, with the key's first row (a)."""
+    names, held = ["k", "key", "a"], None  # the last row waits for the next one
 
-    def batch(k, key):
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(key)], names)
+    def batch(k, key, a):
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(key), pa.array(a)], names)
 
     for b in batches:
         k, key = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
@@ -361,39 +365,63 @@ def _shared(batches):
         if held is not None:
             k, key, before = np.insert(k, 0, held[0]), np.insert(key, 0, held[1]), held[2]
         same = key[1:] == key[:-1]
+        a = k[np.maximum.accumulate(np.where(np.concatenate(([False], same)), 0, np.arange(len(k))))]
+        if before:
+            a[key == key[0]] = held[3]
         keep = np.concatenate(([before], same)) | np.concatenate((same, [False]))
-        held = (k[-1], key[-1], bool(same[-1]) if len(same) else before)
-        yield batch(k[:-1][keep[:-1]], key[:-1][keep[:-1]])
+        held = (k[-1], key[-1], bool(same[-1]) if len(same) else before, a[-1])
+        yield batch(k[:-1][keep[:-1]], key[:-1][keep[:-1]], a[:-1][keep[:-1]])
     if held is not None and held[2]:
-        yield batch(np.array([held[0]]), np.array([held[1]]))
+        yield batch(*(np.array([held[i]]) for i in (0, 1, 3)))
+
+
+class Prints:
+    """Distinct fingerprints as tables of symbols, by walk and level."""
+
+    def __init__(self, prints: list[str]):
+        parsed, self.walks = [_parsed(p) for p in prints], []
+        for walk in range(WALKS):
+            level, place, tables = np.array([p[walk][0] for p in parsed], np.int64), np.zeros(len(parsed), np.int64), {}
+            for n in np.unique(level).tolist():
+                who = np.flatnonzero(level == n)
+                place[who] = np.arange(len(who))
+                size = np.array([len(parsed[i][walk][1]) for i in who])
+                table = np.full((len(who), size.max()), 256, np.int16)
+                for row, i in zip(table, who.tolist(), strict=True):
+                    row[:len(parsed[i][walk][1])] = parsed[i][walk][1]
+                tables[n] = table, size
+            self.walks.append((level, place, tables))
+
+    @staticmethod
+    def _raised(table: np.ndarray, size: np.ndarray, level: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of a level that are also of level ``top``."""
+        if level == top:
+            return table, size
+        columns = np.flatnonzero(_kept(level, top)[:table.shape[1]])
+        return table[:, columns], np.searchsorted(columns, size)
+
+    def likeness(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``likeness`` of the x-th with the y-th print, pair by pair."""
+        best = (x == y).astype(np.float64)
+        for level, place, tables in self.walks:
+            both = level[x] * 64 + level[y]
+            for n in np.unique(both).tolist():
+                at, levels = np.flatnonzero(both == n), divmod(n, 64)
+                (a, a_size), (b, b_size) = (self._raised(*tables[k], k, max(levels)) for k in levels)
+                wide = min(a.shape[1], b.shape[1])
+                a, b = a[:, :wide], np.where(b[:, :wide] == 256, 257, b[:, :wide])  # no place past both ends is equal
+                for k in range(0, len(at), AT_ONCE):
+                    part = at[k:k + AT_ONCE]
+                    i, j = place[x[part]], place[y[part]]
+                    most = np.maximum(np.maximum(a_size[i], b_size[j]), 1)
+                    best[part] = np.maximum(best[part], (a[i] == b[j]).sum(axis=1) / most)
+        return best
 
 
 def _all_likeness(left: list[str], right: list[str]) -> np.ndarray:
     """``likeness`` of each of ``left`` with each of ``right``."""
-    best = np.zeros((len(left), len(right)))
-    a, b = [_parsed(x) for x in left], [_parsed(x) for x in right]
-    for walk in range(WALKS):
-        for la in {t[walk][0] for t in a}:
-            for lb in {t[walk][0] for t in b}:
-                top, sides = max(la, lb), []
-                for texts, level, fill in ((a, la, 256), (b, lb, 257)):
-                    who = [i for i, t in enumerate(texts) if t[walk][0] == level]
-                    symbols = [texts[i][walk][1] for i in who]
-                    if level < top:
-                        symbols = [x[_kept(level, top)[:len(x)]] for x in symbols]
-                    sides.append((who, symbols, fill))
-                size = [np.array([len(x) for x in s]) for _, s, _ in sides]
-                wide = int(max(size[0].max(), size[1].max()))
-                tables = []
-                for (who, symbols, fill) in sides:
-                    table = np.full((len(who), wide), fill, np.int16)
-                    for row, x in zip(table, symbols, strict=True):
-                        row[:len(x)] = x
-                    tables.append(table)
-                for i, row, n in zip(sides[0][0], tables[0], size[0], strict=True):
-                    most = np.maximum(np.maximum(n, size[1]), 1)
-                    best[i, sides[1][0]] = np.maximum(best[i, sides[1][0]], (tables[1] == row).sum(axis=1) / most)
-    return best
+    x, y = np.divmod(np.arange(len(left) * len(right)), max(1, len(right)))
+    return Prints(left + right).likeness(x, len(left) + y).reshape(len(left), len(right))
 
 
 LINKS = "a long, b long, likeness double"
@@ -402,7 +430,9 @@ LINKS = "a long, b long, likeness double"
 def _verified(at_least: float):
     def run(batches):
         for b in batches:
-            near = np.array([likeness(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            at = {p: i for i, p in enumerate(dict.fromkeys(x + y))}
+            near = Prints(list(at)).likeness(np.array([at[p] for p in x], np.int64), np.array([at[p] for p in y], np.int64))
             keep = pa.array(near >= at_least)
             more = range(4, b.num_columns)  # further columns pass
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64()), *map(b.column, more)],
@@ -410,44 +440,128 @@ def _verified(at_least: float):
     return run
 
 
+def _cross(left: np.ndarray, right: np.ndarray | None, c: np.ndarray):
+    """Pairs (x, y) of a row of ``left`` and one of ``right`` of another
+    class, a class of ``left`` at a time; without ``right`` each two rows of
+    ``left`` meet once."""
+    left = left[np.argsort(c[left], kind="stable")]
+    ends = np.flatnonzero(np.diff(c[left], append=c[left[-1:]] - 1)) + 1 if len(left) else []
+    if right is not None:
+        right = right[np.argsort(c[right], kind="stable")]
+    begin = 0
+    for end in map(int, ends):
+        if right is None:
+            others = left[end:]
+        else:
+            low, high = np.searchsorted(c[right], c[left[begin]], "left"), np.searchsorted(c[right], c[left[begin]], "right")
+            others = np.concatenate((right[:low], right[high:]))
+        for k in range(begin, end, step := max(1, AT_ONCE * 16 // max(1, len(others)))):
+            mine = left[k:min(end, k + step)]
+            if len(others):
+                yield np.repeat(mine, len(others)), np.tile(others, len(mine))
+        begin = end
+
+
 def _blocks_meet(at_least: float):
-    """Near members of two blocks of a bucket (i, j), or of one with itself,
-    that are not yet connected."""
-    def run(key, rows):
-        i, j = key[1].as_py(), key[2].as_py()
-        rows = rows.sort_by([("id", "ascending"), ("k", "ascending")]).to_pylist()
-        left, right = ([r for r in rows if r["block"] == x] for x in (i, j))
-        out = []
-        if left and right:
-            near = _all_likeness([r["fp"] for r in left], [r["fp"] for r in right])
-            of = [np.array([r["c"] for r in side]) for side in (left, right)]
-            near[of[0][:, None] == of[1][None, :]] = -1
-            for x, y in zip(*np.nonzero(near >= at_least), strict=True):
-                one, other = sorted((left[x], right[y]), key=lambda r: (r["id"] is None, r["id"] or 0, r["k"]))
-                if i != j or x < y:
-                    out.append({"a": one["k"], "b": other["k"], "likeness": float(near[x, y])})
-        return pa.Table.from_pylist(out, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())]))
+    """Rows (key, i, j, k, id, c, block, fp) in order of key, i and j -> near
+    members of two blocks of a bucket (i, j), or of one with itself, whose
+    classes are not yet connected. Rows of one class never meet."""
+    names = ["a", "b", "likeness", "ca", "cb"]
+
+    def found(rows, starts):
+        key_i, key_j, k, c, block = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("i", "j", "k", "c", "block"))
+        _, first, who = np.unique(k, return_index=True, return_inverse=True)
+        prints, ids = Prints(rows.column("fp").take(pa.array(first)).to_pylist()), rows.column("id")
+        out, waiting, size = [], [], 0
+
+        def compare():
+            x, y = (np.concatenate(side) for side in zip(*waiting, strict=True))
+            near = prints.likeness(who[x], who[y])
+            for n in np.flatnonzero(near >= at_least).tolist():
+                one, other = sorted((int(x[n]), int(y[n])), key=lambda r: (not ids[r].is_valid, ids[r].as_py() or 0, k[r]))
+                out.append((k[one], k[other], near[n], c[one], c[other]))
+
+        for a, e in zip(starts, [*starts[1:], rows.num_rows], strict=True):
+            i, j = key_i[a], key_j[a]
+            left, right = a + np.flatnonzero(block[a:e] == i), None if i == j else a + np.flatnonzero(block[a:e] == j)
+            for pair in _cross(left, right, c):
+                waiting.append(pair)
+                size += len(pair[0])
+                if size >= AT_ONCE * 16:
+                    compare()
+                    waiting, size = [], 0
+        if waiting:
+            compare()
+        kinds = [np.int64, np.int64, np.float64, np.int64, np.int64]
+        return pa.RecordBatch.from_arrays([pa.array(np.array([r[n] for r in out], kind)) for n, kind in enumerate(kinds)], names)
+
+    def run(batches):
+        held = []  # the last group may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, b]).combine_chunks()
+            of = [rows.column(x).to_numpy() for x in ("key", "i", "j")]
+            starts = np.concatenate(([0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in of], axis=0)) + 1)).tolist()
+            if len(starts) > 1:
+                yield found(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1]).to_batches()
+        if held:
+            yield found(pa.Table.from_batches(held), [0])
     return run
 
 
-def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[DataFrame, DataFrame]:
+def _links(classes: DataFrame, bands: int, rows: int, at_least: float, least_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """a, b, likeness: links between classes (k, id, fp) that connect any two
     near ones which share a bucket; and a, b: the same connections, with one
-    row for each class that the first leaders' links connect."""
+    row for each class that the first leaders' links connect. A bucket's
+    first leader is its smallest k, or with ``least_ids`` its smallest id."""
     n = partitions(classes.sparkSession)
     members = written(classes.select("k", "fp").mapInArrow(_band_keys(bands, rows), "k long, key long")
-                      .repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "k long, key long"), "op7-members")
+                      .repartition(n, "key").sortWithinPartitions("key", "k").mapInArrow(_shared, "k long, key long, a long"), "op7-members")
     fps = classes.select("k", "fp")
-    smallest = F.first("k").over(Window.partitionBy("key").orderBy(F.col("id").isNull(), "id", "k"))
-    pairs = members.join(classes.select("k", "id"), "k").select(smallest.alias("a"), F.col("k").alias("b")).filter("a <> b").distinct()
+    first = members
+    if least_ids:
+        smallest = F.first("k").over(Window.partitionBy("key").orderBy(F.col("id").isNull(), "id", "k"))
+        first = members.join(classes.select("k", "id"), "k").withColumn("a", smallest)
+    pairs = first.filter("a <> k").select("a", F.col("k").alias("b")).distinct()
     sides = (pairs.join(fps.select(F.col("k").alias("a"), F.col("fp").alias("x")), "a")
              .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y"))
     links = written(sides.mapInArrow(_verified(at_least), LINKS), "op7-stars")
-    joined = components(links, "a", "b").toDF("a", "b")
-    members = members.join(joined.toDF("k", "c"), "k", "left").select("key", "k", F.coalesce("c", "k").alias("c"))
-    # the members of open buckets, read out once; the rounds follow the classes that each bucket holds (c, now part
-    # of another one, now), and a leader meets the members of other classes only
+    joined = components(links, "a", "b").toDF("a", "b").filter("a <> b")
+    members = members.drop("a").join(joined.toDF("k", "c"), "k", "left").select("key", "k", F.coalesce("c", "k").alias("c"))
+    # the members of open buckets, read out once
     members = written(_open(members, 1), "op7-open")
+    sizes = members.groupBy("key", "c").agg(F.count("*").alias("s"), F.first("n").alias("n"))
+    if _few_pairs(sizes):
+        members = members.select("key", "k", "c", "n")
+    else:
+        members, links, joined = _more_leaders(members, fps, links, joined, at_least)
+    mine = (members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
+    dealt = (mine.select("key", "k", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .join(classes.select("k", "id", "fp"), "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+    more = (dealt.select("key", "i", "j", "k", "id", "c", "block", "fp").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInArrow(_blocks_meet(at_least), f"{LINKS}, ca long, cb long").dropDuplicates(["a", "b"]))
+    more = written(more, "op7-more")
+    return (links.unionByName(more.select("a", "b", "likeness")),
+            joined.unionByName(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+
+
+def _few_pairs(sizes: DataFrame) -> bool:
+    """Whether the members of open buckets, n in a bucket and s of them of
+    one class, have at most ``PAIRS`` others to meet on average: comparing
+    these costs less than a round of leaders."""
+    s = F.col("s").cast("double")
+    r = sizes.agg(F.sum(s).alias("members"), F.sum(s * (F.col("n") - s)).alias("others")).first()
+    return (r["others"] or 0) <= PAIRS * (r["members"] or 0)
+
+
+def _more_leaders(members: DataFrame, fps: DataFrame, links: DataFrame, joined: DataFrame, at_least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rounds of further leaders in open buckets: what is left of the members
+    (key, k, c, n), and links and connections with those found. The rounds
+    follow the classes that each bucket holds (c, now part of another one,
+    now), and a leader meets the members of other classes only."""
     held = members.groupBy("key", "c").agg(F.min(F.struct(F.xxhash64("k", F.lit(2)), "k")).alias("l"), F.first("n").alias("n"),
                                            F.first("a").alias("a"), F.first("ca").alias("ca"))
     held = written(held.select("key", "c", F.col("c").alias("now"), "l", "n", "a", "ca"), "op7-held")
@@ -459,17 +573,9 @@ def _links(classes: DataFrame, bands: int, rows: int, at_least: float) -> tuple[
                  .join(fps.select(F.col("k").alias("b"), F.col("fp").alias("y")), "b").select("a", "b", "x", "y", "ca", "cb"))
         found = written(sides.mapInArrow(_verified(at_least), f"{LINKS}, ca long, cb long"), "op7-stars")
         links, joined = links.unionByName(found.select("a", "b", "likeness")), joined.unionByName(found.select("a", "b"))
-        merged = components(found.select("ca", "cb").distinct(), "ca", "cb")
+        merged = components(found.select("ca", "cb"), "ca", "cb").filter("id <> component")
         held = written(_next_leaders(held.join(merged.toDF("now", "to"), "now", "left").withColumn("now", F.coalesce("to", "now"))), "op7-held")
-    mine = (members.join(held.select("key", "c", "now", "n"), ["key", "c"]).select("key", "k", F.col("now").alias("c"), "n")
-            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-            .withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")))
-    dealt = (mine.select("key", "k", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .join(classes.select("k", "id", "fp"), "k").withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-    more = (dealt.select("key", "i", "j", "k", "id", "c", "block", "fp").groupBy("key", "i", "j")
-            .applyInArrow(_blocks_meet(at_least), LINKS).dropDuplicates(["a", "b"]))
-    more = written(more, "op7-more")
-    return links.unionByName(more), joined.unionByName(more.select("a", "b"))
+    return members.join(held.select("key", "c", "now", "n"), ["key", "c"]).select("key", "k", F.col("now").alias("c"), "n"), links, joined
 
 
 def _next_leaders(held: DataFrame) -> DataFrame:
@@ -503,7 +609,7 @@ def similar(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerp
     copies = (source.withColumnRenamed("id", "right_id").join(classes.withColumnRenamed("id", "left_id"), "fp")
               .filter("left_id <> right_id").select("left_id", "right_id", F.lit(1.0).alias("likeness")))
     ids = classes.select("k", "id")
-    links, _ = _links(classes, bands, rows, at_least)
+    links, _ = _links(classes, bands, rows, at_least, least_ids=True)
     found = (links.join(ids.toDF("a", "left_id"), "a").join(ids.toDF("b", "right_id"), "b")
              .select("left_id", "right_id", "likeness"))
     return found.unionByName(copies)
@@ -518,9 +624,10 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ban
                .agg(F.first("fingerprint").alias("fp"), F.min("doc_id").alias("id"), F.count("*").alias("n")))
     classes = written(classes, "op7-classes")
     _, joined = _links(classes, bands, rows, at_least)
-    of = components(joined, "a", "b").select(F.col("id").alias("k"), F.col("component").alias("c"))
+    of = components(joined, "a", "b").filter("id <> component").select(F.col("id").alias("k"), F.col("component").alias("c"))
     whole = classes.select("k", "id", "n").join(of, "k", "left").withColumn("c", F.coalesce("c", "k"))
     low = whole.groupBy("c").agg(F.min("id").alias("class_id"), F.sum("n").alias("all")).filter("all > 1")
     of_k = written(whole.join(low, "c").select("k", "class_id"), "op7-class-ids")  # the others are alone
-    out = prints.withColumn("k", F.xxhash64("fingerprint")).join(of_k, "k", "left")
+    # a merge join at every size: both sides grow with the corpus
+    out = prints.withColumn("k", F.xxhash64("fingerprint")).join(of_k.hint("merge"), "k", "left")
     return out.select(*prints.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
